@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows handed to Python at once; documents can be long, so batches are small.
 BATCH_ROWS = 1000
@@ -81,15 +82,19 @@ def rows_of_text(
     has summed up there.
     """
     picked = df.select(*columns)
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def batch_of(out: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) and x.type == f.type else pa.array(x, f.type) for f in target], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
             out = function(*[batch.column(c).to_pylist() for c in columns])
             if out is not None:
-                yield pa.RecordBatch.from_pydict(out)
+                yield batch_of(out)
         if finish and (out := function(*[None] * len(columns))) is not None:
-            yield pa.RecordBatch.from_pydict(out)
+            yield batch_of(out)
 
     return picked.mapInArrow(run, schema)
 

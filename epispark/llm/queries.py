@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.llm.bpe import default_tokenizer, round_trip
-from epispark.llm.common import documents
+from epispark.llm.common import documents, text_of
 from epispark.llm.exact_dedup import exact_dedup
+from epispark.llm.fingerprints import add_fingerprints, add_likeness, band_lexicon, with_next
 from epispark.llm.pii import BASE, find_pii
+from epispark.llm.quality import fold, score_quality, train_quality
+from epispark.llm.toxicity import score_toxicity, train_toxicity
+from epispark.llm.urls import filter_urls
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +28,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(documents(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", text_of("text").alias("text"))
+    lexicon = band_lexicon(docs)
+    paired = with_next(add_fingerprints(docs, lexicon, {"text": "fingerprint"}), "doc_id", ["text", "fingerprint"], ids=docs)
+    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(length(text) / 3) as int))"))
+    rows = paired.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    rows = add_fingerprints(rows.withColumn("edited_sha256", F.sha2("edited", 256)), lexicon, {"edited": "edited_fingerprint"}, drop=("edited",))
+    rows = add_likeness(rows, {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -47,10 +67,28 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    learned = documents(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0).select("doc_id", "quality")
+    scored = score_quality(docs, train_quality(docs, learned), drop=("text",))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    learned = documents(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1).select("doc_id", "toxic")
+    scored = score_toxicity(docs, train_toxicity(docs, learned), drop=("text",))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_url_filters": op4_url_filters,
+    "op5_fingerprints": op5_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_pii": op8_pii,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
