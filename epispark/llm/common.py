@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +19,29 @@ BATCH_ROWS = 1000
 
 
 def session_defaults(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder only where the cluster names none."""
+    """Small Arrow batches, this package on the workers' path, a checkpoint folder where the cluster names none."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
+    here = str(Path(__file__).resolve().parents[2])
+    paths = context.environment.get("PYTHONPATH", "")
+    if here not in paths.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, paths]))
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or f"/tmp/spark-checkpoints-{uuid.uuid4().hex}")
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df``: its rows are written once to the shared checkpoint folder."""
-    session_defaults(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df``: its rows are written once, as Parquet, to the shared checkpoint folder.
+
+    A table read back has the size that it has. (A checkpoint() would keep the sizes estimated for the plan,
+    which in loops of joins multiply without end.) The files stay until the folder is cleared.
+    """
+    spark = df.sparkSession
+    session_defaults(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

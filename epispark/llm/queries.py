@@ -11,6 +11,7 @@ from epispark.llm.bpe import default_tokenizer, round_trip
 from epispark.llm.common import documents, text_of
 from epispark.llm.exact_dedup import exact_dedup
 from epispark.llm.fingerprints import add_fingerprints, add_likeness, band_lexicon, with_next
+from epispark.llm.near_dedup import near_duplicates
 from epispark.llm.pii import BASE, find_pii
 from epispark.llm.quality import fold, score_quality, train_quality
 from epispark.llm.toxicity import score_toxicity, train_toxicity
@@ -56,6 +57,10 @@ FROM t WINDOW w AS (PARTITION BY t)
 """
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3, similarity=(9, 10))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
     "op5_fingerprints": op5_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
