@@ -102,10 +102,12 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def connect(starred: DataFrame, measure: Callable[[DataFrame], DataFrame], threshold: float, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def connect(starred: DataFrame, measure: Callable[[DataFrame], DataFrame], threshold: float, most: float | None = None, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Components and links of the nodes in ``starred`` (region, pivot, node).
 
-    ``measure`` takes pairs (a, b), a < b, and returns (a, b, distance). Returns (node, root) for nodes with
+    ``measure`` takes pairs (a, b), a < b, and returns (a, b, distance); it may give every distance above
+    ``most`` as some value above it. Members without a pivot within ``most`` - 2 thresholds then stay in
+    the cells of all pivots whose windows they may be in. Returns (node, root) for nodes with
     links, and the links (a, b) found; links inside a component that isn't needed to know it may be left out.
     """
     starred = stage(starred)
@@ -146,7 +148,10 @@ def connect(starred: DataFrame, measure: Callable[[DataFrame], DataFrame], thres
         rest = against.join(done, ["region", "node"], "left_anti").select("region", "node", "pivot", "n", *ordered("pivot", "node"))
         rest = rest.join(known, ["a", "b"]).select("region", "node", "pivot", "n", "distance")
         nearest = rest.groupBy("region", "node").agg(F.min("distance").alias("nearest"))
-        cells = stage(rest.join(nearest, ["region", "node"]).filter(F.col("distance") <= F.col("nearest") + 2 * threshold + 1e-12))
+        inside = F.col("distance") <= F.col("nearest") + 2 * threshold + 1e-12
+        if most is not None:
+            inside = inside | (F.col("nearest") + 2 * threshold > most)
+        cells = stage(rest.join(nearest, ["region", "node"]).filter(inside))
         grown = cells.groupBy("region").agg((F.count(F.lit(1)) > 1.5 * F.max("n")).alias("whole"))
         cells = cells.join(grown, "region")
         region = F.when(F.col("whole"), F.col("region")).otherwise(F.xxhash64("region", "pivot"))

@@ -11,6 +11,8 @@ from epispark.llm.bpe import default_tokenizer, round_trip
 from epispark.llm.common import documents, text_of
 from epispark.llm.exact_dedup import exact_dedup
 from epispark.llm.fingerprints import add_fingerprints, add_likeness, band_lexicon, with_next
+from epispark.llm.line_dedup import dedup_lines
+from epispark.llm.mixing import mix_sources
 from epispark.llm.near_dedup import near_duplicates
 from epispark.llm.pii import BASE, find_pii
 from epispark.llm.quality import fold, score_quality, train_quality
@@ -29,6 +31,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "lang", "mix_weight", "mix_probability", "mix_kept")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(documents(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
@@ -88,6 +98,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_fingerprints": op5_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
