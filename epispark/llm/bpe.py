@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from epispark.llm.common import map_text
 
 _NEVER = 1 << 60
 #: Words of up to this many characters are kept in a task's memory, this many at a time.
-_CACHED_CHARS, _CACHED_WORDS = 48, 300_000
+_CACHED_CHARS, _CACHED_WORDS = 48, 500_000
 #: Below this code point Python's and the tokenizer's character tables agree.
 _PLAIN = "԰"
 
@@ -95,30 +97,52 @@ class Automaton:
         return found
 
     def encode(self, word: str) -> list[int]:
-        """Token ids of a word of byte symbols, in time linear in the word."""
+        """Token ids of a word of byte symbols.
+
+        Takes the longest arc that the state allows and steps back where that leads nowhere. A position
+        is entered at most once, as each prefix has one path, so the time is linear in the word.
+        """
         n = len(word)
         if not n:
             return []
         end, starts, arc = self.end, self.starts, self.arc
-        last, came = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            state = last[i]
-            if i and state < 0:
-                continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = word[i:j]
-                token = starts.get(piece + end, -1) if j == n else starts.get(piece)
+        whole = starts.get(word + end, -1)
+        if whole >= 0:
+            return [whole]
+        path: list[int] = []
+        at = 0
+        options: list[list[tuple[int, int]]] = []
+        while True:
+            found = []
+            for j in range(at + 1, n):
+                token = starts.get(word[at:j])
                 if token is None:
                     break
-                if token >= 0 and last[j] < 0 and (i == 0 or arc(state, token)):
-                    last[j], came[j] = token, i
-        out, at = [], n
-        if last[n] < 0:
-            raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
-        while at:
-            out.append(last[at])
-            at = came[at]
-        return out[::-1]
+                if token >= 0:
+                    found.append((token, j))
+            else:
+                token = starts.get(word[at:] + end, -1)
+                if token >= 0:
+                    found.append((token, n))
+            options.append(found)
+            while True:
+                if not options:
+                    raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
+                found = options[-1]
+                state = path[-1] if path else -1
+                while found:
+                    token, at = found.pop()
+                    if state < 0 or arc(state, token):
+                        break
+                else:
+                    options.pop()
+                    if path:
+                        path.pop()
+                    continue
+                break
+            path.append(token)
+            if at == n:
+                return path
 
 
 class Tokenizer:
@@ -144,8 +168,9 @@ class Tokenizer:
     def _split(self, chunk: str) -> list[str]:
         """The pre-split words of a run without white space, as byte symbols."""
         if chunk.isascii() or max(chunk) < _PLAIN:
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            return ["".join([self.symbols[b] for b in w.encode()]) for w in self.words.findall(chunk)]
+            chunk = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            symbols = self.symbols
+            return [w if w.isascii() and w.isprintable() else "".join([symbols[b] for b in w.encode()]) for w in self.words.findall(chunk)]
         if self.library is None:  # newer scripts: the character tables of the tokenizer's own normaliser decide
             import tokenizers
 
@@ -156,8 +181,10 @@ class Tokenizer:
     def _chunk(self, chunk: str) -> bytes:
         found = self.cache.get(chunk)
         if found is None:
-            ids = [i for w in self._split(chunk) for i in self.automaton.encode(w)]
-            found = np.array(ids, dtype=np.int32).tobytes()
+            ids = array("i")
+            for w in self._split(chunk):
+                ids.extend(self.automaton.encode(w))
+            found = ids.tobytes()
             if len(chunk) <= _CACHED_CHARS:
                 if len(self.cache) >= _CACHED_WORDS:
                     self.cache.clear()
@@ -178,8 +205,7 @@ class Tokenizer:
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one after the other; this file has no decoder, so spaces join them."""
-        labels = self.labels
-        return " ".join([labels[i] for i in ids])
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 def read_tokenizer(path: str) -> str:
@@ -230,12 +256,19 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", decoded
     columns pass through; one named like ``decoded_col`` is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    kept = [f for f in df.schema.fields if f.name != decoded_col]
+    schema = T.StructType(kept + [T.StructField(decoded_col, T.StringType())])
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _loaded(shared.value).decode
-        return lambda rows: [pa.array([decode(ids) for ids in rows], pa.string())]
-
-    return map_text(df, [ids_col], [T.StructField(decoded_col, T.StringType())], make)
+        for batch in batches:
+            lists = batch.column(ids_col)
+            ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)).tolist()
+            texts = [decode(ids[a:b]) for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(texts, pa.string())], [f.name for f in schema.fields])
+
+    return df.mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
