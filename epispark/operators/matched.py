@@ -31,7 +31,7 @@ def matched_sets(cases: DataFrame, days: DataFrame, case_id: str, date: str = "d
 
 def matched_summary(sets: DataFrame) -> DataFrame:
     cases, controls = F.sum("is_case"), F.sum(1 - F.col("is_case"))
-    return sets.agg(cases.alias("n_cases"), controls.alias("n_controls"), (controls / cases).alias("controls_per_case"))
+    return sets.agg(cases.alias("n_cases"), controls.alias("n_controls"), (controls / F.nullif(cases, F.lit(0))).alias("controls_per_case"))
 
 
 def collapse(sets: DataFrame, keys: list[str]) -> DataFrame:

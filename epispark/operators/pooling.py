@@ -144,7 +144,7 @@ def meta_regression(studies: DataFrame, by: list[str], moderator: str, estimate:
         return pd.DataFrame([base | {"n_studies": len(pdf)} | out])
 
     fitted = studies.select(*by, moderator, estimate, variance).groupBy(*by).applyInPandas(run, schema)
-    return fitted.withColumn("z", F.col("slope") / F.col("slope_se")).withColumn("p", normal_p("z"))
+    return fitted.withColumn("z", F.col("slope") / F.nullif(F.col("slope_se"), F.lit(0.0))).withColumn("p", normal_p("z"))
 
 
 def stratum_difference(pooled: DataFrame, by: list[str], stratum: str, first: str, second: str, estimate: str = "y", se: str = "se") -> DataFrame:
@@ -152,7 +152,7 @@ def stratum_difference(pooled: DataFrame, by: list[str], stratum: str, first: st
     side = lambda s, n: pooled.filter(F.col(stratum) == s).select(*by, F.col(estimate).alias(f"_y{n}"), F.col(se).alias(f"_s{n}"))
     out = _attach(side(first, 1), side(second, 2), by)
     out = out.withColumns({"diff": F.col("_y1") - F.col("_y2"), "diff_se": F.sqrt(F.col("_s1") * F.col("_s1") + F.col("_s2") * F.col("_s2"))})
-    return out.withColumns({"z": F.col("diff") / F.col("diff_se"), "rr_ratio": F.exp("diff")}).drop("_y1", "_y2", "_s1", "_s2")
+    return out.withColumns({"z": F.col("diff") / F.nullif(F.col("diff_se"), F.lit(0.0)), "rr_ratio": F.exp("diff")}).drop("_y1", "_y2", "_s1", "_s2")
 
 
 def harvesting_ratio(rr: DataFrame, by: list[str], horizon: str = "lags", value: str = "rr", short: int = 7, long: int = 35) -> DataFrame:

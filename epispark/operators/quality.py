@@ -11,11 +11,11 @@ from epispark.functions.stats import is_finite
 def parse_failures(df: DataFrame, raw: str, parsed: Column) -> DataFrame:
     """Rows, failures (a value that parses to null) and their rate."""
     failed = F.count_if(parsed.isNull() & F.col(raw).isNotNull())
-    return df.agg(F.count(F.lit(1)).alias("n"), failed.alias("n_failed"), (failed / F.count(F.lit(1))).alias("failure_rate"))
+    return df.agg(F.count(F.lit(1)).alias("n"), failed.alias("n_failed"), (failed / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("failure_rate"))
 
 
 def match_rate(df: DataFrame, matched: Column) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(matched).alias("n_matched"), (F.count_if(matched) / F.count(F.lit(1))).alias("match_rate"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(matched).alias("n_matched"), (F.count_if(matched) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("match_rate"))
 
 
 def require_match_rate(df: DataFrame, matched: Column, fail_below: float = 0.85, warn_below: float = 0.95) -> str:

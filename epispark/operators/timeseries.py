@@ -56,7 +56,7 @@ def fill_gaps(panel: DataFrame, column: str, by: list[str], order: str = "date",
         "_v0": F.last(column, ignorenulls=True).over(back), "_a0": F.last("_known", ignorenulls=True).over(back),
         "_v1": F.first(column, ignorenulls=True).over(ahead), "_a1": F.first("_known", ignorenulls=True).over(ahead),
     })
-    blend = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.col("_a0")) / (F.col("_a1") - F.col("_a0"))
+    blend = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.col("_a0")) / F.nullif(F.col("_a1") - F.col("_a0"), F.lit(0))
     filled = F.coalesce(column, F.when(F.col("_a1") - F.col("_a0") - 1 <= max_gap, blend))
     if rest is not None:
         filled = F.coalesce(filled, F.lit(rest))

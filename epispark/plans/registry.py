@@ -36,7 +36,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-ELDERLY, CVD = F.col("o_totalprice") >= 200000, F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+def is_elderly():
+    return F.col("o_totalprice") >= 200000
+
+
+def is_cvd():
+    return F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
 
 
 # Panels and strata
@@ -67,12 +72,12 @@ FROM (SELECT region, date, unnest(list_filter(['all', CASE WHEN o_totalprice >=
 UNION ALL SELECT 'nation', CAST(nation AS VARCHAR), date, s, CAST(count(*) AS BIGINT)
 FROM (SELECT nation, date, unnest(list_filter(['all', CASE WHEN o_totalprice >= 200000 THEN 'elderly' END, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'cvd' END, CASE WHEN o_orderstatus = 'F' THEN 'female' END], lambda z: z IS NOT NULL)) AS s FROM ev) GROUP BY ALL""")
 def strata_cube(spark, sf):
-    return P.strata_cube(records(spark, sf), "date", ["region", "nation"], {"elderly": ELDERLY, "cvd": CVD, "female": F.col("o_orderstatus") == "F"})
+    return P.strata_cube(records(spark, sf), "date", ["region", "nation"], {"elderly": is_elderly(), "cvd": is_cvd(), "female": F.col("o_orderstatus") == "F"})
 
 
 @query("SELECT region, date, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (o_totalprice >= 200000) AS BIGINT) AS elderly, CAST(count(*) FILTER (o_totalprice >= 200000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT) AS elderly_cvd FROM ev GROUP BY ALL")
 def strata_counts(spark, sf):
-    return P.count_strata(records(spark, sf), ["region", "date"], {"elderly": ELDERLY, "elderly_cvd": ELDERLY & CVD})
+    return P.count_strata(records(spark, sf), ["region", "date"], {"elderly": is_elderly(), "elderly_cvd": is_elderly() & is_cvd()})
 
 
 @query("SELECT region, date, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS sex_F, CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS sex_O, CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS sex_P FROM ev GROUP BY ALL")
@@ -82,7 +87,7 @@ def strata_pivot(spark, sf):
 
 @query("SELECT CAST(year(date) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (o_totalprice >= 200000) AS BIGINT) AS elderly, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS female FROM ev GROUP BY 1")
 def yearly_summary(spark, sf):
-    return P.yearly_summary(records(spark, sf).withColumn("year", F.year("date")), "year", {"elderly": ELDERLY, "female": F.col("o_orderstatus") == "F"})
+    return P.yearly_summary(records(spark, sf).withColumn("year", F.year("date")), "year", {"elderly": is_elderly(), "female": F.col("o_orderstatus") == "F"})
 
 
 @query("SELECT CAST(year(date) AS INTEGER) AS year, CAST(sum(deaths) AS BIGINT) AS total, count(DISTINCT date) AS n_days, count(DISTINCT region) AS n_regions FROM d GROUP BY 1")
