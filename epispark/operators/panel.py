@@ -179,3 +179,33 @@ def sample_rows(df: DataFrame, key: str, cap: int, size: int, seed: int = 42) ->
     if df.count() <= cap:
         return df
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size)
+
+
+def valid_events(events: DataFrame, required: list[str], code: str | None = None, sentinel: int = 999990) -> DataFrame:
+    """Rows with all required fields, and a code below the sentinel."""
+    out = events.na.drop(subset=required)
+    return out.filter(F.col(code) < sentinel) if code else out
+
+
+def with_lag_room(panel: DataFrame, lags: int, date: str = "date") -> DataFrame:
+    """Rows from ``lags`` days after the first date on."""
+    first = panel.agg(F.min(date).alias("_first"))
+    return panel.join(F.broadcast(first)).filter(F.col(date) >= F.date_add("_first", lags)).drop("_first")
+
+
+def common_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    return left.select(key).intersect(right.select(key))
+
+
+def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of ``left`` that ``right`` lacks."""
+    return left.select(key).distinct().join(right.select(key), key, "left_anti")
+
+
+def keep_regions(panel: DataFrame, regions: DataFrame, region: str = "region") -> DataFrame:
+    return panel.join(regions.select(region), region, "left_semi")
+
+
+def median_of(statistics: DataFrame, columns: list[str]) -> DataFrame:
+    """Medians across regions of per-region statistics."""
+    return statistics.agg(*[F.median(c).alias(c) for c in columns])

@@ -754,3 +754,70 @@ def excess_baseline(spark, sf):
 def seeded_sample(spark, sf):
     """A sampling operator: 500 orders by a seeded hash."""
     return P.sample_rows(records(spark, sf).select("o_orderkey", "date"), "o_orderkey", 1000, 500)
+
+
+# Filters, sets, labels
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 700 AND CAST(o_orderdate AS DATE) >= (SELECT min(CAST(o_orderdate AS DATE)) + 21 FROM orders)", cte=False)
+def event_filters(spark, sf):
+    o = table(spark, sf, "orders").withColumn("date", F.to_date("o_orderdate"))
+    return P.valid_events(P.with_lag_room(o, 21), ["date", "o_custkey"], "o_custkey", 700).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT 'common' AS kind, k FROM (SELECT DISTINCT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) UNION ALL SELECT 'missing', k FROM (SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)", cte=False)
+def key_sets(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))
+    s = table(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
+    return P.common_keys(c, s, "k").select(F.lit("common").alias("kind"), "k").unionByName(P.missing_keys(c, s, "k").select(F.lit("missing").alias("kind"), "k"))
+
+
+@query("SELECT region, date, deaths FROM d WHERE region IN (SELECT n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000)")
+def keep_regions(spark, sf):
+    good = table(spark, sf, "supplier").filter("s_acctbal > 9000").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("region"))
+    return P.keep_regions(deaths(spark, sf), good)
+
+
+@query("SELECT round(median(p50), 6) AS p50, round(median(s), 6) AS exposure_sd FROM (SELECT region, quantile_cont(exposure, 0.5) AS p50, stddev_samp(exposure) AS s FROM p GROUP BY region)")
+def median_of_regions(spark, sf):
+    p = panel(spark, sf)
+    q = p.groupBy("region").agg(F.median("exposure").alias("p50"), F.stddev_samp("exposure").alias("exposure_sd"))
+    return rounded(P.median_of(q, ["p50", "exposure_sd"]))
+
+
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders), h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE month(o_orderdate) IN (2, 3) AND day(o_orderdate) % 2 = 0),
+e AS (SELECT y, CASE y WHEN 1995 THEN DATE '1995-04-16' WHEN 1996 THEN DATE '1996-04-07' WHEN 1997 THEN DATE '1997-03-30' WHEN 1998 THEN DATE '1998-04-12' WHEN 1999 THEN DATE '1999-04-04' WHEN 2000 THEN DATE '2000-04-23' WHEN 2001 THEN DATE '2001-04-15' WHEN 2002 THEN DATE '2002-03-31' END AS e FROM y)
+SELECT date, 'known' AS name FROM h UNION ALL SELECT d, 'carnival' FROM (SELECT CAST(e - k AS DATE) AS d FROM e, (SELECT unnest([47, 48, 49, 50]) AS k)) WHERE d NOT IN (SELECT date FROM h)""", cte=False)
+def holidays_with_carnival(spark, sf):
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"))
+    known = o.filter((F.month("date").isin(2, 3)) & (F.dayofmonth("date") % 2 == 0)).distinct().withColumn("name", F.lit("known"))
+    extra = parse.carnival_days(o.select(F.year("date").alias("year")).distinct()).select("date", F.lit("carnival").alias("name"))
+    return P.add_missing_days(known, extra)
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'brass') THEN 'metal' WHEN contains(lower(p_type), 'anodized') THEN 'coated' ELSE 'civic' END AS kind,
+CASE WHEN p_size < 10 THEN 'low' WHEN p_size < 25 THEN 'medium' WHEN p_size < 40 THEN 'high' ELSE 'very high' END AS level, p_size - 10 AS growth_abs, round((p_size - 10) * 100.0 / 10, 6) AS growth_rel,
+CASE WHEN p_size / 50.0 - 0.5 > 0.2 THEN 'strong displacement' WHEN p_size / 50.0 - 0.5 > 0.05 THEN 'some displacement' WHEN p_size / 50.0 - 0.5 >= -0.05 THEN 'none' ELSE 'delayed effects' END AS harvesting,
+CASE WHEN p_size < 5 THEN 'robust' WHEN p_size < 10 THEN 'slight' ELSE 'substantial' END AS attenuation, CASE WHEN p_size / 1000.0 < 0.001 THEN '***' WHEN p_size / 1000.0 < 0.01 THEN '**' WHEN p_size / 1000.0 < 0.05 THEN '*' ELSE '' END AS stars FROM part""", cte=False)
+def labels_and_levels(spark, sf):
+    p = table(spark, sf, "part").withColumn("ten", F.lit(10))
+    grown = parse.growth("ten", "p_size")
+    return p.select(
+        "p_partkey", parse.match_pattern("p_type", [("brass", "metal"), ("anodized", "coated")], "civic").alias("kind"), parse.level_category("p_size", (10, 25, 40), ("low", "medium", "high", "very high")).alias("level"),
+        grown["growth_abs"].alias("growth_abs"), F.round(grown["growth_rel"], 6).alias("growth_rel"), parse.harvesting_label(F.col("p_size") / 50 - 0.5).alias("harvesting"), parse.attenuation_label("p_size").alias("attenuation"), parse.stars(F.col("p_size") / 1000).alias("stars"),
+    )
+
+
+@query("""SELECT o_orderkey, coalesce(CASE CAST(o_custkey % 4 AS VARCHAR) WHEN '1' THEN 'SP' WHEN '2' THEN 'RJ' END, 'UNKNOWN') AS state, o_custkey % 7 = 1 AS is_influenza, o_custkey % 7 = 5 AS is_covid, o_custkey % 7 = 2 AS is_other_virus, o_orderkey % 5 IN (2, 3) AS is_death, o_custkey % 110 >= 60 AS is_elderly FROM orders""", cte=False)
+def case_flags(spark, sf):
+    o = table(spark, sf, "orders").withColumns({"c": F.col("o_custkey") % 7, "e": F.col("o_orderkey") % 5, "a": F.col("o_custkey") % 110})
+    return o.select("o_orderkey", parse.lookup(F.col("o_custkey") % 4, {"1": "SP", "2": "RJ"}).alias("state"), *[c.alias(k) for k, c in parse.case_flags("c", "e", "a").items()])
+
+
+@query()
+def harvesting_fits(spark, sf):
+    """Lag horizons that share the reference exposure of the longest one, and their harvesting ratio."""
+    p = panel(spark, sf)
+    spline = exposure_spline(p)
+    fits = dlnm.fit_grid(p, spline, [(3, 3), (7, 3), (14, 3)], df_per_year=2, centre=sum(spline.boundary) / 2)
+    return pooling.harvesting_ratio(fits.filter("status = 'success'"), ["region"], value="rr_p99", short=3, long=14)
