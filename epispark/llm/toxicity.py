@@ -64,20 +64,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def choose_features(pos: list[np.ndarray], unl: list[np.ndarray], most: int = 1000, least_docs: int = 3, least_ratio: float = 5.0, least_z: float = 3.0) -> np.ndarray:
-    """Buckets that positives have clearly more often than unlabelled text: in at least ``least_docs`` of
-    them, ``least_ratio`` times as often, by ``least_z`` standard errors; the ``most`` significant ones."""
+def choose_features(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int = 1000, least_docs: int = 3, least_ratio: float = 10.0, least_z: float = 3.0) -> np.ndarray:
+    """Buckets that positives have clearly more often than negatives: in at least ``least_docs`` of them,
+    ``least_ratio`` times as often (negatives being the unlabelled less the prior's share of positives),
+    and more often than the unlabelled by ``least_z`` standard errors; the ``most`` significant ones."""
     cp = np.bincount(np.concatenate(pos), minlength=BUCKETS).astype(float)
     cu = np.bincount(np.concatenate(unl), minlength=BUCKETS).astype(float)
     p, u = cp / len(pos), cu / len(unl)
     z = (p - u) / np.sqrt((p + u) / len(pos) + u / len(unl) + 1e-12)
-    ranked = np.flatnonzero((cp >= least_docs) & (p >= least_ratio * u) & (z >= least_z))
+    ranked = np.flatnonzero((cp >= least_docs) & (u <= p * (prior + (1 - prior) / least_ratio)) & (z >= least_z))
     return np.sort(ranked[np.argsort(-z[ranked], kind="stable")][:most])
 
 
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-6) -> ToxicModel:
     """Full-batch Adam on the non-negative risk with the logistic loss."""
-    chosen = choose_features(pos, unl)
+    chosen = choose_features(pos, unl, prior)
     lookup = np.full(BUCKETS, -1, dtype=np.int64)
     lookup[chosen] = np.arange(len(chosen))
 
