@@ -13,6 +13,7 @@ shorter than ``min_chars`` always stay.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -133,7 +134,7 @@ def line_rows(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
 
 
 def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int) -> DataFrame:
-    """Rows (region, node, pivot, kind): the keys of every distinct line of a task, merged there."""
+    """Rows (region, node, pivot): the keys of every distinct line of a task, merged there."""
     rows = df.select(F.col(f"`{text_col}`").alias("t"))
 
     def make():
@@ -163,7 +164,7 @@ def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int) -
 
         return run
 
-    return rows_of_text(rows, ["t"], "region long, node long, pivot long, kind long", make, finish=True)
+    return rows_of_text(rows, ["t"], "region long, node long, pivot long", make, finish=True)
 
 
 def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_chars: int = 40) -> DataFrame:
@@ -199,7 +200,19 @@ def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_ch
 
         return map_text(both, ["sa", "sb"], [T.StructField("distance", T.DoubleType())], make, drop=("sa", "sb"))
 
-    return connect(starred, measure, threshold, most=4 * threshold)[0]
+    def join_blocks(dealt: DataFrame) -> DataFrame:
+        rows = dealt.join(lines, "node")
+        return rows.groupBy("region", "_bi", "_bj").applyInPandas(lambda pdf: linked_lines(pdf, threshold), "a long, b long")
+
+    return connect(starred, measure, join_blocks, threshold, most=4 * threshold)[0]
+
+
+def linked_lines(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """The links between the rows of two blocks (or within one): rows with node, root, s and the block _k."""
+    rows = list(zip(pdf["node"], pdf["root"], pdf["s"], pdf["_k"]))
+    left, right = ([r for r in rows if r[3] == pdf[c].iloc[0]] for c in ("_bi", "_bj"))
+    out = [(x[0], y[0]) for x in left for y in right if x[1] != y[1] and x[0] != y[0] and edit_distance(x[2], y[2], threshold) <= threshold]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 40, drop_emptied: bool = False) -> DataFrame:

@@ -5,8 +5,9 @@ Each region is joined exactly, but only as far as needed to know which nodes are
 
 1. The region's pivot is compared with all its members (a star: as many pairs as members).
 2. Links join nodes to components. A region whose members are all in one component is settled.
-3. In what is left, small regions compare all pairs of different components. Large regions choose
-   several pivots, compare all members with them, and fall apart into Voronoi cells: a member goes to its
+3. In what is left, a region with few members outside its largest component compares those with all
+   members of other components; a region of bounded size is joined in blocks, two blocks to a task, which sends
+   on links only. Larger regions choose several pivots, compare all members with them, and fall apart into Voronoi cells: a member goes to its
    nearest pivot's cell and, as a boundary member, to each cell whose pivot is less than two thresholds
    farther away. Pivots are done and leave. Cells are regions again. A region that its cells would not
    make smaller stays whole, without its pivots, and gets more pivots in the next round.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from epispark.llm.common import stage
 
-#: Regions of up to this many members compare all their pairs of different components.
+#: Regions of up to this many members are joined in blocks of BLOCK members; larger ones fall apart into cells.
+BLOCKED, BLOCK = 2048, 64
+#: Regions with up to this many members outside their largest component compare them directly.
 SMALL = 24
 
 
@@ -37,14 +40,15 @@ def stars(emitted: DataFrame) -> DataFrame:
     has of a region was merged before (``local_stars``): of a hot region it sends one row there, and the
     rows that already have a pivot are dealt evenly.
     """
-    deal = F.when(F.col("kind") == 0, F.col("region")).otherwise(F.xxhash64("region", "node")).alias("_deal")
-    dealt = emitted.withColumn("_deal", deal).repartition("_deal").drop("_deal").sortWithinPartitions("region", "kind", "node")
+    deal = F.when(F.col("pivot").isNull(), F.col("region")).otherwise(F.xxhash64("region", "node"))
+    dealt = emitted.repartition(deal).sortWithinPartitions("region", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_region = last_pivot = None
         for batch in batches:
-            region, node, pivot, kind = (batch.column(c).to_numpy() for c in ("region", "node", "pivot", "kind"))
-            local = kind == 1
+            region, node = (batch.column(c).to_numpy() for c in ("region", "node"))
+            local = batch.column("pivot").is_valid().to_numpy(zero_copy_only=False)
+            pivot = batch.column("pivot").fill_null(0).to_numpy()
             out = [(region[local], pivot[local], node[local])]
             region, node = region[~local], node[~local]
             if len(region):
@@ -64,8 +68,8 @@ def stars(emitted: DataFrame) -> DataFrame:
 
 
 def local_stars(region: np.ndarray, node: np.ndarray) -> dict[str, np.ndarray]:
-    """Merge a task's rows before they are sent: of each region one row (kind 0), and for the other nodes
-    rows (kind 1) that already name the first node as their pivot. Repeated rows are dropped."""
+    """Merge a task's rows before they are sent: of each region one row, without a pivot, and for the other
+    nodes rows that already name the first node as their pivot. Repeated rows are dropped."""
     order = np.lexsort((node, region))
     region, node = region[order], node[order]
     if len(region):
@@ -74,38 +78,74 @@ def local_stars(region: np.ndarray, node: np.ndarray) -> dict[str, np.ndarray]:
     start = np.r_[True, region[1:] != region[:-1]] if len(region) else np.zeros(0, bool)
     first = np.flatnonzero(start)
     lead = np.repeat(node[first], np.diff(np.r_[first, len(region)]))
-    return {"region": region, "node": node, "pivot": lead, "kind": (~start).astype(np.int64)}
+    return {"region": region, "node": node, "pivot": pa.array(lead, pa.int64(), mask=start)}
+
+
+def local_forest(edges: DataFrame) -> DataFrame:
+    """The edges (a, b) of each partition replaced by stars around the smallest node of what it connects.
+
+    A narrow step: a task holds its partition's nodes, and sends on one edge a node at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent.setdefault(up, up)
+                x = up
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = [x for x in parent if root(x) != x]
+        if nodes:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([root(x) for x in nodes], pa.int64()), "b": pa.array(nodes, pa.int64())})
+
+    return edges.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node that has a link (a, b): nodes are contracted into their neighbour of the
-    smallest hash, round by round, until no link is left. Roots are nodes, in no particular order."""
-    edges = stage(links.select("a", "b").filter("a <> b"))
+    """(node, root) of every node that has a link (a, b).
+
+    Each partition first shrinks its links to stars. Then nodes are contracted into their smallest
+    neighbour, and so on with what is left, until no link is. Nodes are hashes, so neighbours' order is random
+    and a round leaves a fraction of the nodes.
+    """
+    edges = stage(local_forest(links.select("a", "b").filter("a <> b")))
     found: DataFrame | None = None
-    rounds = 0
     while not edges.isEmpty():
-        rounds += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        seed = F.lit(rounds)
-        rank = lambda c: F.xxhash64(seed, F.col(c))
-        near = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("b"))
-        to = stage(near.select(F.col("a").alias("node"), F.when(rank("b") < rank("a"), F.col("b")).otherwise(F.col("a")).alias("to")))
+        to = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
         if found is None:
             found = to.withColumnRenamed("to", "root")
         else:
             moved = found.join(to.withColumnsRenamed({"node": "root", "to": "_to"}), "root", "left")
             found = stage(moved.select("node", F.coalesce("_to", "root").alias("root")))
         hop = lambda side: to.select(F.col("node").alias(side), F.col("to").alias(f"{side}_to"))
-        edges = stage(edges.join(hop("a"), "a").join(hop("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).filter("a <> b").distinct())
+        left = edges.join(hop("a"), "a").join(hop("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).filter("a <> b")
+        edges = stage(local_forest(left))
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found
 
 
-def connect(starred: DataFrame, measure: Callable[[DataFrame], DataFrame], threshold: float, most: float | None = None, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Deal rows (region, node, root, n) to pairs of blocks: adds _bi, _bj and the row's own block _k."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.withColumn("_k", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    spread = own.withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.withColumns({"_bi": F.least("_k", "_o"), "_bj": F.greatest("_k", "_o")}).select("region", "_bi", "_bj", "_k", "node", "root")
+
+
+def connect(starred: DataFrame, measure: Callable[[DataFrame], DataFrame], join_blocks: Callable[[DataFrame], DataFrame], threshold: float, most: float | None = None, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Components and links of the nodes in ``starred`` (region, pivot, node).
 
-    ``measure`` takes pairs (a, b), a < b, and returns (a, b, distance); it may give every distance above
+    ``join_blocks`` takes the rows of ``block_pairs`` and returns the links (a, b) between rows of the two blocks
+    of a group that have different roots. ``measure`` takes pairs (a, b), a < b, and returns (a, b, distance); it may give every distance above
     ``most`` as some value above it. Members without a pivot within ``most`` - 2 thresholds then stay in
     the cells of all pivots whose windows they may be in. Returns (node, root) for nodes with
     links, and the links (a, b) found; links inside a component that isn't needed to know it may be left out.
@@ -114,6 +154,7 @@ def connect(starred: DataFrame, measure: Callable[[DataFrame], DataFrame], thres
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     known = stage(measure(starred.select(*ordered("pivot", "node")).distinct()))
     near = F.col("distance") <= threshold + 1e-12
+    blocked: DataFrame | None = None
     links = known.filter(near).select("a", "b")
     roots = components(links)
 
@@ -124,24 +165,36 @@ def connect(starred: DataFrame, measure: Callable[[DataFrame], DataFrame], thres
     pivots_per_region, rounds = 4, 0
     while True:
         rounds += 1
-        placed = members.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
-        open_ = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.xxhash64(F.lit(rounds), "node")).alias("least")).filter("lo < hi").drop("lo", "hi")
+        placed = stage(members.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")))
+        parts = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"))
+        open_ = parts.groupBy("region").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("root", F.struct("c", "root")).alias("major")).filter("top < n")
         placed = stage(placed.join(stage(open_), "region"))
         if placed.isEmpty():
             return roots, links
-        left = placed.filter(F.col("n") <= small)
-        right = left.select("region", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        pairs = left.join(right, "region").filter("node < other and root <> other_root").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        large = placed.filter(F.col("n") > small)
-        rank = F.xxhash64(F.lit(rounds), "node")
-        share = F.pmod(F.xxhash64(F.lit(-rounds), "node", "region"), F.lit(1 << 30)) / float(1 << 30)
-        chosen = stage(large.filter((rank == F.col("least")) | (share * F.col("n") < pivots_per_region)).select("region", F.col("node").alias("pivot")))
+        few = F.col("n") - F.col("top") <= small
+        left = placed.filter(few & (F.col("root") != F.col("major")))
+        right = placed.filter(few).select("region", F.col("node").alias("other"), F.col("root").alias("other_root"))
+        apart = (F.col("root") != F.col("other_root")) & ((F.col("other_root") == F.col("major")) | (F.col("node") < F.col("other")))
+        pairs = left.join(right, "region").filter(apart).select(*ordered("node", "other")).distinct()
+        medium = placed.filter(~few & (F.col("n") <= BLOCKED))
+        if not medium.isEmpty():
+            more = join_blocks(block_pairs(medium)).select(*ordered("a", "b")).distinct()
+            blocked = stage(more if blocked is None else blocked.unionByName(more))
+        large = placed.filter(~few & (F.col("n") > BLOCKED))
+        # the same nodes are pivots in all their regions, so that pairs repeat less
+        rank = F.pmod(F.xxhash64(F.lit(rounds), "node"), F.lit(1 << 30))
+        least = large.groupBy("region").agg(F.min(rank).alias("_least"))
+        chosen = stage(large.join(least, "region").filter((rank == F.col("_least")) | (rank / float(1 << 30) * F.col("n") < pivots_per_region)).select("region", F.col("node").alias("pivot")))
         against = large.join(chosen, "region").filter("node <> pivot")
         pairs = pairs.unionByName(against.select(*ordered("pivot", "node"))).distinct()
         pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         known = stage(known.unionByName(measure(stage(pairs))))
         links = known.filter(near).select("a", "b")
+        if blocked is not None:
+            links = links.unionByName(blocked)
         roots = components(links)
+        if chosen.isEmpty():
+            return roots, links
 
         # Voronoi cells of the large regions, with their boundary windows
         done = chosen.select("region", F.col("pivot").alias("node"))

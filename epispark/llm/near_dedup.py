@@ -15,9 +15,10 @@ Equal sets are merged first, by a hash of the set.
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,20 +27,16 @@ from pyspark.sql import functions as F
 from epispark.llm.common import bit_filter, join_on_key, mix64, rows_of_text, session_defaults, stage
 from epispark.llm.metric_join import connect, local_stars, stars
 
-#: Words are runs without these characters, after lower-casing A-Z (fixed by the contract).
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-_CACHED = 400_000
+_CACHED = 600_000
 #: Region rows that a task holds back, to merge them before they are sent.
 _PENDING = 1_000_000
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered for a bounded number of words."""
+    """word (UTF-8) -> 64-bit hash, remembered for a bounded number of words."""
 
-    def __missing__(self, word: str) -> int:
-        found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word)
         if len(self) >= _CACHED:
             self.clear()
         self[word] = found
@@ -47,9 +44,11 @@ class WordHashes(dict):
 
 
 def shingles(text: str, words: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's word shingles."""
-    text = text.translate(_LOWER) if not text.isascii() else text.lower()
-    found = _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
+    """The sorted distinct 64-bit hashes of the text's word shingles.
+
+    Bytes are lower-cased in A-Z only and split at the six ASCII spaces only, as the contract wants.
+    """
+    found = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(found)
     if not n:
         return np.zeros(0, np.uint64)
@@ -65,7 +64,7 @@ def shingles(text: str, words: int, hashes: WordHashes) -> np.ndarray:
 class Bands:
     """Size bands and numbers of cells for the threshold ``num / den`` on the similarity."""
 
-    def __init__(self, num: int, den: int, spare: float = 0.05, largest: int = 1 << 40):
+    def __init__(self, num: int, den: int, spare: float = 0.03, largest: int = 1 << 40):
         starts = [1]
         while starts[-1] <= largest:
             starts.append(max(starts[-1] + 1, (starts[-1] - 1) * den // num + 1))
@@ -82,7 +81,7 @@ class Bands:
         """
         small = int(self.starts[band + 1]) - 1
         differ = (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-        spare = 2 + int(self.spare * differ)
+        spare = 1 + int(self.spare * differ)
         return (differ + 1 + spare, spare) if differ else (0, 0)
 
     def roles(self, size: int) -> list[int]:
@@ -100,6 +99,18 @@ def set_hash(found: np.ndarray) -> int:
     return value - ((value >> 63) << 64)
 
 
+@lru_cache(maxsize=2048)
+def _cell_edges(m: int) -> np.ndarray:
+    """The m - 1 inner edges of m equal ranges of the 64-bit hashes."""
+    return np.array([(k << 64) // m for k in range(1, m)], dtype=np.uint64)
+
+
+@lru_cache(maxsize=2048)
+def _cell_names(m: int, band: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 1_000_003 + 1))
+
+
 def signatures(found: np.ndarray, bands: Bands) -> np.ndarray:
     """The regions of a set: one hash for each band role and non-empty cell."""
     out = []
@@ -111,13 +122,11 @@ def signatures(found: np.ndarray, bands: Bands) -> np.ndarray:
         if not m:
             continue
         # cells are equal ranges of the hash, so a sorted set has each cell's shingles side by side
-        edges = np.array([(k << 64) // m for k in range(1, m)], dtype=np.uint64)
-        cut = np.r_[0, np.searchsorted(found, edges), len(found)]
+        cut = np.concatenate(([0], np.searchsorted(found, _cell_edges(m)), [len(found)]))
         inside = total[cut[1:]] - total[cut[:-1]]
         empty = cut[1:] == cut[:-1]
-        cell = np.arange(m, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            name = mix64(inside + mix64(cell * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 1_000_003 + 1)))
+            name = mix64(inside + _cell_names(m, band))
         out.append(name if empty.sum() > spare else name[~empty])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -139,7 +148,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def emit_regions(df: DataFrame, text_col: str, words: int, bands: Bands) -> DataFrame:
-    """Rows (region, node, pivot, kind) of all sets, merged within each batch."""
+    """Rows (region, node, pivot) of all sets, merged within each task."""
     rows = df.select(F.col(f"`{text_col}`").alias("t"))
 
     def make():
@@ -167,7 +176,32 @@ def emit_regions(df: DataFrame, text_col: str, words: int, bands: Bands) -> Data
 
         return run
 
-    return rows_of_text(rows, ["t"], "region long, node long, pivot long, kind long", make, finish=True)
+    return rows_of_text(rows, ["t"], "region long, node long, pivot long", make, finish=True)
+
+
+def linked_sets(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """The links between the rows of two blocks (or within one): rows with node, root, s and the block _k.
+
+    Intersections come from one product of incidence matrices, or set by set where that would be large.
+    """
+    first = pdf["_k"].to_numpy() == pdf["_bi"].iloc[0]
+    second = pdf["_k"].to_numpy() == pdf["_bj"].iloc[0]
+    sets, node, root = pdf["s"].to_list(), pdf["node"].to_numpy(), pdf["root"].to_numpy()
+    sizes = np.array([len(s) for s in sets])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    left, right = np.flatnonzero(first), np.flatnonzero(second)
+    apart = (root[left][:, None] != root[right]) & (node[left][:, None] != node[right])
+    if len(sets) * len(values) <= 20_000_000:
+        shared = np.zeros((len(sets), len(values)), np.float32)
+        shared[np.repeat(np.arange(len(sets)), sizes), place] = 1
+        common = np.rint(shared[left] @ shared[right].T).astype(np.int64)
+    else:
+        common = np.zeros(apart.shape, np.int64)
+        for i, j in zip(*np.nonzero(apart)):
+            common[i, j] = len(np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True))
+    union = sizes[left][:, None] + sizes[right] - common
+    i, j = np.nonzero(apart & (common * den >= union * num))
+    return pd.DataFrame({"a": node[left[i]], "b": node[right[j]]})
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -186,9 +220,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = stage(shingle_sets(df, id_col, text_col, words))
     starred = stage(stars(emit_regions(df, text_col, words, bands)))
     nodes = starred.select("node").unionByName(starred.select(F.col("pivot").alias("node"))).distinct()
-    first = stage(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    first = stage(sets.filter("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
     wanted = stage(first.join(nodes, "node", "left_semi").select("node", "id"))
-    shared = df.sparkSession.sparkContext.broadcast(bit_filter(wanted, "node"))
+    shared = df.sparkSession.sparkContext.broadcast(bit_filter(wanted, "id"))
 
     # the sets of the nodes that some pair needs; other rows are filtered out by a bitmap before they move
     def make():
@@ -198,12 +232,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def run(ids, texts):
             kept = {}
             for i, t in zip(ids, texts):
-                s = shingles(t or "", words, hashes)
-                node = set_hash(s)
-                if node and node not in kept:
-                    at = _spark_xxhash64(node) >> (64 - 24)
-                    if int(bits[at >> 6]) >> (at & 63) & 1:
-                        kept[node] = s
+                if i is None:
+                    continue
+                at = _spark_xxhash64(i) >> (64 - 24)
+                if int(bits[at >> 6]) >> (at & 63) & 1:
+                    s = shingles(t or "", words, hashes)
+                    kept[set_hash(s)] = s
             return {"node": list(kept), "s": pa.array([s.view(np.int64) for s in kept.values()], pa.list_(pa.int64()))} if kept else None
 
         return run
@@ -215,16 +249,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def measure(pairs: DataFrame) -> DataFrame:
         left = shingled.select(F.col("node").alias("a"), F.col("s").alias("sa"))
         right = shingled.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-        sized = pairs.join(first.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(first.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        both = sized.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-        union = F.col("na") + F.col("nb") - F.col("i")
+        both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+        union = F.size("sa") + F.size("sb") - F.col("i")
         # the exact integer test decides; the distance of a link is never above the threshold, of others always
         linked = F.col("i") * den >= union * num
         distance = 1 - F.col("i") / union
         limit = 1 - num / den
         return both.select("a", "b", F.when(linked, F.least(distance, F.lit(limit))).otherwise(F.greatest(distance, F.lit(limit + 1e-9))).alias("distance"))
 
-    roots, _ = connect(starred, measure, 1 - num / den)
+    def join_blocks(dealt: DataFrame) -> DataFrame:
+        rows = dealt.join(shingled, "node")
+        return rows.groupBy("region", "_bi", "_bj").applyInPandas(lambda pdf: linked_sets(pdf, num, den), "a long, b long")
+
+    roots, _ = connect(starred, measure, join_blocks, 1 - num / den)
     classes = first.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = classes.join(smallest, "root").select("node", "component_id")
