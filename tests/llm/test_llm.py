@@ -327,8 +327,9 @@ def test_signatures_meet_at_the_threshold():
                 assert np.intersect1d(near_dedup.signatures(a, bands), near_dedup.signatures(b, bands)).size
 
 
-def test_voronoi_recursion_is_exact(spark):
-    """Points on a line, one region: cells and windows must find every component."""
+@pytest.mark.parametrize("blocked", [0, 2048])
+def test_recursion_and_blocks_are_exact(spark, monkeypatch, blocked):
+    """Points on a line, one region: cells and windows, or blocks, must find every component."""
     rnd = random.Random(12)
     at = sorted(rnd.sample(range(4000), 260))
     where = spark.createDataFrame([(i, x) for i, x in enumerate(at)], "id long, x long")
@@ -338,7 +339,13 @@ def test_voronoi_recursion_is_exact(spark):
         side = lambda n: where.select(F.col("id").alias(n), F.col("x").alias(f"x{n}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.abs(F.col("xa") - F.col("xb")).cast("double").alias("distance"))
 
-    roots, _ = metric_join.connect(star, measure, 12.0, small=4)
+    def join_blocks(dealt):
+        side = lambda n: dealt.join(where, dealt["node"] == where["id"]).select("region", "_bi", "_bj", F.col("_k").alias(f"k{n}"), F.col("node").alias(n), F.col("root").alias(f"r{n}"), F.col("x").alias(f"x{n}"))
+        both = side("a").join(side("b"), ["region", "_bi", "_bj"]).filter("ka = _bi and kb = _bj and ra <> rb and abs(xa - xb) <= 12")
+        return both.select("a", "b")
+
+    monkeypatch.setattr(metric_join, "BLOCKED", blocked)
+    roots, _ = metric_join.connect(star, measure, join_blocks, 12.0, small=4)
     got = {r.node: r.root for r in roots.collect()}
     groups = np.cumsum(np.r_[0, np.diff(at) > 12])
     for g in set(groups):
