@@ -16,6 +16,7 @@ then differ by more than a factor of two).
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import map_text, mix64, rows_of_text
+from epispark.llm.common import map_text, mix64, rows_of_text, stage
 
 _CACHED = 400_000
 _PENDING = 200_000
@@ -48,11 +49,30 @@ class TermHashes(dict):
         return found
 
 
+class BandHashes(dict):
+    """term -> its hash if the lexicon has it, else 0, remembered for a bounded number of terms."""
+
+    def __init__(self, lexicon: np.ndarray):
+        super().__init__()
+        self.lexicon, self.hashes = lexicon, TermHashes()
+
+    def __missing__(self, term: str) -> int:
+        found = self.hashes.__missing__(term)
+        at = int(np.searchsorted(self.lexicon, found))
+        if at == len(self.lexicon) or self.lexicon[at] != found:
+            found = 0
+        self.hashes.clear()
+        if len(self) >= _CACHED:
+            self.clear()
+        self[term] = found
+        return found
+
+
 def term_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df): the 64-bit hash of each term, and the number of rows that have it."""
 
     def make():
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
         hashes = TermHashes()
 
         def flush():
@@ -65,8 +85,7 @@ def term_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
             if texts is None:
                 return flush()
             for text in texts:
-                for term in terms(text or ""):
-                    counts[term] = counts.get(term, 0) + 1
+                counts.update(terms(text or ""))
             return flush() if len(counts) > _PENDING else None
 
         return run
@@ -83,7 +102,7 @@ def band_lexicon(df: DataFrame, text_col: str = "text", idf_low: float = 2.0, id
     """
     rows = df.count()
     least, most = rows * math.exp(-idf_high), rows * math.exp(-idf_low)
-    band = term_frequencies(df, text_col).filter((F.col("df") >= max(2.0, least)) & (F.col("df") <= max(2.0, most)))
+    band = stage(term_frequencies(df, text_col).filter((F.col("df") >= max(2.0, least)) & (F.col("df") <= max(2.0, most))))
     by_df = band.groupBy(F.floor(F.log2("df") * 4).alias("size")).count().orderBy(F.desc("size")).collect()
     kept, smallest = 0, None
     for r in by_df:
@@ -106,7 +125,7 @@ def _subset_hashes(found: np.ndarray, level: int, subsets: int) -> str:
     order = np.lexsort((found, cell))
     found, cell = found[order], cell[order]
     out = [0] * subsets
-    if len(found):
+    if len(found):  # sorted distinct terms of each subset, hashed
         cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist() + [len(found)]
         raw = found.tobytes()
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -114,7 +133,7 @@ def _subset_hashes(found: np.ndarray, level: int, subsets: int) -> str:
     return "".join(f"{x:08x}" for x in out)
 
 
-def fingerprint(text: str, lexicon: np.ndarray, hashes: TermHashes, subsets: int = 32, few: int = 8) -> str:
+def fingerprint(text: str, band_hashes: BandHashes, subsets: int = 32, few: int = 8) -> str:
     """``level:hashes`` of the band terms, of two levels; with few of them also of all terms.
 
     Sections are joined by ``|``; those of all terms start with ``a``. A text without terms has the
@@ -123,12 +142,9 @@ def fingerprint(text: str, lexicon: np.ndarray, hashes: TermHashes, subsets: int
     words = terms(text)
     if not words:
         return "e"
-    every = np.sort(np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
-    if len(lexicon):
-        at = np.minimum(np.searchsorted(lexicon, every), len(lexicon) - 1)
-        band = every[lexicon[at] == every]
-    else:
-        band = every[:0]
+    band = np.fromiter(map(band_hashes.__getitem__, words), np.int64, len(words))
+    band = band[band != 0]
+    every = np.fromiter(map(band_hashes.hashes.__getitem__, words), np.int64, len(words)) if len(band) < 2 * few else band
     out = []
     least = max(0, int(math.log2(subsets)))
     for name, found in (("", band), ("a", every)):
@@ -163,8 +179,8 @@ def add_fingerprints(df: DataFrame, lexicon: np.ndarray, columns: dict[str, str]
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def make():
-        hashes = TermHashes()
-        return lambda *lists: [pa.array([fingerprint(t, shared.value, hashes, subsets) for t in texts], pa.string()) for texts in lists]
+        hashes = BandHashes(shared.value)
+        return lambda *lists: [pa.array([fingerprint(t, hashes, subsets) for t in texts], pa.string()) for texts in lists]
 
     return map_text(df, list(columns), [T.StructField(c, T.StringType()) for c in columns.values()], make, drop)
 
@@ -179,7 +195,7 @@ def add_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return map_text(df, sides, [T.StructField(c, T.DoubleType()) for c in pairs], make)
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], ids: DataFrame | None = None, most_ranges: int = 4096, rows_per_range: int = 4000) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str], ids: DataFrame | None = None, most_ranges: int = 4096, rows_per_range: int = 1000) -> DataFrame:
     """Add ``next_<column>``: the values of the row with the next smaller id; the last row's next is the first.
 
     Rows are dealt into at most ``most_ranges`` ranges of the id, cut at quantiles, so no task orders all
