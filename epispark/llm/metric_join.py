@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from epispark.llm.common import stage
 
 #: Regions of up to this many members are joined in blocks of BLOCK members; larger ones fall apart into cells.
-BLOCKED, BLOCK = 2048, 64
+BLOCKED, BLOCK = 2048, 256
 #: Regions with up to this many members outside their largest component compare them directly.
 SMALL = 24
 
