@@ -15,6 +15,7 @@ Equal sets are merged first, by a hash of the set.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -64,12 +65,13 @@ def shingles(text: str, words: int, hashes: WordHashes) -> np.ndarray:
 class Bands:
     """Size bands and numbers of cells for the threshold ``num / den`` on the similarity."""
 
-    def __init__(self, num: int, den: int, spare: float = 0.03, largest: int = 1 << 40):
+    def __init__(self, num: int, den: int, rare: float = 1e-3, largest: int = 1 << 40):
         starts = [1]
         while starts[-1] <= largest:
             starts.append(max(starts[-1] + 1, (starts[-1] - 1) * den // num + 1))
         self.starts = np.array(starts, dtype=np.int64)
-        self.num, self.den, self.spare = num, den, spare
+        self.num, self.den, self.rare = num, den, rare
+        self.known: dict[int, tuple[int, int]] = {}
 
     def band(self, size: int) -> int:
         return int(np.searchsorted(self.starts, size, side="right")) - 1
@@ -77,12 +79,27 @@ class Bands:
     def cells(self, band: int) -> tuple[int, int]:
         """(m, spare): cells for pairs whose smaller set is in ``band``; empty cells that a set may have.
 
-        m is 0 where sets within the threshold are equal.
+        m is 0 where sets within the threshold are equal. The spare is the smallest that fewer than ``rare`` of
+        the band's sets exceed (their number of empty cells is nearly Poisson), or else the one that the
+        fewest exceed.
         """
-        small = int(self.starts[band + 1]) - 1
-        differ = (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-        spare = 1 + int(self.spare * differ)
-        return (differ + 1 + spare, spare) if differ else (0, 0)
+        if band not in self.known:
+            low, small = int(self.starts[band]), int(self.starts[band + 1]) - 1
+            differ = (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+            best = (2.0, 0)
+            for spare in range(1, differ + 6) if differ else ():
+                m = differ + 1 + spare
+                mean = m * math.exp(-low / m)
+                term = below = math.exp(-mean)
+                for k in range(1, spare + 1):
+                    term *= mean / k
+                    below += term
+                best = min(best, (1 - below, spare))
+                if 1 - below < self.rare:
+                    best = (1 - below, spare)
+                    break
+            self.known[band] = (differ + 1 + best[1], best[1]) if differ else (0, 0)
+        return self.known[band]
 
     def roles(self, size: int) -> list[int]:
         """The bands in which a set of this size can be in a pair: its own, and as the larger one the band below."""
