@@ -6,12 +6,15 @@ its substrings that could be such a segment, in windows around the segment's pla
 key are a region of ``metric_join``; candidates are verified by a bit-parallel edit distance in a band of
 2 * threshold + 1 diagonals. Keys are made only of what each task has once.
 
-Of a group of (nearly) equal lines one stays: the one whose first document has the smallest id. Lines
-shorter than ``min_chars`` always stay.
+Of a group of (nearly) equal lines one stays: the one whose first document has the smallest id. Equal lines
+are found at any length; the edits that short lines may have are scaled to their length. Blank lines always stay.
 """
 
 from __future__ import annotations
 
+import sys
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epispark.llm.common import bit_filter, join_on_key, map_text, rows_of_text, session_defaults, stage
-from epispark.llm.metric_join import connect, local_stars, stars
+from epispark.llm.metric_join import components, connect, local_stars, stars
 
 _PENDING = 1_000_000
 
@@ -115,15 +118,26 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(distance, most + 1)
 
 
+def edit_levels(threshold: int, near_chars: int) -> list[tuple[int, int, int | None]]:
+    """(edits, shortest, longest) of the joins that find all near lines.
+
+    A pair may have as many edits as ``threshold`` times its shorter line's share of ``near_chars``, rounded
+    down, and ``threshold`` at most. A join takes the lines that are the shorter one of a pair with so many edits,
+    and those that are longer by these edits.
+    """
+    starts = [-(-near_chars * k // threshold) for k in range(1, threshold + 1)]
+    return [(k, low, starts[k] - 1 + k if k < threshold else None) for k, low in enumerate(starts, 1)]
+
+
 def line_rows(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, line): one row for each row and distinct line hash of at least ``min_chars`` characters."""
+    """(id, line): one row for each row and distinct hash of a line, but for blank ones and those below ``min_chars`` characters."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
 
     def make():
         def run(ids, texts):
             out_ids, out = [], []
             for i, t in zip(ids, texts):
-                found = {line_hash(x) for x in (t or "").split("\n") if len(x) >= min_chars}
+                found = {line_hash(x) for x in (t or "").split("\n") if len(x) >= min_chars and not x.isspace()}
                 out += found
                 out_ids += [i] * len(found)
             return {"id": out_ids, "line": out}
@@ -133,8 +147,9 @@ def line_rows(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
     return rows_of_text(rows, ["id", "t"], "id long, line long", make)
 
 
-def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int) -> DataFrame:
+def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int, max_chars: int | None = None) -> DataFrame:
     """Rows (region, node, pivot): the keys of every distinct line of a task, merged there."""
+    most = sys.maxsize if max_chars is None else max_chars
     rows = df.select(F.col(f"`{text_col}`").alias("t"))
 
     def make():
@@ -154,7 +169,7 @@ def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int) -
         def run(texts):
             for t in texts or ():
                 for x in (t or "").split("\n"):
-                    if len(x) >= min_chars and (h := line_hash(x)) not in seen:
+                    if min_chars <= len(x) <= most and not x.isspace() and (h := line_hash(x)) not in seen:
                         seen.add(h)
                         found = line_keys(x, threshold)
                         keys.extend(found)
@@ -167,9 +182,11 @@ def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int) -
     return rows_of_text(rows, ["t"], "region long, node long, pivot long", make, finish=True)
 
 
-def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_chars: int = 40) -> DataFrame:
-    """(node, root): hashes of the distinct lines that have another line within ``threshold`` edits, by component."""
-    starred = stage(stars(line_regions(df, text_col, threshold, min_chars)))
+def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_chars: int = 40, max_chars: int | None = None) -> DataFrame:
+    """(node, root): hashes of the distinct lines of ``min_chars`` to ``max_chars`` characters that have
+    another one within ``threshold`` edits, by component."""
+    most = sys.maxsize if max_chars is None else max_chars
+    starred = stage(stars(line_regions(df, text_col, threshold, min_chars, max_chars)))
     nodes = stage(starred.select("node").unionByName(starred.select(F.col("pivot").alias("node"))).distinct())
     shared = df.sparkSession.sparkContext.broadcast(bit_filter(nodes, "node"))
 
@@ -181,7 +198,7 @@ def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_ch
             kept = {}
             for t in texts:
                 for x in (t or "").split("\n"):
-                    if len(x) >= min_chars and (h := line_hash(x)) not in kept:
+                    if min_chars <= len(x) <= most and (h := line_hash(x)) not in kept:
                         at = xxhash.xxh64_intdigest((h & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), seed=42) >> 40
                         if int(bits[at >> 6]) >> (at & 63) & 1:
                             kept[h] = x
@@ -215,14 +232,16 @@ def linked_lines(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int = 40, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int | None = None, drop_emptied: bool = False, near_chars: int = 40) -> DataFrame:
     """The rows of ``df`` with repeated lines taken out of the text; adds n_lines and n_dropped.
 
-    Lines are what stands between line feeds. A line of at least ``min_chars`` characters is dropped where
-    an equal line stands before it in its text or in a text of a smaller id, and everywhere if lines
-    within ``threshold`` edits of it (directly or by a chain) begin in a text of a smaller id. Of lines that
-    begin in the same text the one with the smallest hash stays. With ``drop_emptied`` rows go whose text
-    loses every line to other rows.
+    Lines are what stands between line feeds. A line that is not blank is dropped where an equal line
+    stands before it in its text or in a text of a smaller id, and everywhere if lines near it (directly or by a
+    chain) begin in a text of a smaller id. Of lines that begin in the same text the one with the smallest hash
+    stays. Lines of at least ``near_chars`` characters are near within ``threshold`` edits, shorter ones within
+    fewer edits in proportion (``edit_levels``). Where ``min_chars`` is given, shorter lines always stay and
+    all others are near within ``threshold`` edits. With ``drop_emptied`` rows go whose text loses every line
+    but blank ones, and one at least to another row.
 
     Nulls: a null text counts as empty and stays null; rows with a null id never lose a line to another
     row, nor take one. Repeated ids count as one text. Very long texts are read whole. An empty table
@@ -230,9 +249,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     that start with ``_`` are reserved.
     """
     session_defaults(df.sparkSession)
-    held = line_rows(df.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, min_chars)
+    levels = edit_levels(threshold, near_chars) if min_chars is None else [(threshold, min_chars, None)]
+    shortest = 1 if min_chars is None else max(min_chars, 1)
+    held = line_rows(df.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, shortest)
     first = held.groupBy("line").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("texts"))
-    roots = near_lines(df, text_col, threshold, min_chars)
+    found = [near_lines(df, text_col, *level) for level in levels]
+    roots = found[0]
+    if len(found) > 1:  # a line can be in the groups of two levels
+        roots = components(reduce(DataFrame.unionByName, found).select(F.col("root").alias("a"), F.col("node").alias("b")))
     grouped = roots.join(first, roots["node"] == first["line"]).select("node", "root", F.struct("first", "node").alias("rank"))
     best = grouped.groupBy("root").agg(F.min("rank").alias("best"))
     losers = grouped.join(best, "root").filter(F.col("rank") > F.col("best")).select(F.col("node").alias("line"), F.lit(True).alias("loses"))
@@ -249,7 +273,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                 parts = t.split("\n")
                 out, gone, seen = [], set(d), set()
                 for x in parts:
-                    if len(x) >= min_chars:
+                    if len(x) >= shortest and not x.isspace():
                         h = line_hash(x)
                         if h in gone or h in seen:
                             continue

@@ -187,6 +187,29 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_takes_short_lines(spark):
+    """Equal lines go at any length, near ones by edits in proportion to their length; copies leave no stub."""
+    long = "a line of more than forty characters stands here"
+    texts = [
+        f"All rights reserved.\n{long}\n\nok\nok",
+        f"All rights reserved.\n\nok\n{long}",  # a copy: all its lines go
+        "All rights reserved!\nbut not this",  # 20 characters: one edit
+        "All rights reservid!\nbut nod this",  # a chain's next; below 20 characters no edits
+        "All rights withheld.",
+        "\n \n",
+        None,
+        "x" * 39 + "\n" + "y" * 40,
+        "x" * 40 + "\n" + "y" * 38 + "zz",  # 39 and 40: one edit; 40 and 40: two
+        "x" * 37 + "zz\nvalue",  # 39: two edits are too many
+    ]
+    want = [f"All rights reserved.\n{long}\n\nok", "", "but not this", "but nod this", texts[4], "\n \n", None, texts[7], "", texts[9]]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[i].text for i in range(len(texts))] == want
+    assert got[0].n_dropped == 1 and got[1].n_dropped == 3
+    kept = {r.doc_id for r in line_dedup.dedup_lines(frame(spark, texts), drop_emptied=True).collect()}
+    assert kept == {0, 2, 3, 4, 5, 6, 7, 9}
+
+
 # 4 URL filters
 
 
