@@ -33,9 +33,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays."""
-    groups = near_duplicates(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(groups.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays.
+
+    Documents without an id come after all that have one, in the order of a hash of their columns: one of them
+    stays if its group has no id, and of equal ones (empty ones too) one at most.
+    """
+    late = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*COLUMNS[1:]), 2))
+    docs = docs.select(*COLUMNS, F.coalesce("doc_id", late).alias("_id"))
+    groups = near_duplicates(docs, "_id").filter("component_id = _id").select("_id")
+    kept = docs.join(groups.distinct(), "_id", "left_semi")
+    return kept.filter("doc_id is not null").unionByName(kept.filter("doc_id is null").dropDuplicates(["_id"])).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

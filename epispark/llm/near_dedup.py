@@ -226,8 +226,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows link when den * |intersection| >= num * |union| for ``similarity`` = (num, den). A text of fewer
     than ``words`` words is one shingle. Nulls: a null text counts as empty; empty sets link with nothing,
-    so their component is their own id; rows with a null id are in no component's minimum and get their
-    set's component (null if they are alone). Repeated rows and ties are in one component. An
+    so their component is their own id; rows with a null id link as others do, but are in no component's
+    minimum (the component of nothing but such rows is null). Repeated rows and ties are in one component. An
     empty table gives no rows. Extra columns are not read. Sets are told apart by 64-bit hashes: among N
     different sets the chance of any mistake is about N*N/2**65.
     """
@@ -237,24 +237,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = stage(shingle_sets(df, id_col, text_col, words))
     starred = stage(stars(emit_regions(df, text_col, words, bands)))
     nodes = starred.select("node").unionByName(starred.select(F.col("pivot").alias("node"))).distinct()
-    first = stage(sets.filter("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    # the id is null for sets that only rows without an id have
+    first = stage(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
     wanted = stage(first.join(nodes, "node", "left_semi").select("node", "id"))
-    shared = df.sparkSession.sparkContext.broadcast(bit_filter(wanted, "id"))
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast((bit_filter(wanted.filter("id is not null"), "id"), bit_filter(wanted.filter("id is null"), "node")))
 
-    # the sets of the nodes that some pair needs; other rows are filtered out by a bitmap before they move
+    # the sets of the nodes that some pair needs; other rows are filtered out by a bitmap before they move:
+    # by their id before they are cut into shingles, or by their set's hash where they have no id
     def make():
         hashes = WordHashes()
-        bits = shared.value.view(np.uint64)
+        by_id, by_node = (bits.view(np.uint64) for bits in shared.value)
+
+        def held(bits, value):
+            at = _spark_xxhash64(value) >> (64 - 24)
+            return int(bits[at >> 6]) >> (at & 63) & 1
 
         def run(ids, texts):
             kept = {}
             for i, t in zip(ids, texts):
-                if i is None:
-                    continue
-                at = _spark_xxhash64(i) >> (64 - 24)
-                if int(bits[at >> 6]) >> (at & 63) & 1:
+                if i is None or held(by_id, i):
                     s = shingles(t or "", words, hashes)
-                    kept[set_hash(s)] = s
+                    h = set_hash(s)
+                    if i is not None or held(by_node, h):
+                        kept[h] = s
             return {"node": list(kept), "s": pa.array([s.view(np.int64) for s in kept.values()], pa.list_(pa.int64()))} if kept else None
 
         return run

@@ -330,6 +330,41 @@ def test_near_duplicates_equal_brute_force(spark, n, num, den):
     assert [got[i] for i in range(len(texts))] == _jaccard_components(texts, n, num, den)
 
 
+def test_near_duplicates_link_rows_without_ids(spark):
+    """Sets that only rows without an id have are pivots like others, and lose no link between rows with ids."""
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(60)]
+        edits = [list(base) for _ in range(3)]
+        for e, k in zip(edits, (5, 30, 55)):
+            e[k] = "edit"
+        # the middle one has the id null: 60 words, each edit changes 3 of 58 shingles
+        order = rnd.sample(range(3), 3)
+        rows += [(None, " ".join(base)), (3 * g, " ".join(edits[order[0]])), (3 * g + 1, " ".join(edits[order[1]]))]
+        want |= {3 * g: 3 * g, 3 * g + 1: 3 * g}
+    rows += [(None, "no other has this text"), (None, "")]
+    for words, similarity in ((3, (8, 10)), (3, (9, 10))):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        got = near_dedup.near_duplicates(df, words=words, similarity=similarity).collect()
+        assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+        assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted([str(3 * g) for g in range(12)] + ["None"] * 2)
+
+
+def test_pipeline_keeps_rows_without_ids(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(80)]
+    near = " ".join(base[:40] + ["edit"] + base[41:])
+    other = " ".join(f"v{k}" for k in range(80))
+    rows = [(7, " ".join(base)), (None, near), (None, other), (None, other), (None, other + " more"), (None, ""), (None, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(i for i, _ in got if i is not None) == [7, 8]
+    alone = [t for i, t in got if i is None]
+    assert len(alone) == 2 and "" in alone and near not in alone
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
