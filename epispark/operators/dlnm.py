@@ -100,16 +100,20 @@ def minimum_risk(coef: np.ndarray, vcov: np.ndarray, spline: NaturalSpline, low:
     return float(x[k]), k in (0, points - 1)
 
 
-FIT_SCHEMA = """status string, reason string, n_rows bigint, n_deaths double, n_params int, dispersion double, mmt double, mmt_at_boundary boolean,
-p1 double, p99 double, rr_p1 double, rr_p1_lo double, rr_p1_hi double, rr_p99 double, rr_p99_lo double, rr_p99_hi double,
-extra_log_rr double, extra_se double, coef array<double>, vcov array<double>"""
+#: Percentiles at which the relative risk is reported; the minimum is looked for between the outer ones.
+PERCENTILES = {"p1": 0.01, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
 
-PERCENTILES = (0.01, 0.99)
+FIT_SCHEMA = ", ".join([
+    "status string, reason string, n_rows bigint, n_deaths double, n_params int, dispersion double, mmt double, mmt_at_boundary boolean",
+    *[f"{p} double" for p in PERCENTILES],
+    *[f"rr_{p}{side} double" for p in PERCENTILES for side in ("", "_lo", "_hi")],
+    "extra_log_rr double, extra_se double, coef array<double>, vcov array<double>",
+])
 
 
 def fit_regions(
     panel: DataFrame,
-    spline: NaturalSpline,
+    spline: NaturalSpline | dict[str, NaturalSpline],
     keys: tuple[str, ...] = ("region",),
     deaths: str = "deaths",
     exposure: str = "exposure",
@@ -121,31 +125,37 @@ def fit_regions(
     min_rows: int = 365,
     extra: tuple[str, ...] = (),
     splined: tuple[str, ...] = (),
-    per_row: tuple[str, str] | None = None,
-    centre: float | None = None,
+    per_row: tuple[str, str, str] | None = None,
+    centre: float | str | None = None,
 ) -> DataFrame:
     """Fit deaths ~ cross-basis + ns(time) + weekday (+ extra columns, + ns(df=3) of ``splined``) for each key.
 
     One row a key with status success, skip (fewer than ``min_rows`` usable rows) or error; errors stay
-    in their row. ``per_row`` names two columns (lags, lag_df) that hold each group's own specification.
-    The first of ``extra`` is reported as extra_log_rr. ``centre`` fixes the reference exposure.
+    in their row. ``per_row`` names three columns (lags, spline, lag_df) that hold each group's own specification;
+    ``spline`` then has the splines by name. The first of ``extra`` is reported as extra_log_rr. ``centre`` fixes the
+    reference exposure, or names a column with each group's own; groups without one are skipped.
     """
-    names = [*keys, date, deaths, exposure, cb, *extra, *splined, *(per_row or ())]
+    centres = (centre,) if isinstance(centre, str) else ()
+    names = [*keys, date, deaths, exposure, cb, *extra, *splined, *(per_row or ()), *centres]
     ready = panel.select(*dict.fromkeys(names)).withColumn(date, F.datediff(date, F.lit("1970-01-01").cast("date")))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in panel.select(*keys).schema.fields) + ", " + FIT_SCHEMA
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = {k: pdf[k].iloc[0] for k in keys} | {n.split()[0]: None for n in FIT_SCHEMA.replace("\n", " ").split(", ")}
+        base = {k: pdf[k].iloc[0] for k in keys} | {n.split()[0]: None for n in FIT_SCHEMA.split(", ")}
         base["n_rows"], base["n_deaths"] = len(pdf), float(pdf[deaths].sum())
         try:
-            n_lags, n_df = (int(pdf[c].iloc[0]) for c in per_row) if per_row else (lags, lag_df)
+            n_lags, curve, n_df = (pdf[c].iloc[0] for c in per_row) if per_row else (lags, None, lag_df)
+            n_lags, n_df, curve = int(n_lags), int(n_df), spline[curve] if per_row else spline
+            reference = pdf[centre].iloc[0] if centres else centre
+            if centres and pd.isna(reference):
+                return pd.DataFrame([base | {"status": "skip", "reason": "no reference exposure"}])
             rows = pdf.dropna(subset=[deaths, exposure, cb, *extra, *splined]).sort_values(date)
             if len(rows) < min_rows:
                 return pd.DataFrame([base | {"status": "skip", "reason": f"{len(rows)} usable rows, {min_rows} needed"}])
             x, y, day = rows[exposure].to_numpy(float), rows[deaths].to_numpy(float), rows[date].to_numpy(float)
             if y.sum() <= 0:
                 return pd.DataFrame([base | {"status": "error", "reason": "no events"}])
-            p = spline.df * n_df
+            p = curve.df * n_df
             cross = np.stack(rows[cb].to_numpy())[:, :p]
             years = max((day[-1] - day[0]) / 365.25, 1e-9)
             season = NaturalSpline((day[0], max(day[-1], day[0] + 1)), tuple(np.quantile(day, np.linspace(0, 1, max(2, round(df_per_year * years) + 1))[1:-1])))
@@ -162,12 +172,12 @@ def fit_regions(
             coef, vcov = beta[:p], cov[:p, :p]
             if not np.isfinite(vcov).all() or not np.isfinite(coef).all() or (np.diag(vcov) <= 0).any():
                 return pd.DataFrame([base | {"status": "error", "reason": "covariance is not finite and positive"}])
-            low, high = np.quantile(x, PERCENTILES)
-            mmt, edge = minimum_risk(coef, vcov, spline, low, high, n_lags, n_df) if centre is None else (float(centre), False)
-            rr, se = cumulative_rr(coef, vcov, spline, np.array([low, high]), mmt, n_lags, n_df)
-            out = {"status": "success", "n_params": len(kept), "dispersion": dispersion, "mmt": mmt, "mmt_at_boundary": edge, "p1": low, "p99": high, "coef": coef.tolist(), "vcov": vcov.ravel(order="F").tolist()}
-            for i, name in enumerate(("p1", "p99")):
-                out |= {f"rr_{name}": float(np.exp(rr[i])), f"rr_{name}_lo": float(np.exp(min(rr[i] - 1.96 * se[i], 700))), f"rr_{name}_hi": float(np.exp(min(rr[i] + 1.96 * se[i], 700)))}
+            at = np.quantile(x, list(PERCENTILES.values()))
+            mmt, edge = minimum_risk(coef, vcov, curve, at[0], at[-1], n_lags, n_df) if reference is None else (float(reference), False)
+            rr, se = cumulative_rr(coef, vcov, curve, at, mmt, n_lags, n_df)
+            out = {"status": "success", "n_params": len(kept), "dispersion": dispersion, "mmt": mmt, "mmt_at_boundary": edge, "coef": coef.tolist(), "vcov": vcov.ravel(order="F").tolist()}
+            for i, name in enumerate(PERCENTILES):
+                out |= {name: at[i], f"rr_{name}": float(np.exp(rr[i])), f"rr_{name}_lo": float(np.exp(min(rr[i] - 1.96 * se[i], 700))), f"rr_{name}_hi": float(np.exp(min(rr[i] + 1.96 * se[i], 700)))}
             if extra and p in kept:
                 at = int(np.flatnonzero(kept == p)[0])
                 out |= {"extra_log_rr": float(beta[at]), "extra_se": float(np.sqrt(cov[at, at]))}
@@ -178,15 +188,22 @@ def fit_regions(
     return ready.groupBy(*keys).applyInPandas(fit, schema)
 
 
-def fit_grid(panel: DataFrame, spline: NaturalSpline, specs: list[tuple[int, int]], keys: tuple[str, ...] = ("region",), exposure: str = "exposure", **options) -> DataFrame:
-    """Fits for each specification (lags, lag_df) and key in one job; adds the columns lags and lag_df to the key."""
+def fit_grid(panel: DataFrame, splines: dict[str, NaturalSpline], specs: list[tuple[int, str, int]], keys: tuple[str, ...] = ("region",), exposure: str = "exposure", **options) -> DataFrame:
+    """Fits for each specification (lags, name of the exposure's spline, lag_df) and key in one job.
+
+    Adds the columns lags, spline and lag_df to the key, and exposure_df.
+    """
     out = None
-    width = max(spline.df * k for _, k in specs)
-    for lags, lag_df in specs:
-        part = cross_basis(panel, exposure, spline, lags, lag_df, keys)
-        part = part.withColumns({"lags": F.lit(lags), "lag_df": F.lit(lag_df), "cb": F.when(F.col("cb").isNotNull(), F.concat("cb", F.array_repeat(F.lit(0.0), width - spline.df * lag_df)))})
+    width = max(splines[name].df * k for _, name, k in specs)
+    for lags, name, lag_df in specs:
+        part = cross_basis(panel, exposure, splines[name], lags, lag_df, keys)
+        zeros = F.array_repeat(F.lit(0.0), width - splines[name].df * lag_df)
+        part = part.withColumns({"lags": F.lit(lags), "spline": F.lit(name), "lag_df": F.lit(lag_df), "cb": F.when(F.col("cb").isNotNull(), F.concat("cb", zeros))})
         out = part if out is None else out.unionByName(part)
-    return fit_regions(out, spline, (*keys, "lags", "lag_df"), exposure=exposure, per_row=("lags", "lag_df"), **options)
+    spec = ("lags", "spline", "lag_df")
+    fits = fit_regions(out, splines, (*keys, *spec), exposure=exposure, per_row=spec, **options)
+    sizes = F.create_map(*[F.lit(v) for name, s in splines.items() for v in (name, s.df)])
+    return fits.withColumn("exposure_df", F.element_at(sizes, F.col("spline")))
 
 
 def predict_rr(fits: DataFrame, spline: NaturalSpline, at: Column, centre: Column, lags: int = 21, lag_df: int = 4, prefix: str = "") -> DataFrame:

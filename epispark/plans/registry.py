@@ -643,17 +643,21 @@ def merge_increment(spark, sf):
 # Models (no SQL: fitted by iteration)
 
 
-def exposure_spline(df: DataFrame) -> NaturalSpline:
-    """Knots at global quantiles, boundary at the range: five numbers on the driver."""
-    q = df.agg(F.percentile("exposure", F.array(*[F.lit(v) for v in (0.0, 0.1, 0.75, 0.9, 1.0)])).alias("q")).first()["q"]
-    low, *inner, high = q or [0.0, 10.0, 25.0, 40.0, 50.0]
-    return NaturalSpline((low, high), tuple(sorted(set(inner) - {low, high})) or ((low + high) / 2,))
+def exposure_spline(df: DataFrame, inner: tuple[float, ...] = (0.1, 0.75, 0.9)) -> NaturalSpline:
+    """Knots at global quantiles, boundary at the range: a few numbers on the driver."""
+    q = df.agg(F.percentile("exposure", F.array(*[F.lit(v) for v in (0.0, *inner, 1.0)])).alias("q")).first()["q"]
+    low, *knots, high = q or [0.0, *[50.0 * v for v in inner], 50.0]
+    return NaturalSpline((low, high), tuple(sorted(set(knots) - {low, high})) or ((low + high) / 2,))
 
 
-def fitted_regions(spark, sf, lags: int = 7, lag_df: int = 3) -> tuple[DataFrame, NaturalSpline]:
+def fitted_regions(spark, sf) -> tuple[DataFrame, NaturalSpline]:
     p = panel(spark, sf)
     spline = exposure_spline(p)
-    return dlnm.fit_regions(dlnm.cross_basis(p, "exposure", spline, lags, lag_df), spline, lags=lags, lag_df=lag_df, df_per_year=2), spline
+    return dlnm.fit_regions(dlnm.cross_basis(p, "exposure", spline), spline), spline
+
+
+def pooled_fit(fits: DataFrame) -> DataFrame:
+    return pooling.pool_multivariate(fits.filter("status = 'success'"), [], min_studies=3).filter("coef is not null")
 
 
 @query()
@@ -664,15 +668,19 @@ def dlnm_region_fit(spark, sf):
 @query()
 def dlnm_pooled_curve(spark, sf):
     fits, spline = fitted_regions(spark, sf)
-    pooled = pooling.pool_multivariate(fits.filter("status = 'success'"), [], min_studies=3).filter("coef is not null")
     low, high = spline.boundary
-    return dlnm.predict_rr(pooled, spline, stats.grid(low, (high - low) / 99, 100), F.lit((low + high) / 2), 7, 3).select("at", "rr", "rr_lo", "rr_hi")
+    return dlnm.predict_rr(pooled_fit(fits), spline, stats.grid(low, (high - low) / 99, 100), F.lit((low + high) / 2)).select("at", "rr", "rr_lo", "rr_hi")
+
+
+#: The main model at other lags, and exposure df x lag df with knots at equally spaced quantiles.
+GRID = [(lags, "main", 4) for lags in (7, 14, 21, 28)] + [(21, f"df{e}", k) for e in (3, 4, 5) for k in (3, 4, 5)]
 
 
 @query()
 def sensitivity_grid(spark, sf):
     p = panel(spark, sf)
-    return dlnm.fit_grid(p, exposure_spline(p), [(3, 3), (7, 3), (7, 4), (14, 3)], df_per_year=2).drop("coef", "vcov")
+    splines = {"main": exposure_spline(p)} | {f"df{e}": exposure_spline(p, tuple(k / e for k in range(1, e))) for e in (3, 4, 5)}
+    return dlnm.fit_grid(p, splines, GRID).drop("coef", "vcov")
 
 
 @query()
@@ -681,15 +689,15 @@ def stratum_fits(spark, sf):
     counts = P.count_events(records(spark, sf).withColumnRenamed("o_orderstatus", "stratum"), ["region", "stratum", "date"])
     p = counts.join(exposure(spark, sf), ["region", "date"])
     spline = exposure_spline(p)
-    return dlnm.fit_regions(dlnm.cross_basis(p, "exposure", spline, 7, 3, ("region", "stratum")), spline, ("region", "stratum"), lags=7, lag_df=3, df_per_year=1).drop("coef", "vcov")
+    return dlnm.fit_regions(dlnm.cross_basis(p, "exposure", spline, by=("region", "stratum")), spline, ("region", "stratum")).drop("coef", "vcov")
 
 
 @query()
 def heatwave_effect(spark, sf):
-    p = ts.attach_quantiles(panel(spark, sf), "exposure", {"p90": 0.9})
-    p = ts.runs(p, F.col("exposure") > F.col("p90"), ["region"], min_length=2).withColumn("heatwave", F.col("in_run").cast("double"))
+    p = ts.attach_quantiles(panel(spark, sf), "exposure", {"p95": 0.95})
+    p = ts.runs(p, F.col("exposure") > F.col("p95"), ["region"], min_length=3).withColumn("heatwave", F.col("in_run").cast("double"))
     spline = exposure_spline(p)
-    fits = dlnm.fit_regions(dlnm.cross_basis(p, "exposure", spline, 7, 3), spline, lags=7, lag_df=3, df_per_year=2, extra=("heatwave",))
+    fits = dlnm.fit_regions(dlnm.cross_basis(p, "exposure", spline), spline, extra=("heatwave",))
     pooled = pooling.pool(pooling.valid_estimates(fits.select(F.lit("all").alias("analysis"), F.col("extra_log_rr").alias("y"), (F.col("extra_se") * F.col("extra_se")).alias("v"))), ["analysis"])
     return pooled.withColumn("rr", F.exp("random"))
 
@@ -701,23 +709,33 @@ def adjusted_models(spark, sf):
     e = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.avg("l_discount").alias("pm25"), F.avg("l_tax").alias("flu"))
     p = p.join(e, "date", "left")
     spline = exposure_spline(p)
-    based = dlnm.cross_basis(p, "exposure", spline, 7, 3)
+    based = dlnm.cross_basis(p, "exposure", spline)
     models = {"main": {}, "pm25": {"splined": ("pm25",)}, "flu": {"extra": ("flu",)}}
     out = None
     for name, options in models.items():
-        part = dlnm.fit_regions(based, spline, lags=7, lag_df=3, df_per_year=2, **options).select(F.lit(name).alias("model"), "region", "status", "rr_p99", "rr_p1")
+        part = dlnm.fit_regions(based, spline, **options).select(F.lit(name).alias("model"), "region", "status", "rr_p99", "rr_p1")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query()
 def monte_carlo_burden(spark, sf):
+    """Burden of the pooled curve against its own minimum; without a pooled curve there are no days to burden."""
     import numpy as np
 
-    spline = NaturalSpline((0.0, 50.0), (15.0, 25.0, 35.0))
     p = panel(spark, sf)
+    fits, spline = fitted_regions(spark, sf)
     q = p.agg(F.percentile("exposure", F.array(*[F.lit(v) for v in CUTS.values()])).alias("q")).first()["q"] or [0.0] * 4
-    draws = burden.monte_carlo(p, np.array([0.05, -0.02, 0.01, 0.03]), np.eye(4) * 0.001, spline, 25.0, dict(zip(CUTS, q)), draws=500)
+    cuts = dict(zip(CUTS, q))
+    pooled = pooled_fit(fits).first()
+    if pooled is None:
+        p, coef, vcov, centre = p.limit(0), np.zeros(spline.df), np.zeros((spline.df, spline.df)), q[0]
+    else:
+        coef = np.array(pooled["coef"])
+        vcov = np.array(pooled["vcov"]).reshape(len(coef), len(coef))
+        centre, _ = dlnm.minimum_risk(coef, vcov, spline, cuts["p1"], cuts["p99"], 21, 4)
+        coef, vcov = dlnm.reduce_over_lags(coef, vcov, spline.df, 21, 4)
+    draws = burden.monte_carlo(p, coef, vcov, spline, centre, cuts)
     return burden.interval_summary(draws, ["heat_an", "cold_an", "extreme_heat_an", "extreme_cold_an", "heat_p99_an", "cold_p1_an", "total_an"])
 
 
@@ -816,8 +834,12 @@ def case_flags(spark, sf):
 
 @query()
 def harvesting_fits(spark, sf):
-    """Lag horizons that share the reference exposure of the longest one, and their harvesting ratio."""
+    """Lag horizons that share the minimum-risk exposure of the longest one, and their harvesting ratio."""
     p = panel(spark, sf)
     spline = exposure_spline(p)
-    fits = dlnm.fit_grid(p, spline, [(3, 3), (7, 3), (14, 3)], df_per_year=2, centre=sum(spline.boundary) / 2)
-    return pooling.harvesting_ratio(fits.filter("status = 'success'"), ["region"], value="rr_p99", short=3, long=14)
+    longest = dlnm.fit_regions(dlnm.cross_basis(p, "exposure", spline, 35), spline, lags=35)
+    p = p.join(longest.select("region", F.col("mmt").alias("centre")), "region", "left")
+    fits = dlnm.fit_grid(p, {"main": spline}, [(lags, "main", 4) for lags in (7, 14, 21, 28, 35)], centre="centre")
+    fits = fits.select("region", "lags", "status", "reason", "mmt", *[f"rr_{k}" for k in dlnm.PERCENTILES])
+    ratios = pooling.harvesting_ratio(fits.filter("status = 'success'"), ["region"], value="rr_p99")
+    return fits.join(ratios, "region", "left")

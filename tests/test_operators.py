@@ -234,3 +234,31 @@ def test_gates(spark):
         quality.require_columns(df, ["y"])
     assert quality.require_match_rate(df.filter("x = 1"), F.col("x").isNotNull()) == "ok"
     assert quality.require_match_rate(df.filter("x = 5"), F.col("x").isNotNull()) == "empty"
+
+
+def test_model_queries_do_the_whole_job(spark):
+    """The grid varies exposure df, horizons reach 35 days and share the longest fit's minimum, five percentiles."""
+    from unittest import mock
+
+    from epispark.plans import registry
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for region in ("a", "b", "c", "short"):
+        for i in range(120 if region == "short" else 800):
+            t = 25 + 8 * np.sin(i / 58) + rng.normal(0, 3)
+            rows.append((region, dt.date(2000, 1, 1) + dt.timedelta(i), float(rng.poisson(60 * np.exp(0.002 * (t - 24) ** 2))), float(t)))
+    df = spark.createDataFrame(rows, "region string, date date, deaths double, exposure double").cache()
+    with mock.patch.object(registry, "panel", lambda spark, sf: df):
+        grid = registry.sensitivity_grid(spark, "").collect()
+        fits = registry.harvesting_fits(spark, "").collect()
+        burden_rows = registry.monte_carlo_burden(spark, "").collect()
+    good = [r for r in grid if r.region == "a"]
+    assert {(r.lags, r.exposure_df, r.lag_df) for r in good} == {(n, 4, 4) for n in (7, 14, 21, 28)} | {(21, e, k) for e in (3, 4, 5) for k in (3, 4, 5)}
+    assert len(good) == 13 and all(r.status == "success" and r.rr_p5 > 0 and r.rr_p50 > 0 and r.rr_p95 > 0 for r in good)
+    assert {r.status for r in grid + fits if r.region == "short"} == {"skip"}
+    for region in "abc":
+        horizons = {r.lags: r for r in fits if r.region == region}
+        assert set(horizons) == {7, 14, 21, 28, 35} and len({r.mmt for r in horizons.values()}) == 1
+        assert horizons[35].rr_p50 >= 1 - 1e-6 and horizons[7].err_long == pytest.approx(horizons[35].rr_p99 - 1)
+    assert burden_rows
