@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm.bpe import bpe_encode, default_tokenizer
+from epispark.llm.bpe import default_tokenizer, round_trip
 from epispark.llm.common import documents, stage
 from epispark.llm.line_dedup import dedup_lines
 from epispark.llm.mixing import mix_sources
@@ -51,12 +51,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What stays, as token ids."""
-    coded = bpe_encode(docs.select("doc_id", "text", "lang", "source"), default_tokenizer(), drop=("text",))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    """What stays, as token ids, and the digest of what they decode to."""
+    coded = round_trip(docs.select("doc_id", "text", "lang", "source"), default_tokenizer(), drop=("text",))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("n-gram Jaccard join", near_dedup), ("mixing sources to target weights", mixing), ("BPE encoding", encode)]
+STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("n-gram Jaccard join", near_dedup), ("mixing sources to target weights", mixing), ("BPE encoding and decoding", encode)]
 
 #: No SQL: stages learn a model, join by edit distance and rake in loops; tests/llm compares with plain Python.
 ORACLE_SQL = None

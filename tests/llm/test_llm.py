@@ -365,6 +365,17 @@ def test_pipeline_keeps_rows_without_ids(spark):
     assert len(alone) == 2 and "" in alone and near not in alone
 
 
+def test_pipeline_decodes_what_it_encodes(spark):
+    import corpus_pipeline
+
+    docs = frame(spark, ["Two  words, été", None]).withColumn("lang", F.lit("en"))
+    name, stage = corpus_pipeline.STAGES[-1]
+    got = {r.doc_id: r for r in stage(spark, docs, "").collect()}
+    assert name == "BPE encoding and decoding" and got[0].n_tokens == len(got[0].ids) > 0
+    decode = bpe.Tokenizer(bpe.read_tokenizer(bpe.default_tokenizer())).decode
+    assert all(r.decoded_sha256 == hashlib.sha256(decode(r.ids).encode()).hexdigest() for r in got.values())
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
