@@ -197,7 +197,8 @@ class QualityModel:
 def train_quality(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> QualityModel:
     """Word vectors from all of ``docs``; the network from at most ``sample`` rows of ``labelled`` (id, label).
 
-    Rows of ``labelled`` with a null id or label are not used; of repeated ids one row counts. If only
+    Rows of ``labelled`` with a null id or label are not used; of repeated ids one row counts,
+    and of their texts the smallest. If only
     one label (or none) is there, every score is that label's share (0.5 without any).
     """
     session_defaults(docs.sparkSession)
@@ -211,6 +212,7 @@ def train_quality(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
         .limit(sample)
     )
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).join(F.broadcast(wanted), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def make():

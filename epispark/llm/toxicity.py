@@ -119,7 +119,8 @@ def train_toxicity(
     """Train on at most ``positives`` confirmed rows and ``unlabelled`` rows of any kind, chosen by id hash.
 
     ``labelled`` holds (id, label); only its positive rows serve as examples, the others only for the
-    class prior where none is given. Without positives every score is 0.
+    class prior where none is given. Of repeated ids one row counts, the one with the smallest text. Without
+    positives every score is 0.
     """
     session_defaults(docs.sparkSession)
     known = labelled.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).filter("_id is not null and _y is not null")
@@ -129,8 +130,9 @@ def train_toxicity(
     by_hash = (F.xxhash64("_id", F.lit("toxicity")), F.col("_id"))
     ids = docs.select(F.col(f"`{id_col}`").alias("_id"))
     chosen = known.filter("_y = 1").orderBy(*by_hash).limit(positives).select("_id", F.lit(1).alias("_p"))
-    chosen = chosen.unionByName(ids.filter("_id is not null").orderBy(*by_hash).limit(unlabelled).select("_id", F.lit(0).alias("_p")))
+    chosen = chosen.unionByName(ids.filter("_id is not null").distinct().orderBy(*by_hash).limit(unlabelled).select("_id", F.lit(0).alias("_p")))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id", "_p").agg(F.min("_t").alias("_t"))
 
     def make():
         cache = Buckets()

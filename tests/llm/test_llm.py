@@ -376,6 +376,18 @@ def test_pipeline_decodes_what_it_encodes(spark):
     assert all(r.decoded_sha256 == hashlib.sha256(decode(r.ids).encode()).hexdigest() for r in got.values())
 
 
+def test_fitted_rows_are_bounded_with_repeated_ids(spark, monkeypatch):
+    rows = [(1, f"bad words {k}") for k in range(40)] + [(k, f"good text {k}") for k in range(2, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1), k % 2) for k in range(1, 8)], "doc_id long, toxic int, quality int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda pos, unl, prior: seen.update(pos=len(pos), unl=len(unl)))
+    toxicity.train_toxicity(docs, labels, unlabelled=5)
+    monkeypatch.setattr(quality, "fit_network", lambda x, y: seen.update(quality=len(x)))
+    quality.train_quality(docs, labels)
+    assert seen == {"pos": 1, "unl": 5, "quality": 7}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
