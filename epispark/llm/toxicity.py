@@ -4,6 +4,9 @@ Confirmed toxic rows are the positives, any text is unlabelled. A linear numpy c
 presence of word buckets is trained with the class-prior-corrected risk
 ``prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])``: where the corrected part would fall below
 zero, the step goes against it, so that the model doesn't learn the positives by heart.
+
+Features are chosen in Spark, from counts over all rows; the driver gets the chosen ones and, of the fitted
+rows, which of them each row has.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import map_text, rows_of_text, session_defaults
+from epispark.llm.common import map_text, rows_of_text, session_defaults, stage
 
 BUCKETS = 1 << 20
 #: Lengths of the word beginnings that count as features, for inflected and compound words.
@@ -64,28 +67,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def choose_features(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int = 1000, least_docs: int = 3, least_ratio: float = 10.0, least_z: float = 3.0) -> np.ndarray:
-    """Buckets that positives have clearly more often than negatives: in at least ``least_docs`` of them,
-    ``least_ratio`` times as often (negatives being the unlabelled less the prior's share of positives),
-    and more often than the unlabelled by ``least_z`` standard errors; the ``most`` significant ones."""
-    cp = np.bincount(np.concatenate(pos), minlength=BUCKETS).astype(float)
-    cu = np.bincount(np.concatenate(unl), minlength=BUCKETS).astype(float)
-    p, u = cp / len(pos), cu / len(unl)
-    z = (p - u) / np.sqrt((p + u) / len(pos) + u / len(unl) + 1e-12)
-    ranked = np.flatnonzero((cp >= least_docs) & (u <= p * (prior + (1 - prior) / least_ratio)) & (z >= least_z))
-    return np.sort(ranked[np.argsort(-z[ranked], kind="stable")][:most])
+def bucket_counts(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(bucket, n): the number of rows with a bucket, over all rows of the one text column; tasks sum first.
+
+    ``only`` (a boolean array over all buckets, a fixed size) says which buckets are counted.
+    """
+    shared = None if only is None else rows.sparkSession.sparkContext.broadcast(np.packbits(only))
+
+    def make():
+        cache, total = Buckets(), np.zeros(BUCKETS, dtype=np.int64)
+        wanted = None if shared is None else np.unpackbits(shared.value).astype(bool)
+
+        def run(texts):
+            if texts is None:
+                used = np.flatnonzero(total if wanted is None else total * wanted)
+                return {"bucket": used, "n": total[used]} if len(used) else None
+            for t in texts:
+                total[word_buckets(t or "", cache)] += 1
+            return None
+
+        return run
+
+    return rows_of_text(rows, rows.columns, "bucket long, n long", make, finish=True).groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def choose_features(positive: DataFrame, all_rows: DataFrame, n_pos: int, n_all: int, prior: float, most: int = 1000, least_docs: int = 3, least_ratio: float = 10.0, least_z: float = 3.0) -> np.ndarray:
+    """From (bucket, n) of the positives and of all rows, the buckets that positives have clearly more often
+    than negatives: in at least ``least_docs`` of them, ``least_ratio`` times as often (negatives being
+    all rows less the prior's share of positives), and more often than all rows by ``least_z`` standard
+    errors; the ``most`` significant ones, ties by bucket."""
+    p, u = F.col("cp") / n_pos, F.col("cu") / n_all
+    both = positive.filter(F.col("n") >= least_docs).select("bucket", F.col("n").alias("cp")).join(all_rows.select("bucket", F.col("n").alias("cu")), "bucket")
+    z = (p - u) / F.sqrt((p + u) / n_pos + u / n_all + 1e-12)
+    ranked = both.withColumn("z", z).filter((u <= p * (prior + (1 - prior) / least_ratio)) & (F.col("z") >= least_z))
+    return np.sort(np.array([r["bucket"] for r in ranked.orderBy(F.desc("z"), "bucket").limit(most).collect()], dtype=np.int64))
 
 
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-6) -> ToxicModel:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
-    chosen = choose_features(pos, unl, prior)
-    lookup = np.full(BUCKETS, -1, dtype=np.int64)
-    lookup[chosen] = np.arange(len(chosen))
+    """Full-batch Adam on the non-negative risk with the logistic loss; rows hold the chosen buckets that they have."""
+    chosen = np.unique(np.concatenate(pos)).astype(np.int64)
 
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        col = lookup[np.concatenate(rows)]
-        return row[col >= 0], col[col >= 0], len(rows)
+        row, found = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+        held = np.isin(found, chosen)
+        return row[held], np.searchsorted(chosen, found[held]), len(rows)
 
     sets = [sparse(pos), sparse(unl)]
     w, b = np.zeros(len(chosen)), np.zeros(1)
@@ -119,35 +144,43 @@ def train_toxicity(
     """Train on at most ``positives`` confirmed rows and ``unlabelled`` rows of any kind, chosen by id hash.
 
     ``labelled`` holds (id, label); only its positive rows serve as examples, the others only for the
-    class prior where none is given. Of repeated ids one row counts, the one with the smallest text. Without
-    positives every score is 0.
+    class prior where none is given. How often all rows have a feature is counted over the whole of ``docs``.
+    Of repeated ids one row is fitted, the one with the smallest text. Null ids are not fitted. Without
+    positives every score is near 0.
     """
     session_defaults(docs.sparkSession)
-    known = labelled.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).filter("_id is not null and _y is not null")
-    known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
+    known = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id is not null and y is not null")
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
     if prior is None:
-        prior = float(known.agg(F.avg("_y")).first()[0] or 0.05)
-    by_hash = (F.xxhash64("_id", F.lit("toxicity")), F.col("_id"))
-    ids = docs.select(F.col(f"`{id_col}`").alias("_id"))
-    chosen = known.filter("_y = 1").orderBy(*by_hash).limit(positives).select("_id", F.lit(1).alias("_p"))
-    chosen = chosen.unionByName(ids.filter("_id is not null").distinct().orderBy(*by_hash).limit(unlabelled).select("_id", F.lit(0).alias("_p")))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).join(F.broadcast(chosen), "_id")
-    rows = rows.groupBy("_id", "_p").agg(F.min("_t").alias("_t"))
+        prior = float(known.agg(F.avg("y")).first()[0] or 0.05)
+    prior = min(max(prior, 1e-4), 0.9)
+    by_hash = (F.xxhash64("id", F.lit("toxicity")), F.col("id"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    chosen = known.filter("y = 1").orderBy(*by_hash).limit(positives).select("id", F.lit(1).alias("p"))
+    chosen = chosen.unionByName(texts.select("id").filter("id is not null").distinct().orderBy(*by_hash).limit(unlabelled).select("id", F.lit(0).alias("p")))
+    fitted = stage(texts.join(F.broadcast(stage(chosen)), "id").groupBy("id", "p").agg(F.min("t").alias("t")))
+    n_pos, n_all = fitted.filter("p = 1").count(), docs.count()
+    if not n_pos:
+        return ToxicModel(np.zeros(0, dtype=np.int64), np.zeros(0), -30.0)
+    positive = stage(bucket_counts(fitted.filter("p = 1").select("t")).filter("n >= 3"))
+    wanted = np.zeros(BUCKETS, dtype=bool)
+    wanted[positive.select("bucket").toPandas()["bucket"].to_numpy(dtype=np.int64)] = True
+    features = choose_features(positive, bucket_counts(texts.select("t"), wanted), n_pos, n_all, prior)
 
     def make():
         cache = Buckets()
 
         def run(ids, texts, flags):
-            found = [word_buckets(t or "", cache) for t in texts]
-            return {"id": pa.array([str(i) for i in ids]), "p": flags, "x": pa.array(found, pa.list_(pa.int64()))}
+            places = []
+            for t in texts:
+                places.append(np.intersect1d(word_buckets(t or "", cache), features, assume_unique=True).astype(np.int32).tobytes())
+            return {"id": pa.array([str(i) for i in ids]), "p": flags, "x": pa.array(places, pa.binary())}
 
         return run
 
-    found = rows_of_text(rows, ["_id", "_t", "_p"], "id string, p int, x array<long>", make).toPandas().sort_values(["id", "p"])
-    pos, unl = [[np.asarray(x, dtype=np.int64) for x in found.loc[found["p"] == p, "x"]] for p in (1, 0)]
-    if not any(map(len, pos)) or not any(map(len, unl)):
-        return ToxicModel(np.zeros(0, dtype=np.int64), np.zeros(0), -30.0)
-    return fit_nnpu(pos, unl, min(max(prior, 1e-4), 0.9))
+    rows = rows_of_text(fitted, ["id", "t", "p"], "id string, p int, x binary", make).toPandas().sort_values(["id", "p"])
+    pos, unl = [[np.frombuffer(x, dtype=np.int32) for x in rows.loc[rows["p"] == p, "x"]] for p in (1, 0)]
+    return fit_nnpu(pos, unl, prior)
 
 
 def score_toxicity(df: DataFrame, model: ToxicModel, text_col: str = "text", score_col: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:
