@@ -220,14 +220,15 @@ def train_quality(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
         def run(ids, texts, labels):
             x = pooled(texts, shared.value, codes)
-            return {"id": pa.array([str(i) for i in ids]), "y": labels, "x": pa.array(list(x), pa.list_(pa.float32()))}
+            return {"id": pa.array([str(i) for i in ids]), "y": labels, "x": pa.array([r.tobytes() for r in x], pa.binary())}
 
         return run
 
-    found = rows_of_text(rows, ["_id", "_t", "_y"], "id string, y int, x array<float>", make).toPandas().sort_values("id")
+    found = rows_of_text(rows, ["_id", "_t", "_y"], "id string, y int, x binary", make).toPandas().sort_values("id")
+    shared.destroy()
     if found["y"].nunique() < 2:
         return QualityModel(vectors, None, float(found["y"].mean()) if len(found) else 0.5)
-    x = np.stack(found["x"].to_numpy()).astype(np.float64)
+    x = np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(len(found), -1).astype(np.float64)
     order = np.random.default_rng(5).permutation(len(found))
     return QualityModel(vectors, fit_network(x[order], found["y"].to_numpy()[order]), float(found["y"].mean()))
 
