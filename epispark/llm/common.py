@@ -2,53 +2,110 @@
 
 from __future__ import annotations
 
-import os
+import re
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows handed to Python at once; documents can be long, so batches are small.
-BATCH_ROWS = 1000
+#: Rows and bytes handed to Python at once: documents can be long, so batches are small.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+_SHIPPED: set[str] = set()
+_STAGED: dict[str, list[str]] = {}
 
 
 def session_defaults(spark: SparkSession) -> None:
-    """Small Arrow batches, this package on the workers' path, a checkpoint folder where the cluster names none."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Small Arrow batches unless the caller has set others, this package for the workers (once a session), and a
+    checkpoint folder.
+
+    The folder is the one that ``spark.checkpoint.dir`` names. Only a local session, whose tasks share the driver's
+    disk, may do without: it gets a temporary one. On a cluster that is an error.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
-    here = str(Path(__file__).resolve().parents[2])
-    paths = context.environment.get("PYTHONPATH", "")
-    if here not in paths.split(os.pathsep):
-        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, paths]))
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        package = Path(__file__).resolve().parents[1]
+        archive = f"{tempfile.mkdtemp()}/{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(archive)
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or f"/tmp/spark-checkpoints-{uuid.uuid4().hex}")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``: its rows are written once, as Parquet, to the shared checkpoint folder.
 
     A table read back has the size that it has. (A checkpoint() would keep the sizes estimated for the plan,
-    which in loops of joins multiply without end.) The files stay until the folder is cleared.
+    which in loops of joins multiply without end.) The files stay until ``release`` or until the folder is cleared.
     """
     spark = df.sparkSession
     session_defaults(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *kept: DataFrame) -> None:
+    """Delete this session's staged tables, but for those that ``kept`` read. No other DataFrame may still need them."""
+    files = {f for df in kept for f in df.inputFiles()}
+    paths, left = _STAGED.pop(spark.sparkContext.applicationId, []), []
+    for path in paths:
+        if any(path.rsplit("/", 1)[1] in f for f in files):
+            left.append(path)
+            continue
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _STAGED[spark.sparkContext.applicationId] = left
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     session_defaults(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """For each name one like it that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        k, made = 0, f"_{name}"
+        while made.lower() in taken:
+            k += 1
+            made = f"_{name}{k}"
+        taken.add(made.lower())
+        out.append(made)
+    return out if len(out) > 1 else out[0]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one, ``row``, so that an operator's own columns beside it clash with none."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, *new: str) -> DataFrame:
+    """The columns in ``row`` again, then those named; of equal names the new one stays."""
+    replaced = {c.lower() for c in new}
+    return df.select(*[F.col("row")[f.name].alias(f.name) for f in df.schema["row"].dataType if f.name.lower() not in replaced], *new)
+
+
 def text_of(column: str) -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
@@ -120,11 +177,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bit_filter(keys: DataFrame, column: str, log2_bits: int = 24) -> np.ndarray:
-    """A bitmap of 2**log2_bits bits over 64-bit keys, as 64-bit words; its size does not grow with the data.
+def bit_filter(keys: DataFrame, column: str, log2_most: int = 27) -> np.ndarray:
+    """A bitmap over 64-bit keys, as 64-bit words: about 16 bits a key, 2**log2_most bits (16 MB) at most.
 
     Whoever tests keys against it gets false positives, never false negatives.
     """
+    log2_bits = min(log2_most, max(20, (16 * keys.count()).bit_length()))
     at = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - log2_bits).alias("at")
     words = (
         keys.select(at)
@@ -138,6 +196,12 @@ def bit_filter(keys: DataFrame, column: str, log2_bits: int = 24) -> np.ndarray:
     return out
 
 
+def may_hold(bits: np.ndarray, value: int) -> bool:
+    """Whether a ``bit_filter`` may have been made from this 64-bit key."""
+    at = xxhash.xxh64_intdigest((value & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), seed=42) >> (64 - (len(bits).bit_length() + 5))
+    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
+
+
 def join_on_key(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Give each row its group's columns; ``groups`` has one row per key.
 

@@ -3,8 +3,9 @@
 Lines within ``threshold`` edits of each other share one of threshold + 1 segments: a line's segments are
 index keys (length, segment number, content), and a longer or equally long line probes with those of
 its substrings that could be such a segment, in windows around the segment's place. Lines that share a
-key are a region of ``metric_join``; candidates are verified by a bit-parallel edit distance in a band of
-2 * threshold + 1 diagonals. Keys are made only of what each task has once.
+key are a region of ``metric_join``, on sketches of their character pairs, of which an edit changes four at most;
+candidates are verified by a bit-parallel edit distance in a band of 2 * threshold + 1 diagonals. Keys are made
+only of what each task has once.
 
 Of a group of (nearly) equal lines one stays: the one whose first document has the smallest id. Equal lines
 are found at any length; the edits that short lines may have are scaled to their length. Blank lines always stay.
@@ -16,26 +17,41 @@ import sys
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import bit_filter, join_on_key, map_text, rows_of_text, session_defaults, stage
-from epispark.llm.metric_join import components, connect, local_stars, stars
+from epispark.llm.common import bit_filter, join_on_key, map_text, may_hold, mix64, rows_of_text, session_defaults, stage, unused
+from epispark.llm.metric_join import components, connect, local_stars, parity, stars
 
 _PENDING = 1_000_000
 
 
+#: Bits of a line's sketch, as a power of two, and how many of them one edit changes at most.
+SKETCH, PER_EDIT = 8, 4
+
+
 def _signed(value: int) -> int:
     return value - ((value >> 63) << 64)
 
 
+def line_digest(line: str) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a line, by which equal lines are told: among 2**50 lines the chance of any mistake is 2**-29."""
+    found = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+    return _signed(found & 0xFFFFFFFFFFFFFFFF), _signed(found >> 64)
+
+
 def line_hash(line: str) -> int:
     """A signed 64-bit hash of a line."""
-    return _signed(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")))
+    return line_digest(line)[0]
+
+
+def line_sketch(line: str) -> bytes:
+    """The parity sketch of a line's pairs of neighbouring characters."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return parity(mix64(codes[:-1] << np.uint64(32) | codes[1:]), SKETCH)
 
 
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -130,21 +146,23 @@ def edit_levels(threshold: int, near_chars: int) -> list[tuple[int, int, int | N
 
 
 def line_rows(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, line): one row for each row and distinct hash of a line, but for blank ones and those below ``min_chars`` characters."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    """(id, line, check): one row for each row and distinct line, but for blank ones and those below ``min_chars`` characters."""
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t"))
 
     def make():
         def run(ids, texts):
-            out_ids, out = [], []
+            out_ids, out, checks = [], [], []
             for i, t in zip(ids, texts):
-                found = {line_hash(x) for x in (t or "").split("\n") if len(x) >= min_chars and not x.isspace()}
-                out += found
+                found = {line_digest(x) for x in set((t or "").split("\n")) if len(x) >= min_chars and not x.isspace()}
+                for h, c in found:
+                    out.append(h)
+                    checks.append(c)
                 out_ids += [i] * len(found)
-            return {"id": out_ids, "line": out}
+            return {"id": out_ids, "line": out, "check": checks}
 
         return run
 
-    return rows_of_text(rows, ["id", "t"], "id long, line long", make)
+    return rows_of_text(rows, ["id", "t"], "id long, line long, check long", make)
 
 
 def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int, max_chars: int | None = None) -> DataFrame:
@@ -183,11 +201,11 @@ def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int, m
 
 
 def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_chars: int = 40, max_chars: int | None = None) -> DataFrame:
-    """(node, root): hashes of the distinct lines of ``min_chars`` to ``max_chars`` characters that have
+    """(node, root, check): hashes of the distinct lines of ``min_chars`` to ``max_chars`` characters that have
     another one within ``threshold`` edits, by component."""
     most = sys.maxsize if max_chars is None else max_chars
     starred = stage(stars(line_regions(df, text_col, threshold, min_chars, max_chars)))
-    nodes = stage(starred.select("node").unionByName(starred.select(F.col("pivot").alias("node"))).distinct())
+    nodes = stage(starred.select(F.explode(F.array("pivot", "node")).alias("node")).distinct())
     shared = df.sparkSession.sparkContext.broadcast(bit_filter(nodes, "node"))
 
     # the texts of candidate lines only; the rest is filtered out by a bitmap before anything moves
@@ -198,38 +216,31 @@ def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_ch
             kept = {}
             for t in texts:
                 for x in (t or "").split("\n"):
-                    if min_chars <= len(x) <= most and (h := line_hash(x)) not in kept:
-                        at = xxhash.xxh64_intdigest((h & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), seed=42) >> 40
-                        if int(bits[at >> 6]) >> (at & 63) & 1:
-                            kept[h] = x
-            return {"node": list(kept), "s": list(kept.values())} if kept else None
+                    if min_chars <= len(x) <= most:
+                        h, c = line_digest(x)
+                        if h not in kept and may_hold(bits, h):
+                            kept[h] = (c, x)
+            if not kept:
+                return None
+            checks, lines = zip(*kept.values())
+            return {"node": list(kept), "check": checks, "n": pa.array([len(x) for x in lines], pa.int32()), "sk": pa.array([line_sketch(x) for x in lines], pa.binary()), "s": lines}
 
         return run
 
-    found = rows_of_text(df.select(F.col(f"`{text_col}`").alias("t")), ["t"], "node long, s string", make)
+    found = rows_of_text(df.select(F.col(f"`{text_col}`").alias("t")), ["t"], "node long, check long, n int, sk binary, s string", make)
     lines = stage(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    shared.destroy()
 
-    def measure(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(lines.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(lines.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
         def make():
-            return lambda left, right: [pa.array([float(edit_distance(x, y, 4 * threshold)) for x, y in zip(left, right)], pa.float64())]
-
-        return map_text(both, ["sa", "sb"], [T.StructField("distance", T.DoubleType())], make, drop=("sa", "sb"))
-
-    def join_blocks(dealt: DataFrame) -> DataFrame:
-        rows = dealt.join(lines, "node")
-        return rows.groupBy("region", "_bi", "_bj").applyInPandas(lambda pdf: linked_lines(pdf, threshold), "a long, b long")
-
-    return connect(starred, measure, join_blocks, threshold, most=4 * threshold)[0]
+            return lambda left, right: [pa.array([edit_distance(x, y, threshold) for x, y in zip(left, right)], pa.int64())]
 
+        return map_text(both, ["sa", "sb"], [T.StructField("edits", T.LongType())], make, drop=("sa", "sb")).filter(F.col("edits") <= threshold).select("a", "b")
 
-def linked_lines(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """The links between the rows of two blocks (or within one): rows with node, root, s and the block _k."""
-    rows = list(zip(pdf["node"], pdf["root"], pdf["s"], pdf["_k"]))
-    left, right = ([r for r in rows if r[3] == pdf[c].iloc[0]] for c in ("_bi", "_bj"))
-    out = [(x[0], y[0]) for x in left for y in right if x[1] != y[1] and x[0] != y[0] and edit_distance(x[2], y[2], threshold) <= threshold]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    roots = connect(starred, lines.select("node", "n", "sk"), lambda total: np.full_like(total, PER_EDIT * threshold), verify)
+    return roots.join(lines.select("node", "check"), "node")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, min_chars: int | None = None, drop_emptied: bool = False, near_chars: int = 40) -> DataFrame:
@@ -244,31 +255,33 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     but blank ones, and one at least to another row.
 
     Nulls: a null text counts as empty and stays null; rows with a null id never lose a line to another
-    row, nor take one. Repeated ids count as one text. Very long texts are read whole. An empty table
-    gives no rows. Extra columns pass through; columns named n_lines and n_dropped are replaced; names
-    that start with ``_`` are reserved.
+    row, nor take one. Ids are whole numbers (cast to long); repeated ids count as one text. Very long texts are
+    read whole. An empty table gives no rows. Extra columns pass through, whatever their names; columns named
+    n_lines and n_dropped are replaced.
     """
     session_defaults(df.sparkSession)
     levels = edit_levels(threshold, near_chars) if min_chars is None else [(threshold, min_chars, None)]
     shortest = 1 if min_chars is None else max(min_chars, 1)
     held = line_rows(df.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, shortest)
-    first = held.groupBy("line").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("texts"))
+    first = held.groupBy("line", "check").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("texts"))
     found = [near_lines(df, text_col, *level) for level in levels]
     roots = found[0]
     if len(found) > 1:  # a line can be in the groups of two levels
-        roots = components(reduce(DataFrame.unionByName, found).select(F.col("root").alias("a"), F.col("node").alias("b")))
-    grouped = roots.join(first, roots["node"] == first["line"]).select("node", "root", F.struct("first", "node").alias("rank"))
+        every = reduce(DataFrame.unionByName, found)
+        roots = components(every.select(F.col("root").alias("a"), F.col("node").alias("b"))).join(every.select("node", "check").dropDuplicates(["node"]), "node")
+    grouped = roots.withColumnRenamed("node", "line").join(first, ["line", "check"]).select("line", "check", "root", F.struct("first", "line").alias("rank"))
     best = grouped.groupBy("root").agg(F.min("rank").alias("best"))
-    losers = grouped.join(best, "root").filter(F.col("rank") > F.col("best")).select(F.col("node").alias("line"), F.lit(True).alias("loses"))
+    losers = grouped.join(best, "root").filter(F.col("rank") > F.col("best")).select("line", "check", F.lit(True).alias("loses"))
     # only lines that lose somewhere: held by several texts, or not the best of their group
-    verdicts = first.join(losers, "line", "left").filter("texts > 1 or loses").select("line", "first", F.coalesce("loses", F.lit(False)).alias("loses"))
-    drops = join_on_key(held, verdicts, ["line"]).filter("loses or id <> first").groupBy("id").agg(F.collect_set("line").alias("_drop"))
-    rows = df.withColumn("_id", F.col(f"`{id_col}`")).join(drops.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
-    fields = [T.StructField("_new", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("_all", T.BooleanType())]
+    verdicts = first.join(losers, ["line", "check"], "left").filter("texts > 1 or loses").select("line", "check", "first", F.coalesce("loses", F.lit(False)).alias("loses"))
+    drops = join_on_key(held, verdicts, ["line", "check"]).filter("loses or id <> first").groupBy("id").agg(F.collect_set("line").alias("_drop"))
+    key, drop, new, gone_all = unused(df, "id", "drop", "new", "all")
+    rows = df.withColumn(key, F.col(f"`{id_col}`").cast("bigint")).join(drops.withColumnsRenamed({"id": key, "_drop": drop}), key, "left").drop(key)
+    fields = [T.StructField(new, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(gone_all, T.BooleanType())]
 
     def make():
         def run(texts, drops):
-            new, lines, dropped, every = [], [], [], []
+            texts_left, lines, dropped, every = [], [], [], []
             for t, d in zip(texts, drops):
                 parts = t.split("\n")
                 out, gone, seen = [], set(d), set()
@@ -279,17 +292,17 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                             continue
                         seen.add(h)
                     out.append(x)
-                new.append("\n".join(out) if len(out) < len(parts) else t)
+                texts_left.append("\n".join(out) if len(out) < len(parts) else t)
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(out))
                 every.append(bool(d) and not any(x.strip() for x in out))
-            return [pa.array(new, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(every, pa.bool_())]
+            return [pa.array(texts_left, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(every, pa.bool_())]
 
         return run
 
-    out = map_text(rows, [text_col, "_drop"], fields, make, drop=("_drop",))
-    text = F.when(F.col("n_dropped") > 0, F.col("_new")).otherwise(F.col(f"`{text_col}`"))
+    out = map_text(rows, [text_col, drop], fields, make, drop=(drop,))
+    text = F.when(F.col("n_dropped") > 0, F.col(new)).otherwise(F.col(f"`{text_col}`"))
     out = out.withColumn(text_col, text)
     if drop_emptied:
-        out = out.filter("not _all")
-    return out.drop("_new", "_all")
+        out = out.filter(~F.col(gone_all))
+    return out.drop(new, gone_all)

@@ -16,17 +16,16 @@ Equal sets are merged first, by a hash of the set.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.common import bit_filter, join_on_key, mix64, rows_of_text, session_defaults, stage
-from epispark.llm.metric_join import connect, local_stars, stars
+from epispark.llm.common import bit_filter, join_on_key, may_hold, mix64, rows_of_text, session_defaults, stage
+from epispark.llm.metric_join import connect, local_stars, parity, stars
 
 _CACHED = 600_000
 #: Region rows that a task holds back, to merge them before they are sent.
@@ -148,84 +147,62 @@ def signatures(found: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n, node): the size of each row's shingle set, and the set's hash."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
+def sketch_of(found: np.ndarray) -> bytes:
+    """The parity sketch of a set: one to two bits for each of its shingles (64 at least, 2**20 at most)."""
+    return parity(mix64(found), min(20, max(6, (len(found) - 1).bit_length())))
 
-    def make():
-        hashes = WordHashes()
-
-        def run(ids, texts):
-            sets = [shingles(t or "", words, hashes) for t in texts]
-            return {"id": ids, "n": [len(s) for s in sets], "node": [set_hash(s) for s in sets]}
-
-        return run
-
-    return rows_of_text(rows, ["id", "t"], "id long, n long, node long", make)
 
-
-def emit_regions(df: DataFrame, text_col: str, words: int, bands: Bands) -> DataFrame:
-    """Rows (region, node, pivot) of all sets, merged within each task."""
-    rows = df.select(F.col(f"`{text_col}`").alias("t"))
+def emit_sets(df: DataFrame, id_col: str, text_col: str, words: int, bands: Bands) -> DataFrame:
+    """Rows (region, node, pivot) of all sets, merged within each task, and for each row of ``df`` one without a
+    region: its id as pivot, its set's hash and size, and (where the task first has this set) sketch."""
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t"))
 
     def make():
         hashes = WordHashes()
-
+        seen: set[int] = set()
         regions, nodes, held = [], [], 0
+        own: list[tuple[int | None, int, int, bytes | None]] = []
 
         def flush():
             nonlocal held
-            out = local_stars(np.concatenate(regions), np.concatenate(nodes)) if regions else None
-            regions.clear()
-            nodes.clear()
+            out = local_stars(np.concatenate([*regions, np.zeros(0, np.int64)]), np.concatenate([*nodes, np.zeros(0, np.int64)]))
+            k, more = len(out["node"]), len(own)
+            ids, hashed, sizes, sketches = zip(*own) if own else ((), (), (), ())
+            found = {
+                "region": pa.concat_arrays([pa.array(out["region"], pa.int64()), pa.nulls(more, pa.int64())]),
+                "node": np.concatenate([out["node"], np.array(hashed, np.int64)]),
+                "pivot": pa.concat_arrays([out["pivot"], pa.array(ids, pa.int64())]),
+                "n": pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(sizes, pa.int32())]),
+                "sk": pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array(sketches, pa.binary())]),
+            }
+            regions.clear(), nodes.clear(), own.clear(), seen.clear()
             held = 0
-            return out
+            return found
 
-        def run(texts):
+        def run(ids, texts):
             nonlocal held
-            for t in texts or ():
+            for i, t in zip(ids or (), texts or ()):
                 s = shingles(t or "", words, hashes)
-                if len(s):
+                h = set_hash(s)
+                new = len(s) > 0 and h not in seen
+                own.append((i, h, len(s), sketch_of(s) if new else None))
+                if new:
+                    seen.add(h)
                     regions.append(signatures(s, bands).view(np.int64))
-                    nodes.append(np.full(len(regions[-1]), set_hash(s), np.int64))
+                    nodes.append(np.full(len(regions[-1]), h, np.int64))
                     held += len(regions[-1])
-            return flush() if texts is None or held > _PENDING else None
+            return flush() if texts is None or held > _PENDING or len(own) > _PENDING else None
 
         return run
 
-    return rows_of_text(rows, ["t"], "region long, node long, pivot long", make, finish=True)
-
-
-def linked_sets(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """The links between the rows of two blocks (or within one): rows with node, root, s and the block _k.
-
-    Intersections come from one product of incidence matrices, or set by set where that would be large.
-    """
-    first = pdf["_k"].to_numpy() == pdf["_bi"].iloc[0]
-    second = pdf["_k"].to_numpy() == pdf["_bj"].iloc[0]
-    sets, node, root = pdf["s"].to_list(), pdf["node"].to_numpy(), pdf["root"].to_numpy()
-    sizes = np.array([len(s) for s in sets])
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    left, right = np.flatnonzero(first), np.flatnonzero(second)
-    apart = (root[left][:, None] != root[right]) & (node[left][:, None] != node[right])
-    if len(sets) * len(values) <= 20_000_000:
-        shared = np.zeros((len(sets), len(values)), np.float32)
-        shared[np.repeat(np.arange(len(sets)), sizes), place] = 1
-        common = np.rint(shared[left] @ shared[right].T).astype(np.int64)
-    else:
-        common = np.zeros(apart.shape, np.int64)
-        for i, j in zip(*np.nonzero(apart)):
-            common[i, j] = len(np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True))
-    union = sizes[left][:, None] + sizes[right] - common
-    i, j = np.nonzero(apart & (common * den >= union * num))
-    return pd.DataFrame({"a": node[left[i]], "b": node[right[j]]})
+    return rows_of_text(rows, ["id", "t"], "region long, node long, pivot long, n int, sk binary", make, finish=True)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable by links).
 
     Rows link when den * |intersection| >= num * |union| for ``similarity`` = (num, den). A text of fewer
-    than ``words`` words is one shingle. Nulls: a null text counts as empty; empty sets link with nothing,
+    than ``words`` words is one shingle. Ids are whole numbers (cast to long). Nulls: a null text counts as empty; empty sets link with nothing,
     so their component is their own id; rows with a null id link as others do, but are in no component's
     minimum (the component of nothing but such rows is null). Repeated rows and ties are in one component. An
     empty table gives no rows. Extra columns are not read. Sets are told apart by 64-bit hashes: among N
@@ -233,65 +210,59 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     session_defaults(df.sparkSession)
     num, den = similarity
-    bands = Bands(num, den)
-    sets = stage(shingle_sets(df, id_col, text_col, words))
-    starred = stage(stars(emit_regions(df, text_col, words, bands)))
-    nodes = starred.select("node").unionByName(starred.select(F.col("pivot").alias("node"))).distinct()
+    made = stage(stars(emit_sets(df, id_col, text_col, words, Bands(num, den))))
+    starred = made.filter("region is not null").select("region", "pivot", "node")
+    sets = made.filter("region is null").select(F.col("pivot").alias("id"), "n", "node")
+    nodes = stage(starred.select(F.explode(F.array("pivot", "node")).alias("node")).distinct())
+    points = made.filter("region is null and sk is not null").select("node", "n", "sk").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     # the id is null for sets that only rows without an id have
     first = stage(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
-    wanted = stage(first.join(nodes, "node", "left_semi").select("node", "id"))
-    context = df.sparkSession.sparkContext
-    shared = context.broadcast((bit_filter(wanted.filter("id is not null"), "id"), bit_filter(wanted.filter("id is null"), "node")))
-
-    # the sets of the nodes that some pair needs; other rows are filtered out by a bitmap before they move:
-    # by their id before they are cut into shingles, or by their set's hash where they have no id
-    def make():
-        hashes = WordHashes()
-        by_id, by_node = (bits.view(np.uint64) for bits in shared.value)
-
-        def held(bits, value):
-            at = _spark_xxhash64(value) >> (64 - 24)
-            return int(bits[at >> 6]) >> (at & 63) & 1
-
-        def run(ids, texts):
-            kept = {}
-            for i, t in zip(ids, texts):
-                if i is None or held(by_id, i):
-                    s = shingles(t or "", words, hashes)
-                    h = set_hash(s)
-                    if i is not None or held(by_node, h):
-                        kept[h] = s
-            return {"node": list(kept), "s": pa.array([s.view(np.int64) for s in kept.values()], pa.list_(pa.int64()))} if kept else None
-
-        return run
-
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    carried = rows_of_text(rows, ["id", "t"], "node long, s array<long>", make)
-    shingled = stage(carried.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "s"))
-
-    def measure(pairs: DataFrame) -> DataFrame:
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    carried: list[DataFrame] = []
+
+    def carry(wanted: DataFrame) -> None:
+        """Stage the sets of these nodes (node, id). Other rows are filtered out by a bitmap before they move:
+        by their id before they are cut into shingles, or by their set's hash where they have no id."""
+        bits = df.sparkSession.sparkContext.broadcast((bit_filter(wanted.filter("id is not null"), "id"), bit_filter(wanted.filter("id is null"), "node")))
+
+        def make():
+            hashes = WordHashes()
+            by_id, by_node = (b.view(np.uint64) for b in bits.value)
+
+            def run(ids, texts):
+                kept = {}
+                for i, t in zip(ids, texts):
+                    if i is None or may_hold(by_id, i):
+                        s = shingles(t or "", words, hashes)
+                        h = set_hash(s)
+                        if i is not None or may_hold(by_node, h):
+                            kept[h] = s
+                return {"node": list(kept), "s": pa.array([s.view(np.int64) for s in kept.values()], pa.list_(pa.int64()))} if kept else None
+
+            return run
+
+        found = rows_of_text(rows, ["id", "t"], "node long, s array<long>", make)
+        carried.append(stage(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "s")))
+        bits.destroy()
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for held in carried:
+            needed = needed.join(held.select("node"), "node", "left_anti")
+        needed = stage(first.select("node", "id").join(needed, "node", "left_semi"))
+        if not needed.isEmpty():
+            carry(needed)
+        shingled = reduce(DataFrame.unionByName, carried)
         left = shingled.select(F.col("node").alias("a"), F.col("s").alias("sa"))
         right = shingled.select(F.col("node").alias("b"), F.col("s").alias("sb"))
         both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-        union = F.size("sa") + F.size("sb") - F.col("i")
-        # the exact integer test decides; the distance of a link is never above the threshold, of others always
-        linked = F.col("i") * den >= union * num
-        distance = 1 - F.col("i") / union
-        limit = 1 - num / den
-        return both.select("a", "b", F.when(linked, F.least(distance, F.lit(limit))).otherwise(F.greatest(distance, F.lit(limit + 1e-9))).alias("distance"))
-
-    def join_blocks(dealt: DataFrame) -> DataFrame:
-        rows = dealt.join(shingled, "node")
-        return rows.groupBy("region", "_bi", "_bj").applyInPandas(lambda pdf: linked_sets(pdf, num, den), "a long, b long")
-
-    roots, _ = connect(starred, measure, join_blocks, 1 - num / den)
+        return both.filter(F.col("i") * den >= (F.size("sa") + F.size("sb") - F.col("i")) * num).select("a", "b")
+
+    roots = connect(starred, points, lambda total: total * (den - num) // (den + num), verify)
     classes = first.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = classes.join(smallest, "root").select("node", "component_id")
     out = join_on_key(sets, classes, ["node"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-
-
-def _spark_xxhash64(value: int) -> int:
-    """Spark's xxhash64 of one long column, as an unsigned integer."""
-    return xxhash.xxh64_intdigest((value & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), seed=42)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epispark.llm import bpe, exact_dedup, fingerprints, line_dedup, metric_join, mixing, near_dedup, pii, quality, toxicity, urls
-from epispark.llm.common import bit_filter, session_defaults
+from epispark.llm.common import bit_filter, may_hold, session_defaults
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -408,31 +408,82 @@ def test_signatures_meet_at_the_threshold():
                 assert np.intersect1d(near_dedup.signatures(a, bands), near_dedup.signatures(b, bands)).size
 
 
-@pytest.mark.parametrize("blocked", [0, 2048])
-def test_recursion_and_blocks_are_exact(spark, monkeypatch, blocked):
-    """Points on a line, one region: cells and windows, or blocks, must find every component."""
-    rnd = random.Random(12)
-    at = sorted(rnd.sample(range(4000), 260))
-    where = spark.createDataFrame([(i, x) for i, x in enumerate(at)], "id long, x long")
-    star = spark.createDataFrame([(1, 0, i) for i in range(1, len(at))], "region long, pivot long, node long")
-
-    def measure(pairs):
-        side = lambda n: where.select(F.col("id").alias(n), F.col("x").alias(f"x{n}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.abs(F.col("xa") - F.col("xb")).cast("double").alias("distance"))
+def _line_space(spark, at, length):
+    """Points on a line: a sketch's first x bits are set, so sketches differ by the points' distance."""
+    sketches = [(i, 0, np.packbits((np.arange(length) < x).astype(np.uint8), bitorder="little").tobytes()) for i, x in enumerate(at)]
+    return spark.createDataFrame(sketches, "node long, n int, sk binary")
 
-    def join_blocks(dealt):
-        side = lambda n: dealt.join(where, dealt["node"] == where["id"]).select("region", "_bi", "_bj", F.col("_k").alias(f"k{n}"), F.col("node").alias(n), F.col("root").alias(f"r{n}"), F.col("x").alias(f"x{n}"))
-        both = side("a").join(side("b"), ["region", "_bi", "_bj"]).filter("ka = _bi and kb = _bj and ra <> rb and abs(xa - xb) <= 12")
-        return both.select("a", "b")
 
-    monkeypatch.setattr(metric_join, "BLOCKED", blocked)
-    roots, _ = metric_join.connect(star, measure, join_blocks, 12.0, small=4)
+@pytest.mark.parametrize("cells, leaf", [(8, 8), (32, 64), (16, 1000), (1000, 1000)])
+@pytest.mark.parametrize("scattered", [False, True])
+def test_cells_windows_and_blocks_are_exact(spark, monkeypatch, cells, leaf, scattered):
+    """One region: whatever its size, cells and windows, or blocks, must find every component and no more."""
+    rnd = random.Random(12)
+    if scattered:  # all far from each other but for some pairs: cells don't help
+        rng = np.random.default_rng(3)
+        codes = rng.integers(0, 2**64, (150, 16), dtype=np.uint64)
+        codes = np.concatenate([codes, codes[:60] ^ np.eye(1, 16, dtype=np.uint64) * np.uint64(0b10110)])
+        points = spark.createDataFrame([(i, 0, c.tobytes()) for i, c in enumerate(codes)], "node long, n int, sk binary")
+        near = {(i, 150 + i) for i in range(60)}
+        groups = [i if i < 150 else i - 150 for i in range(210)]
+        within = lambda a, b: (a, b) in near
+    else:
+        at = sorted(rnd.sample(range(4096), 260))
+        points = _line_space(spark, at, 4096)
+        groups = np.cumsum(np.r_[0, np.diff(at) > 12]).tolist()
+        within = lambda a, b: at[b] - at[a] <= 12
+    star = spark.createDataFrame([(1, 0, i) for i in range(1, len(groups))], "region long, pivot long, node long")
+    asked = []
+
+    def verify(pairs):
+        asked.extend(found := [(r.a, r.b) for r in pairs.collect()])
+        return spark.createDataFrame([p for p in found if within(*p)], "a long, b long")
+
+    split = []
+    real = metric_join.voronoi
+    monkeypatch.setattr(metric_join, "voronoi", lambda reach: split.append(1) or real(reach))
+    monkeypatch.setattr(metric_join, "CELLS", cells)
+    monkeypatch.setattr(metric_join, "LEAF", leaf)
+    roots = metric_join.connect(star, points, lambda total: np.full_like(total, 12), verify)
     got = {r.node: r.root for r in roots.collect()}
-    groups = np.cumsum(np.r_[0, np.diff(at) > 12])
     for g in set(groups):
-        members = np.flatnonzero(groups == g).tolist()
-        assert len({got.get(m, m) for m in members}) == 1
-    assert len({got.get(m, m) for m in range(len(at))}) == len(set(groups))
+        assert len({got.get(m, m) for m, x in enumerate(groups) if x == g}) == 1
+    assert len({got.get(m, m) for m in range(len(groups))}) == len(set(groups))
+    assert len(asked) == len(set(asked)) and bool(split) == (cells < 1000)
+
+
+def test_one_cluster_sends_few_pairs(spark):
+    """A region of near copies around a far pivot: pairs verified grow with its members, not with their square."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 8, dtype=np.uint64)
+    codes = [rng.integers(0, 2**64, 8, dtype=np.uint64)] + [base ^ (np.uint64(1) << rng.integers(0, 64, 8, dtype=np.uint64)) for _ in range(600)]
+    points = spark.createDataFrame([(i, 0, c.tobytes()) for i, c in enumerate(codes)], "node long, n int, sk binary")
+    star = spark.createDataFrame([(1, 0, i) for i in range(1, 601)], "region long, pivot long, node long")
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs
+
+    roots = metric_join.connect(star, points, lambda total: np.full_like(total, 16), verify)
+    assert roots.count() == 600 and roots.select("root").distinct().count() == 1
+    assert sum(asked) <= 4 * 600
+
+
+def test_sketches_never_exceed_the_distance():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 900)), dtype=np.uint64))
+        b = np.unique(np.r_[rng.permutation(a)[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 2**64, int(rng.integers(1, 100)), dtype=np.uint64)])
+        x, y = near_dedup.sketch_of(a), near_dedup.sketch_of(b)
+        words = min(len(x), len(y)) // 8
+        assert metric_join.bits_apart(metric_join.folded([x], words), metric_join.folded([y], words))[0] <= len(np.setxor1d(a, b))
+    rnd = random.Random(6)
+    for _ in range(500):
+        a = "".join(rnd.choice("abcdefgh 中") for _ in range(rnd.randint(2, 60)))
+        b = _edited(rnd, a, rnd.randint(0, 3), "abcdefgh ")
+        x, y = (np.frombuffer(line_dedup.line_sketch(z), np.uint64) for z in (a, b))
+        assert metric_join.bits_apart(x, y) <= 4 * _full(a, b)
 
 
 def test_components_of_paths_and_stars(spark):
@@ -443,9 +494,8 @@ def test_components_of_paths_and_stars(spark):
 
 def test_bit_filter_has_no_false_negatives(spark):
     bits = bit_filter(spark.range(5000).select((F.col("id") * 7919).alias("k")), "k").view(np.uint64)
-    for k in range(0, 5000 * 7919, 7919):
-        at = near_dedup._spark_xxhash64(k) >> 40
-        assert int(bits[at >> 6]) >> (at & 63) & 1
+    assert all(may_hold(bits, k) for k in range(0, 5000 * 7919, 7919))
+    assert sum(may_hold(bits, k) for k in range(1, 5000 * 7919, 7919)) < 1000
 
 
 # 8 personal data
