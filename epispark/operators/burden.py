@@ -63,6 +63,12 @@ def attributable(panel: DataFrame, rr: Column, deaths: str = "deaths") -> DataFr
     return out.withColumn("an", F.col("af") * F.col(deaths))
 
 
+def burden_rates(sums: DataFrame, population: DataFrame, by: list[str], column: str = "population") -> DataFrame:
+    """Add the yearly heat, cold and total burden per 100,000 of the population; null where it isn't known."""
+    out = sums.join(population.select(*by, column), by, "left").withColumn("annual_total_an", F.col("annual_heat_an") + F.col("annual_cold_an"))
+    return out.withColumns({f"{n}_rate": F.when(F.col(column) > 0, F.col(f"annual_{n}_an") / F.col(column) * 100_000) for n in ("heat", "cold", "total")})
+
+
 def burden_sums(flagged: DataFrame, by: list[str], deaths: str = "deaths", days_per_year: float = 365.25) -> DataFrame:
     """Sums of an over heat, cold and the extreme cuts, day counts, percentages of deaths and yearly means.
 
@@ -96,15 +102,16 @@ def monte_carlo(
     deaths: str = "deaths",
     draws: int = 1000,
     seed: int = 42,
-    digits: int = 1,
+    digits: int | None = None,
 ) -> DataFrame:
     """(draw, heat_an, cold_an, extreme_heat_an, extreme_cold_an, heat_p99_an, cold_p1_an, total_an).
 
     ``coef`` and ``vcov`` are those summed over lags (``reduce_over_lags``). The panel is first summed to
-    exposures rounded to ``digits`` (a few hundred rows whatever its length); each task then holds some
-    draws against its rows, and the draws' partial sums are added up. ``cuts`` has p1, p2_5, p97_5, p99.
+    its distinct exposures (rounded to ``digits`` where given, a few hundred rows whatever its length); a task holds all
+    draws against a thousand of its rows at a time, and the draws' partial sums are added up. ``cuts`` has p1, p2_5,
+    p97_5, p99.
     """
-    summed = panel.groupBy(F.round(exposure, digits).alias("x")).agg(F.sum(deaths).cast("double").alias("n")).filter("x is not null")
+    summed = panel.groupBy((F.col(exposure) if digits is None else F.round(exposure, digits)).alias("x")).agg(F.sum(deaths).cast("double").alias("n")).filter("x is not null")
     normal = np.random.default_rng(seed).standard_normal((draws, len(coef)))
     values, vectors = np.linalg.eigh((vcov + vcov.T) / 2)
     drawn = coef + normal @ (vectors * np.sqrt(np.maximum(values, 0))).T
@@ -112,7 +119,7 @@ def monte_carlo(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((draws, len(names)))
-        for pdf in batches:
+        for pdf in (whole.iloc[k : k + 1000] for whole in batches for k in range(0, len(whole), 1000)):
             x, n = pdf["x"].to_numpy(float), pdf["n"].to_numpy(float)
             log_rr = (spline.basis(x) - spline.basis(np.array([centre]))) @ drawn.T
             an = np.where(log_rr > 0, 1 - np.exp(-log_rr), 0.0) * n[:, None]

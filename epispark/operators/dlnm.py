@@ -36,6 +36,12 @@ def cross_basis(panel: DataFrame, exposure: str, spline: NaturalSpline, lags: in
     return seen.withColumn(out, F.when(full, F.array(*terms))).drop(*names, *[f"_h{n}" for n in names])
 
 
+def lowest(curve: DataFrame, by: list[str], at: str = "at", value: str = "rr") -> DataFrame:
+    """The place of the smallest value of each curve, ties to the lowest place: at, value."""
+    least = F.min(F.struct(F.col(value).alias("value"), F.col(at).alias("at")))
+    return curve.groupBy(*by).agg(least.alias("_m")).select(*by, F.col("_m.at").alias(at), F.col("_m.value").alias(value))
+
+
 def fit_quasi_poisson(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """(coefficients, covariance, dispersion, kept columns): iteratively reweighted least squares with step halving.
 

@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, x: str = "lon", y: str = "lat", cell: float = 0.5, most_rings: int = 6) -> DataFrame:
-    """(query_id, point_id, distance): each query's nearest point, ties to the lowest id.
+def nearest_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, x: str = "lon", y: str = "lat", per_cell: int = 8, most_levels: int = 12) -> DataFrame:
+    """(query_id, point_id, distance): each query's nearest point, however far, ties to the lowest id.
 
-    Points are put into square cells. A query looks at its own cell and the eight around it (an equi-join);
-    what it found is final if it is not farther than a cell is wide, else it looks again in cells four times
-    as wide, ``most_rings`` times at most. A query without any point within ``cell * 4**(most_rings - 1)`` has
-    no row: choose ``most_rings`` for the extent of the data. Queries or points without coordinates are
-    left out.
+    The square around all points is cut into 4 x 4 cells, these again, and so on until a cell holds about ``per_cell``
+    points if they are spread evenly, and for two levels more. A query goes down level by level: of the
+    occupied cells inside those that it has kept, it keeps those that may hold its nearest point, which is no
+    farther away than the far corner of any of them. In the last cells it meets the points. So a query meets a few
+    cells a level, wherever it is and however the points are spread, and all joins are equi-joins; those with a level of
+    at most 4,096 cells are broadcast. Queries or points without coordinates are left out; without points there
+    are no rows. Rows that repeat a query's id have one result if they are at the same place.
     """
-    left = queries.select(F.col(query_id).alias("_q"), F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x is not null and _y is not null")
-    right = points.select(F.col(point_id).alias("_p"), F.col(x).alias("_px"), F.col(y).alias("_py")).filter("_px is not null and _py is not null")
-    found = None
-    size = cell
-    open_ = left
-    for _ in range(most_rings):
-        cells = lambda v, s=size: F.floor(F.col(v) / s)
-        around = F.sequence(F.lit(-1), F.lit(1))
-        spread = open_.withColumns({"_cx": cells("_x"), "_cy": cells("_y")}).withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-        spread = spread.select("_q", "_x", "_y", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy"))
-        placed = right.withColumns({"_cx": cells("_px"), "_cy": cells("_py")})
-        d2 = F.pow(F.col("_x") - F.col("_px"), 2) + F.pow(F.col("_y") - F.col("_py"), 2)
-        best = spread.join(placed, ["_cx", "_cy"]).groupBy("_q").agg(F.min(F.struct(d2.alias("d2"), F.col("_p").alias("p"))).alias("_best"))
-        done = best.filter(F.col("_best.d2") <= size * size)
-        found = done if found is None else found.unionByName(done)
-        open_ = open_.join(done, "_q", "left_anti")
-        size *= 4
-    return found.select(F.col("_q").alias(query_id), F.col("_best.p").alias(point_id), F.sqrt("_best.d2").alias("distance"))
+    left = queries.select(F.col(query_id).alias("q"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    right = points.select(F.col(point_id).alias("p"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).filter("px is not null and py is not null and not isnan(px) and not isnan(py)")
+    box = right.agg(F.count(F.lit(1)).alias("n"), F.min("px").alias("x0"), F.min("py").alias("y0"), F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py")).alias("side")).first()
+    x0, y0, side = box["x0"] or 0.0, box["y0"] or 0.0, box["side"] or 1.0
+    levels = min(most_levels, max(1, math.ceil(math.log(max(box["n"], 1) / per_cell, 16)) + 2)) if box["n"] > per_cell else 1
+    finest = 4**levels
+    place = lambda v, v0: F.least(F.greatest(F.floor((F.col(v) - v0) / side * finest), F.lit(0)), F.lit(finest - 1)).cast("bigint")
+    placed = right.withColumns({"ix": place("px", x0), "iy": place("py", y0)})
+    kept = left.withColumns({"cx": F.lit(0).cast("bigint"), "cy": F.lit(0).cast("bigint")}).repartition("q")
+    by_query = Window.partitionBy("q", "x", "y")
+    for level in range(1, levels + 1):
+        size = side / 4**level
+        shift = 2 * (levels - level)
+        cells = placed.select(F.shiftright("ix", shift).alias("ix"), F.shiftright("iy", shift).alias("iy")).distinct()
+        cells = cells.withColumns({"cx": F.shiftright("ix", 2), "cy": F.shiftright("iy", 2)})
+        inside = kept.join(F.broadcast(cells) if level <= 3 else cells, ["cx", "cy"])
+        # how far the cell's near and far sides are; rounding may put a point a little outside its cell
+        low = {v: F.col(f"i{v}") * size + v0 - size * 1e-6 for v, v0 in (("x", x0), ("y", y0))}
+        high = {v: low[v] + size * (1 + 2e-6) for v in low}
+        near = sum(F.pow(F.greatest(low[v] - F.col(v), F.col(v) - high[v], F.lit(0.0)), 2) for v in low)
+        far = sum(F.pow(F.greatest(F.abs(F.col(v) - low[v]), F.abs(F.col(v) - high[v])), 2) for v in low)
+        judged = inside.withColumns({"near": near, "reach": F.min(far).over(by_query)})
+        kept = judged.filter("near <= reach").select("q", "x", "y", F.col("ix").alias("cx"), F.col("iy").alias("cy"))
+    met = kept.join(placed.select("p", "px", "py", F.col("ix").alias("cx"), F.col("iy").alias("cy")), ["cx", "cy"])
+    d2 = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)
+    best = met.groupBy("q").agg(F.min(F.struct(d2.alias("d2"), F.col("p").alias("p"))).alias("best"))
+    return best.select(F.col("q").alias(query_id), F.col("best.p").alias(point_id), F.sqrt("best.d2").alias("distance"))
 
 
 def distance_audit(joined: DataFrame, limit: float = 0.5) -> DataFrame:

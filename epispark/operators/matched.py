@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epispark.functions.splines import NaturalSpline
+
 
 def stratum_key(date: Column | str) -> Column:
     """year_month_weekday (Monday 1)."""
@@ -48,13 +50,13 @@ def stratum_dates(days: DataFrame, date: str = "date") -> DataFrame:
     return days.groupBy(stratum_key(date).alias("stratum")).agg(F.sort_array(F.collect_list(date)).alias("dates"))
 
 
-def conditional_logit(counts: DataFrame, covariates: list[str], stratum: str = "stratum", n: str = "n", steps: int = 12, tolerance: float = 1e-8, min_days: int = 3) -> dict:
+def conditional_logit(counts: DataFrame, covariates: list[str], stratum: str = "stratum", n: str = "n", steps: int = 60, tolerance: float = 1e-8, min_days: int = 3) -> dict:
     """Conditional logistic regression from day counts, by Newton steps of two aggregates each.
 
     All cases of a stratum share one risk set, so its contribution is sum_d n_d x_d b - N log sum_d exp(x_d b): no
     expansion to matched sets and no cap on cases. Strata without cases or with fewer than ``min_days`` days
     drop out. Returns beta, se, covariance, iterations, log_likelihood, n_cases; only p + p * p sums reach
-    the driver.
+    the driver. Estimates that don't settle in ``steps`` steps are an error.
     """
     p = len(covariates)
     sizes = counts.groupBy(stratum).agg(F.count(F.lit(1)).alias("_days"), F.sum(n).alias("_cases")).filter((F.col("_days") >= min_days) & (F.col("_cases") > 0))
@@ -91,6 +93,8 @@ def conditional_logit(counts: DataFrame, covariates: list[str], stratum: str = "
             beta = beta + move * limit
             if np.abs(move).max() < tolerance * (1 + np.abs(beta).max()):
                 break
+        else:
+            raise ValueError(f"the estimates have not settled after {steps} steps")
     finally:
         rows.unpersist()
     cov = np.linalg.inv(h)
@@ -105,3 +109,32 @@ def quadratic_optimum(beta: np.ndarray, otherwise: float) -> float:
 def extreme_indicators(exposure: str, low: float, high: float) -> dict[str, Column]:
     """Right-closed classes: at most ``low``, above ``high``; the middle is the reference."""
     return {"is_low": (F.col(exposure) <= low).cast("double"), "is_high": (F.col(exposure) > high).cast("double")}
+
+
+def quadratic_logit(days: DataFrame, counts: str, exposure: str, otherwise: float, date: str = "date", by: list[str] | None = None) -> dict:
+    """Conditional logistic regression on the exposure and its square, and the exposure of the highest odds, if the
+    square's coefficient is negative, else ``otherwise``."""
+    squared = days.withColumn("_square", F.col(exposure) * F.col(exposure))
+    fit = conditional_logit(stratum_counts(squared, counts, [exposure, "_square"], date, by), [exposure, "_square"])
+    return fit | {"optimum": quadratic_optimum(fit["beta"], otherwise)}
+
+
+def stratified_dlnm(based: DataFrame, spline: NaturalSpline, counts: str = "deaths", cb: str = "cb", lag_df: int = 4, date: str = "date", by: list[str] | None = None) -> dict:
+    """The distributed-lag model with a factor for each stratum, from day counts that hold a cross-basis.
+
+    A Poisson model with stratum factors has the likelihood of the conditional one, so no factor is fitted. The
+    covariance is scaled by the dispersion about the strata's expected counts. Returns that of ``conditional_logit``
+    with covariance and se scaled, and dispersion.
+    """
+    p = spline.df * lag_df
+    names = [f"cb{i}" for i in range(p)]
+    rows = stratum_counts(based.filter(F.col(cb).isNotNull()).withColumns({n: F.get(cb, i) for i, n in enumerate(names)}), counts, names, date, by)
+    fit = conditional_logit(rows, names)
+    eta = sum((F.col(n) * float(b) for n, b in zip(names, fit["beta"])), F.lit(0.0))
+    whole = Window.partitionBy("stratum")
+    expected = rows.withColumn("_e", F.exp(eta - F.max(eta).over(whole)))
+    expected = expected.withColumn("_mu", F.sum("n").over(whole) * F.col("_e") / F.sum("_e").over(whole)).filter("_mu > 0")
+    found = expected.agg(F.sum(F.pow(F.col("n") - F.col("_mu"), 2) / F.col("_mu")).alias("x"), F.count(F.lit(1)).alias("k"), F.count_distinct("stratum").alias("s")).first()
+    dispersion = found["x"] / max(found["k"] - found["s"] - p, 1)
+    covariance = fit["covariance"] * dispersion
+    return fit | {"covariance": covariance, "se": np.sqrt(np.diag(covariance)), "dispersion": dispersion}

@@ -175,10 +175,10 @@ def add_missing_days(known: DataFrame, extra: DataFrame, date: str = "date") ->
 
 
 def sample_rows(df: DataFrame, key: str, cap: int, size: int, seed: int = 42) -> DataFrame:
-    """``size`` rows by the smallest seeded hash of the key if there are more than ``cap``, else all."""
+    """``size`` rows by the smallest seeded hash (MD5) of the key if there are more than ``cap``, else all."""
     if df.count() <= cap:
         return df
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(size)
 
 
 def valid_events(events: DataFrame, required: list[str], code: str | None = None, sentinel: int = 999990) -> DataFrame:
@@ -187,10 +187,16 @@ def valid_events(events: DataFrame, required: list[str], code: str | None = None
     return out.filter(F.col(code) < sentinel) if code else out
 
 
-def with_lag_room(panel: DataFrame, lags: int, date: str = "date") -> DataFrame:
-    """Rows from ``lags`` days after the first date on."""
-    first = panel.agg(F.min(date).alias("_first"))
-    return panel.join(F.broadcast(first)).filter(F.col(date) >= F.date_add("_first", lags)).drop("_first")
+def with_lag_room(panel: DataFrame, lags: int, date: str = "date", exposures: DataFrame | None = None) -> DataFrame:
+    """Rows from ``lags`` days after the first date of ``exposures`` (by default of the panel) to their last date."""
+    ends = (panel if exposures is None else exposures).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
+    room = F.col(date).between(F.date_add("_first", lags), F.col("_last"))
+    return panel.join(F.broadcast(ends)).filter(room).drop("_first", "_last")
+
+
+def attach_attributes(units: DataFrame, attributes: DataFrame, key: str, attribute_key: str) -> DataFrame:
+    """Each unit (a region with its most frequent state) with that state's attributes; null where there are none."""
+    return units.join(attributes.withColumnRenamed(attribute_key, key), key, "left")
 
 
 def common_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epispark.functions.splines import NaturalSpline
 from epispark.functions.stats import chi2_p, is_finite, normal_p
+from epispark.operators.dlnm import predict_rr
 
 
 def ridge(vcov: Column, n: int, share: float = 1e-6) -> Column:
@@ -66,6 +68,50 @@ def reml(y: np.ndarray, v: np.ndarray, x: np.ndarray | None = None, steps: int =
     return cov @ (x.T @ (w * y)), cov, float(tau2)
 
 
+def likelihood_tau2(y: np.ndarray, v: np.ndarray, steps: int = 200) -> float:
+    """tau2 of the random-effects model by maximum likelihood, from its fixed-point equation."""
+    tau2 = max(0.0, float(np.var(y) - v.mean()))
+    for _ in range(steps):
+        w = 1 / (v + tau2)
+        mean = (w * y).sum() / w.sum()
+        new = max(0.0, float((w * w * ((y - mean) ** 2 - v)).sum() / (w * w).sum()))
+        if abs(new - tau2) < 1e-12 * (1 + tau2):
+            return new
+        tau2 = new
+    return tau2
+
+
+def pool_random(studies: DataFrame, by: list[str], estimate: str = "y", variance: str = "v", min_studies: int = 6, largest: float = 100.0) -> DataFrame:
+    """Univariate random effects by restricted maximum likelihood, each group of ``by`` (one row a region) in one task.
+
+    Only estimates that ``valid_estimates`` lets through count. Falls back to maximum likelihood where the restricted steps
+    don't give a finite result; groups with fewer than ``min_studies`` have the method ``too few``. Returns
+    n_studies, method, y, se, tau2, rr, rr_lo, rr_hi (of a log relative risk).
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in studies.select(*by).schema.fields) + ", n_studies int, method string, y double, se double, tau2 double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        base = {k: pdf[k].iloc[0] for k in by} | {"n_studies": len(pdf)}
+        if len(pdf) < max(2, min_studies):
+            return pd.DataFrame([base | {"method": "too few", "y": None, "se": None, "tau2": None}])
+        y, v = pdf[estimate].to_numpy(float), pdf[variance].to_numpy(float)
+        method = "reml"
+        try:
+            b, cov, tau2 = reml(y, v)
+            ok = np.isfinite([b[0], cov[0, 0], tau2]).all()
+        except np.linalg.LinAlgError:
+            ok = False
+        if not ok:
+            method, tau2 = "ml", likelihood_tau2(y, v)
+            w = 1 / (v + tau2)
+            b, cov = np.array([(w * y).sum() / w.sum()]), np.array([[1 / w.sum()]])
+        return pd.DataFrame([base | {"method": method, "y": float(b[0]), "se": float(np.sqrt(cov[0, 0])), "tau2": float(tau2)}])
+
+    out = valid_estimates(studies, estimate, variance, largest).select(*by, estimate, variance).groupBy(*by).applyInPandas(run, schema)
+    bound = lambda z: F.exp(F.col("y") + z * F.col("se"))
+    return out.withColumns({"rr": F.exp("y"), "rr_lo": bound(-1.96), "rr_hi": bound(1.96)})
+
+
 def multivariate_reml(y: np.ndarray, s: np.ndarray, steps: int = 500, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
     """(mean, its covariance, between-study matrix, method) by expectation-maximisation on the restricted likelihood.
 
@@ -148,11 +194,11 @@ def meta_regression(studies: DataFrame, by: list[str], moderator: str, estimate:
 
 
 def stratum_difference(pooled: DataFrame, by: list[str], stratum: str, first: str, second: str, estimate: str = "y", se: str = "se") -> DataFrame:
-    """first minus second on the log scale: diff, diff_se, z, rr_ratio; p comes from ``normal_p``."""
+    """first minus second on the log scale: diff, diff_se, z, p (two-sided, normal), rr_ratio."""
     side = lambda s, n: pooled.filter(F.col(stratum) == s).select(*by, F.col(estimate).alias(f"_y{n}"), F.col(se).alias(f"_s{n}"))
     out = _attach(side(first, 1), side(second, 2), by)
     out = out.withColumns({"diff": F.col("_y1") - F.col("_y2"), "diff_se": F.sqrt(F.col("_s1") * F.col("_s1") + F.col("_s2") * F.col("_s2"))})
-    return out.withColumns({"z": F.col("diff") / F.nullif(F.col("diff_se"), F.lit(0.0)), "rr_ratio": F.exp("diff")}).drop("_y1", "_y2", "_s1", "_s2")
+    return out.withColumns({"z": F.col("diff") / F.nullif(F.col("diff_se"), F.lit(0.0)), "rr_ratio": F.exp("diff")}).withColumn("p", normal_p("z")).drop("_y1", "_y2", "_s1", "_s2")
 
 
 def harvesting_ratio(rr: DataFrame, by: list[str], horizon: str = "lags", value: str = "rr", short: int = 7, long: int = 35) -> DataFrame:
@@ -169,6 +215,15 @@ def compare_models(results: DataFrame, baseline: str, by: list[str], model: str
     return out.withColumn("pct_change", (F.col(value) - F.col("_base")) / F.nullif(F.col("_base"), F.lit(0.0)) * 100).drop("_base")
 
 
+def pooled_percentiles(pooled: DataFrame, spline: NaturalSpline, medians: DataFrame, percentiles: list[str], centre: Column, lags: int = 21, lag_df: int = 4) -> DataFrame:
+    """The pooled curve at percentiles of the exposure (columns of the one-row ``medians``), one row each: percentile,
+    at, rr, rr_lo, rr_hi, log_rr, and log_se as it follows from the interval."""
+    places = F.array(*[F.struct(F.lit(p).alias("percentile"), F.col(p).alias("x")) for p in percentiles])
+    joined = pooled.join(F.broadcast(medians.select(*percentiles))).withColumn("_p", F.explode(places))
+    rows = predict_rr(joined.withColumn("percentile", F.col("_p.percentile")), spline, F.array("_p.x"), centre, lags, lag_df)
+    return rows.select("percentile", "at", "rr", "rr_lo", "rr_hi", "log_rr", se_from_interval(F.col("rr_lo"), F.col("rr_hi")).alias("log_se"))
+
+
 def se_from_interval(low: Column, high: Column, log: bool = True) -> Column:
     """Standard error behind a 95 % interval, on the log scale or (as some published tables have it) the ratio scale."""
     return (F.log(high) - F.log(low)) / (2 * 1.96) if log else (high - low) / (2 * 1.96)

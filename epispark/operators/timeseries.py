@@ -16,6 +16,25 @@ def lag_matrix(panel: DataFrame, column: str, lags: int, by: list[str], order: s
     return panel.withColumns({f"{prefix}{k}": F.lag(column, k).over(w) for k in range(lags + 1)})
 
 
+def join_lags(counts: DataFrame, exposures: DataFrame, column: str, lags: int, keys: list[str], date: str = "date", by: list[str] | None = None) -> DataFrame:
+    """Counts with the lag vector of their day, from an exposure series of its own; null where that lacks the day."""
+    lagged = lag_matrix(exposures, column, lags, by or [k for k in keys if k != date], date)
+    return counts.join(lagged.select(*keys, *[f"lag{k}" for k in range(lags + 1)]), keys, "left")
+
+
+def case_numbers(events: DataFrame, date: str, order: list[str], out: str = "case_id") -> DataFrame:
+    """Number the rows from 1 in the order of ``date`` and ``order`` (a total order).
+
+    Rows are numbered within their day, and days start after the sum of the days before: only the table of
+    day counts, one row a day, is ordered as a whole.
+    """
+    daily = events.groupBy(date).agg(F.count(F.lit(1)).alias("_n"))
+    before = daily.select(date, (F.sum("_n").over(Window.orderBy(F.asc_nulls_first(date))) - F.col("_n")).alias("_before"))
+    numbered = events.withColumn("_k", F.row_number().over(Window.partitionBy(date).orderBy(*order)))
+    both = numbered.alias("l").join(before.alias("r"), F.col(f"l.{date}").eqNullSafe(F.col(f"r.{date}")))
+    return both.select("l.*", (F.col("_k") + F.col("_before")).alias(out)).drop("_k")
+
+
 def calendar_lags(panel: DataFrame, column: str, lags: int, by: list[str], date: str = "date", prefix: str = "lag") -> DataFrame:
     """Lags by days, not rows: null where that day has no row. A range frame over the day number, no self-join."""
     day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))

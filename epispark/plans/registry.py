@@ -256,7 +256,7 @@ SELECT c_custkey, s_suppkey, round(distance, 6) AS distance FROM j WHERE rn = 1"
 def nearest_join(spark, sf):
     q = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("lon"), (F.col("c_custkey") % 100).cast("double").alias("lat"))
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("lon"), (F.col("s_suppkey") % 100).cast("double").alias("lat"))
-    return rounded(geo.nearest_join(q, s, "c_custkey", "s_suppkey", cell=4.0))
+    return rounded(geo.nearest_join(q, s, "c_custkey", "s_suppkey"))
 
 
 @query("""WITH q AS (SELECT c_custkey, c_acctbal / 100 AS x, c_custkey % 100 AS y FROM customer), s AS (SELECT s_suppkey, s_acctbal / 100 AS x, s_suppkey % 100 AS y FROM supplier),
@@ -265,7 +265,7 @@ SELECT CAST(count(*) AS BIGINT) AS n, round(quantile_cont(d, 0.5), 6) AS p50, ro
 def distance_audit(spark, sf):
     q = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("lon"), (F.col("c_custkey") % 100).cast("double").alias("lat"))
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("lon"), (F.col("s_suppkey") % 100).cast("double").alias("lat"))
-    return rounded(geo.distance_audit(geo.nearest_join(s, q, "s_suppkey", "c_custkey", cell=2.0)))
+    return rounded(geo.distance_audit(geo.nearest_join(s, q, "s_suppkey", "c_custkey")))
 
 
 @query("SELECT nation, arg_min(o_orderpriority, (-n, o_orderpriority)) AS o_orderpriority FROM (SELECT nation, o_orderpriority, count(*) AS n FROM ev GROUP BY ALL) GROUP BY nation")
@@ -768,7 +768,7 @@ def excess_baseline(spark, sf):
     return excess.excess(excess.expected_baseline(series)).select("date", "deaths", "expected", "excess", "excess_pct")
 
 
-@query()
+@query(", s AS (SELECT o_orderkey, date, row_number() OVER (ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k, count(*) OVER () AS n FROM ev) SELECT o_orderkey, date FROM s WHERE k <= CASE WHEN n > 1000 THEN 500 ELSE n END")
 def seeded_sample(spark, sf):
     """A sampling operator: 500 orders by a seeded hash."""
     return P.sample_rows(records(spark, sf).select("o_orderkey", "date"), "o_orderkey", 1000, 500)

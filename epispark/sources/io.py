@@ -72,19 +72,23 @@ def year_from_name(column: str = "source_file", pattern: str = r"([0-9]{2})(?=[^
     return F.expr(f"try_cast(regexp_extract({column}, '{pattern}', 1) as int)") + base
 
 
-def read_panel(spark: SparkSession, path: str, region_aliases: list[str], region: str = "region_code") -> DataFrame:
-    """A Parquet panel, its level-specific key renamed to ``region`` and its date a DATE."""
+def read_panel(spark: SparkSession, path: str, region_aliases: list[str], region: str = "region_code", date_aliases: list[str] | None = None) -> DataFrame:
+    """A Parquet panel, its level-specific key renamed to ``region`` and its date column to ``date``, a DATE."""
     from epispark.functions.parse import resolve_columns
 
-    df = resolve_columns(spark.read.parquet(path), {region: region_aliases})
+    df = resolve_columns(spark.read.parquet(path), {region: region_aliases, "date": date_aliases or []})
     return df.withColumn("date", F.to_date("date"))
 
 
 def read_history(spark: SparkSession, csv_paths: list[str], parquet_paths: list[str], encoding: str = "ISO-8859-1", separator: str = ";") -> DataFrame:
-    """CSV years and Parquet years as one table of strings; missing columns are null."""
+    """CSV years and Parquet years as one table of strings; missing columns are null.
+
+    Files are read by their own headers, so columns may stand in another order in each.
+    """
     parts = []
-    if csv_paths:
-        parts.append(spark.read.csv(csv_paths, sep=separator, header=True, encoding=encoding))
+    for files, names in _headers(spark, csv_paths, separator, encoding) if csv_paths else []:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        parts.append(spark.read.csv(files, sep=separator, header=True, encoding=encoding, schema=schema, enforceSchema=True))
     if parquet_paths:
         table = spark.read.parquet(*parquet_paths)
         parts.append(table.select(*[F.col(c).cast("string") for c in table.columns]))
@@ -117,9 +121,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_json_report(df: DataFrame, path: str, digits: int | None = 8, mode: str = "overwrite") -> None:
-    """Nested JSON; top-level doubles are rounded to ``digits``."""
+    """Nested JSON; doubles are rounded to ``digits``, also inside of structs and arrays."""
+
+    def rounded(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.DoubleType):
+            return F.round(value, digits)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: rounded(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(value.isNotNull(), F.struct(*[rounded(value[f.name], f.dataType).alias(f.name) for f in kind]))
+        return value
+
     if digits is not None:
-        df = df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+        df = df.select(*[rounded(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
     df.write.mode(mode).json(path)
 
 
