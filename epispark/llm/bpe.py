@@ -10,7 +10,9 @@ so the arc that ends a prefix is unique and encoding is one sweep over the word.
 The gadgets' changes are kept as tables: ``cut[u][v]`` is the time at which arc v left u's state, and a
 token's chains list the arcs it stands in for from the right and from the left, with the times until
 which they are live. The arc w is present in the state of t unless one of the cuts hit a pair of arcs
-that were live on both sides.
+that were live on both sides. The transition table (which arcs leave which state) has billions of places, of which a
+corpus visits few, so its places are computed from these tables when they are first visited, and kept.
+Encoding takes the longest arc that the state has, and steps back where that leads nowhere.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from epispark.llm.common import map_text
 
 _NEVER = 1 << 60
 #: Words of up to this many characters are kept in a task's memory, this many at a time.
-_CACHED_CHARS, _CACHED_WORDS = 48, 500_000
+_CACHED_CHARS, _CACHED_WORDS = 48, 300_000
 #: Below this code point Python's and the tokenizer's character tables agree.
 _PLAIN = "԰"
 
@@ -225,6 +227,19 @@ def _loaded(file_text: str) -> Tokenizer:
     return _LOADED[key]
 
 
+def _id_lists(tokenizer: Tokenizer, texts: list[str]) -> pa.Array:
+    parts = [tokenizer.encode_bytes(t) for t in texts]
+    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
+
+
+def _texts(tokenizer: Tokenizer, lists: pa.Array) -> pa.Array:
+    ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)).tolist()
+    return pa.array([tokenizer.decode(ids[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
+
+
 def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``ids`` (array of int): the tokens of each whole text; leave out the columns in ``drop``. No shuffle.
 
@@ -235,16 +250,8 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_c
     shared = df.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def make():
-        encode = _loaded(shared.value).encode_bytes
-
-        def run(texts):
-            parts = [encode(t) for t in texts]
-            offsets = np.zeros(len(parts) + 1, dtype=np.int32)
-            np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(parts), dtype=np.int32))
-            return [pa.ListArray.from_arrays(pa.array(offsets), values)]
-
-        return run
+        tokenizer = _loaded(shared.value)
+        return lambda texts: [_id_lists(tokenizer, texts)]
 
     return map_text(df, [text_col], [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], make, drop)
 
@@ -260,20 +267,28 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", decoded
     schema = T.StructType(kept + [T.StructField(decoded_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _loaded(shared.value).decode
+        tokenizer = _loaded(shared.value)
         for batch in batches:
-            lists = batch.column(ids_col)
-            ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
-            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)).tolist()
-            texts = [decode(ids[a:b]) for a, b in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(texts, pa.string())], [f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [_texts(tokenizer, batch.column(ids_col))], [f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """Encode, then decode what was encoded."""
-    return bpe_decode(bpe_encode(df, tokenizer_path, text_col, drop=drop), tokenizer_path)
+    """Encode, then decode what was encoded: columns ``ids`` and ``decoded``. As ``bpe_encode``, then ``bpe_decode``, but in
+    the same Python worker, which holds the tables once."""
+    shared = df.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+
+    def make():
+        tokenizer = _loaded(shared.value)
+
+        def run(texts):
+            ids = _id_lists(tokenizer, texts)
+            return [ids, _texts(tokenizer, ids)]
+
+        return run
+
+    return map_text(df, [text_col], [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], make, drop)
 
 
 def default_tokenizer() -> str:
