@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.common import text_of
+from epispark.llm.common import text_of, unused
 
 
 @dataclass(frozen=True)
@@ -72,39 +72,57 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_CARD}) between 9 and 15", 0.7, "phone|call|tel|mobile|fax"),
 )
 
-#: What the method adds: account numbers confirmed by mod 97, and social security numbers that count
-#: only beside a context word.
+#: What the method adds: account numbers confirmed by mod 97, and social security numbers and long
+#: hexadecimal secrets that count only beside a context word.
 ADDED = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", f"length({_IBAN}) between 15 and 34 and {_mod97(_IBAN)}", 0.8, "iban|account|konto|compte|cuenta|bank"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "substr(x, 1, 3) not in ('000', '666') and substr(x, 1, 1) <> '9' and substr(x, 5, 2) <> '00' and substr(x, 8, 4) <> '0000'", 0.3, "ssn|social security|tax id", 0.4),
+    Kind("secret", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])", "x rlike '[0-9]' and x rlike '[A-Fa-f]'", 0.3, "token|secret|password|passwd|api.?key|credential", 0.4),
 )
 
 
-def _spans(kind: Kind, order: int, window: int) -> str:
-    """SQL for the valid spans of one kind in the column ``_text``."""
-    found = f"regexp_extract_all(_text, r'{kind.pattern}', 0)"
-    pieces = f"slice(split(_text, r'{kind.pattern}', -1), 1, size({found}))"
-    near = f"lower(concat(substr(_text, greatest(1, a.at + length(m.p) + 1 - {window}), least({window}, a.at + length(m.p))), ' ', substr(_text, a.at + length(m.p) + length(m.x) + 1, {window})))"
-    score = f"{kind.score}D + case when {near} rlike '{kind.context}' then {kind.bonus}D else 0D end"
-    valid = f"exists(array(m.x), x -> {kind.valid})"
+#: Matches are worked on in blocks of this many, so that appending to arrays stays cheap.
+BLOCK = 128
+
+
+def _spans(kind: Kind, order: int, window: int, text: str) -> str:
+    """SQL for the valid spans of one kind in the column ``text``.
+
+    The pieces between matches give their places: first the start of each block of matches, then the matches' in it.
+    A block's surroundings are cut out of the text once, for its matches' context.
+    """
+    found = f"regexp_extract_all({text}, r'{kind.pattern}', 0)"
+    pieces = f"split({text}, r'{kind.pattern}', -1)"
+    matches = f"transform(array({found}), f -> zip_with(slice({pieces}, 1, size(f)), f, (p, x) -> named_struct('gap', length(p), 'len', length(x), 'x', x)))[0]"
     empty = "cast(array() as array<struct<start:int,rank:int,kind:string,end:int,text:string,score:double>>)"
-    entry = f"named_struct('start', a.at + length(m.p), 'rank', {order}, 'kind', '{kind.name}', 'end', a.at + length(m.p) + length(m.x), 'text', m.x, 'score', {score})"
-    return (
-        f"aggregate(zip_with({pieces}, {found}, (p, x) -> named_struct('p', p, 'x', x)), named_struct('at', 0, 'out', {empty}), "
-        f"(a, m) -> named_struct('at', a.at + length(m.p) + length(m.x), 'out', case when {valid} then concat(a.out, array({entry})) else a.out end), a -> a.out)"
+    start = "(a.at + y.gap)"
+    local = f"({start} - b.base)"
+    near = f"lower(concat(substr(b.around, greatest(1, {local} + 1 - {window}), least({window}, {local})), ' ', substr(b.around, {local} + y.len + 1, {window})))"
+    score = f"{kind.score}D + case when {near} rlike '{kind.context}' then {kind.bonus}D else 0D end"
+    valid = f"exists(array(y.x), x -> {kind.valid})"
+    entry = f"named_struct('start', {start}, 'rank', {order}, 'kind', '{kind.name}', 'end', {start} + y.len, 'text', y.x, 'score', {score})"
+    of_block = (
+        f"aggregate(b.m, named_struct('at', b.at, 'out', {empty}), "
+        f"(a, y) -> named_struct('at', a.at + y.gap + y.len, 'out', case when {valid} then concat(a.out, array({entry})) else a.out end), a -> a.out)"
     )
+    blocks = f"transform(sequence(0, cast((size(m) - 1) / {BLOCK} as int)), k -> slice(m, k * {BLOCK} + 1, {BLOCK}))"
+    starts = "aggregate(c, array(0), (s, k) -> concat(s, array(element_at(s, -1) + aggregate(k, 0, (n, y) -> n + y.gap + y.len))))"
+    base = f"greatest(0, s[i] - {window})"
+    placed = f"transform(c, (k, i) -> named_struct('m', k, 'at', s[i], 'base', {base}, 'around', substr({text}, {base} + 1, s[i + 1] - {base} + {window})))"
+    whole = f"transform(array({blocks}), c -> transform(array({starts}), s -> flatten(transform({placed}, b -> {of_block})))[0])[0]"
+    return f"transform(array({matches}), m -> case when size(m) = 0 then {empty} else {whole} end)[0]"
 
 
 def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "spans", kinds: tuple[Kind, ...] = BASE + ADDED, window: int = 40) -> DataFrame:
     """Add ``spans``: array of (start, rank, kind, end, text, score), ordered by start, then kind.
 
     ``rank`` is the kind's place in ``kinds``. Nulls: a null text counts as empty and has no spans.
-    Very long texts: time is linear in the text, and in the square of its number of valid spans (array
-    appends). Repeated rows get the same spans. Extra columns pass through; one named like ``spans_col``
-    is replaced. Columns named ``_text`` or ``_k<number>`` are not supported as input.
+    Very long texts are read whole. Repeated rows get the same spans. An empty table gives no rows. Extra columns
+    pass through, whatever their names; one named like ``spans_col`` is replaced.
     """
-    out = df.withColumn("_text", text_of(text_col))
+    text, *places = unused(df, "text", *[f"kind{i}" for i in range(len(kinds))])
+    out = df.withColumn(text, text_of(text_col))
     for i, kind in enumerate(kinds):
-        out = out.withColumn(f"_k{i}", F.expr(f"filter({_spans(kind, i, window)}, s -> s.score >= {kind.least}D)"))
-    found = F.array_sort(F.flatten(F.array(*[F.col(f"_k{i}") for i in range(len(kinds))])))
-    return out.withColumn(spans_col, found).drop("_text", *[f"_k{i}" for i in range(len(kinds))])
+        out = out.withColumn(places[i], F.expr(f"filter({_spans(kind, i, window, text)}, s -> s.score >= {kind.least}D)"))
+    found = F.array_sort(F.flatten(F.array(*[F.col(c) for c in places])))
+    return out.withColumn(spans_col, found).drop(text, *places)

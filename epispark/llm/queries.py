@@ -79,7 +79,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [F.expr(f"size(filter(spans, s -> s.rank = {i}))").cast("bigint").alias(f"n_{kind.name}") for i, kind in enumerate(BASE)]
     base = joined(f"filter(spans, s -> s.rank < {len(BASE)})")
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined("spans").alias("spans"))
+    every = F.size("spans").cast("bigint").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined("spans").alias("spans"), every)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
