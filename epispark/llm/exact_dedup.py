@@ -1,16 +1,17 @@
 """Exact dedup: a tree-merge of sorted digest runs, DataFrame functions only.
 
 Every row gives an entry (digest, second hash, length, smallest identifier, count). Rows are dealt
-into ``runs`` sorted runs; in each round groups of ``fan_in`` runs meet and are merged, and equal
-entries become one that keeps the smallest identifier. An entry is equal to another only if the
-digest, the second hash and the length all agree, which every round checks again. Only entries move,
-never texts, and each exchange is preceded by Spark's map-side merge, so a text that holds a third
-of all rows costs one entry per task and round.
+into ``runs`` runs, whose equal entries are merged before and after they move. Then come rounds: groups of
+``fan_in`` runs meet (an exchange by run), are sorted by digest, and a window over the sorted entries merges
+neighbours that are equal, keeping the smallest identifier. An entry is equal to another only if the
+digest, the second hash and the length all agree, which every round checks again. A run consists of
+``slices`` by digest, merged side by side, so that also the last, single run has as many tasks. Only entries move,
+never texts; a text that holds a third of all rows costs one entry per task, and one per run in the rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epispark.llm.common import join_on_key, text_of
@@ -25,15 +26,23 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(text_of(column), WHITE_SPACE, " ")
 
 
-def merge_runs(entries: DataFrame, runs: int = 64, fan_in: int = 4) -> DataFrame:
-    """Merge entries (_id, digest, check, length) to one per text: keep_id and group_size."""
-    level = entries.select(F.pmod(F.xxhash64("_id"), F.lit(runs)).cast("int").alias("_run"), *ENTRY, F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
-    while True:
-        level = level.groupBy("_run", *ENTRY).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        if runs == 1:
-            return level.drop("_run")
+def merge_runs(entries: DataFrame, runs: int = 64, fan_in: int = 4, slices: int | None = None) -> DataFrame:
+    """Merge entries (_id, digest, check, length) to one per text: keep_id and group_size.
+
+    ``slices`` is by default four times spark.sql.shuffle.partitions.
+    """
+    slices = slices or 4 * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.select(F.pmod(F.xxhash64("_id"), F.lit(runs)).cast("int").alias("_run"), *ENTRY, "_id")
+    level = dealt.groupBy("_run", *ENTRY).agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    level = level.withColumn("_slice", F.pmod(F.hash("_digest"), F.lit(slices)))
+    equal = Window.partitionBy("_run", "_slice", *ENTRY).orderBy(F.asc_nulls_last("keep_id"))
+    every = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    while runs > 1:
         runs = -(-runs // fan_in)
-        level = level.sortWithinPartitions("_digest").withColumn("_run", (F.col("_run") / fan_in).cast("int"))
+        met = level.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int")).repartition("_run", "_slice")
+        merged = met.withColumns({"_place": F.row_number().over(equal), "group_size": F.sum("group_size").over(every)})
+        level = merged.filter("_place = 1").drop("_place")
+    return level.drop("_run", "_slice")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 4) -> DataFrame:
