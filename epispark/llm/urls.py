@@ -3,7 +3,8 @@
 Parsing, rules and features are DataFrame expressions. The trees are Spark ML's and learn from
 labelled URLs, which the caller gives or which the rules label; at most ``sample`` of them, chosen by a
 hash of the URL. Suffix statistics (how often a host suffix occurs, and how often it is blocked
-among the labelled) are counted over all rows.
+among the labelled) are counted over all rows; for a labelled URL the share blocked is counted in the other
+folds only (its own label, or that of a repeat of it, is not in its features).
 """
 
 from __future__ import annotations
@@ -11,17 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epispark.llm.common import join_on_key, session_defaults, stage
+from epispark.llm.common import join_on_key, session_defaults, stage, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-FEATURES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_query_length", "f_hyphens", "f_fragment", "f_https", "f_extension", "f_suffix_count", "f_suffix_block", "f_suffix_labelled"]
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -73,50 +71,63 @@ def suffix_of(host: Column) -> Column:
     return F.regexp_extract(host, r"[^.]*\.?[^.]*$", 0)
 
 
-def lexical_features(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Add the f_ columns that follow from the URL alone. Needs host and path."""
-    url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
+def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
+    """The features that follow from the URL alone."""
     n = F.length(url)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    counts = F.transform(F.array_distinct(F.split("_url", "")), lambda c: F.length("_url") - F.length(F.replace(F.col("_url"), c)))
+    counts = F.transform(F.array_distinct(F.split(url, "")), lambda c: F.length(url) - F.length(F.replace(url, c)))
     entropy = F.log(F.greatest(n, F.lit(1))) - F.aggregate(F.filter(counts, lambda x: x > 0), F.lit(0.0), lambda s, x: s + x * F.log(x)) / F.greatest(n, F.lit(1))
-    features = {
-        "f_length": n,
-        "f_host_length": F.length("host"),
-        "f_path_length": F.length("path"),
-        "f_depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")),
-        "f_labels": F.size(F.split("host", r"\.")),
-        "f_digits": F.length(F.regexp_replace(url, "[^0-9]", "")) / F.greatest(n, F.lit(1)),
-        "f_entropy": entropy,
-        "f_params": F.size(F.filter(F.split(query, "&"), lambda x: x != "")),
-        "f_query_length": F.length(query),
-        "f_hyphens": F.length(F.regexp_replace(url, "[^-_]", "")),
-        "f_fragment": url.contains("#"),
-        "f_https": url.startswith("https://"),
-        "f_extension": F.col("path").rlike(r"\.[A-Za-z0-9]{1,5}$"),
+    return {
+        "length": n,
+        "host_length": F.length(host),
+        "path_length": F.length(path),
+        "depth": F.size(F.filter(F.split(path, "/"), lambda x: x != "")),
+        "labels": F.size(F.split(host, r"\.")),
+        "digits": F.length(F.regexp_replace(url, "[^0-9]", "")) / F.greatest(n, F.lit(1)),
+        "entropy": entropy,
+        "params": F.size(F.filter(F.split(query, "&"), lambda x: x != "")),
+        "query_length": F.length(query),
+        "hyphens": F.length(F.regexp_replace(url, "[^-_]", "")),
+        "fragment": url.contains("#"),
+        "https": url.startswith("https://"),
+        "extension": path.rlike(r"\.[A-Za-z0-9]{1,5}$"),
     }
-    return df.withColumn("_url", url).withColumns({k: v.cast("double") for k, v in features.items()}).drop("_url")
 
 
-def add_suffix_statistics(df: DataFrame) -> DataFrame:
-    """Add how common the host's suffix is, and its smoothed block share, over all rows. Needs host and _label."""
-    df = df.withColumn("_suffix", suffix_of(F.col("host")))
-    stats = df.groupBy("_suffix").agg(
-        F.log1p(F.count(F.lit(1))).alias("f_suffix_count"),
-        F.log1p(F.count("_label")).alias("f_suffix_labelled"),
-        ((F.coalesce(F.sum("_label"), F.lit(0)) + 1) / (F.count("_label") + 2)).alias("f_suffix_block"),
-    )
-    return join_on_key(df, stats, ["_suffix"])
+def add_suffix_statistics(df: DataFrame, folds: int = 5) -> DataFrame:
+    """Add suffix_count, suffix_labelled and suffix_block (the smoothed share of block among the labelled) of the
+    host's suffix, over all rows; for labelled rows, without those of their fold. Needs url, host and label."""
+    df = df.withColumns({"suffix": suffix_of(F.col("host")), "fold": F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(folds))).otherwise(-1)})
+    parts = df.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
+    whole = Window.partitionBy("suffix")
+    totals = parts.withColumns({f"all_{c}": F.sum(c).over(whole) for c in ("n", "labelled", "blocked")})
+    known, blocked = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
+    stats = totals.select("suffix", "fold", F.log1p("all_n").alias("suffix_count"), F.log1p(known).alias("suffix_labelled"), ((blocked + 1) / (known + 2)).alias("suffix_block"))
+    return join_on_key(df, stats, ["suffix", "fold"])
+
+
+def featured(judged: DataFrame) -> DataFrame:
+    """Add ``features``, a vector. Needs url, host, path and label."""
+    names = lexical_features(F.col("url"), F.col("host"), F.col("path"))
+    out = add_suffix_statistics(judged)
+    return out.withColumn("features", array_to_vector(F.array(*[c.cast("double") for c in names.values()], "suffix_count", "suffix_labelled", "suffix_block")))
 
 
-def train_url_model(featured: DataFrame, sample: int = 10_000, trees: int = 12, depth: int = 4, seed: int = 3) -> GBTClassificationModel | None:
-    """Boosted trees from the rows of ``featured`` with a ``_label`` (1: block); None if one label is missing."""
-    rows = featured.filter("_label is not null").select(*FEATURES, F.col("_label").cast("double").alias("label"), F.xxhash64("_key").alias("_h"), "_key")
-    rows = stage(rows.orderBy("_h", "_key").limit(sample).drop("_h", "_key").coalesce(2))
-    if rows.agg(F.count_distinct("label")).first()[0] < 2:
+def train_url_model(rows: DataFrame, sample: int = 10_000, trees: int = 12, depth: int = 4, seed: int = 3) -> GBTClassificationModel | None:
+    """Boosted trees from the rows (url, features, label) with a label (1: block); None if one label is missing."""
+    picked = rows.filter("label is not null").select("features", F.col("label").cast("double").alias("label"), "url")
+    picked = stage(picked.orderBy(F.xxhash64("url"), "url").limit(sample).drop("url").coalesce(2))
+    if picked.agg(F.count_distinct("label")).first()[0] < 2:
         return None
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
-    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2, cacheNodeIds=True).fit(ready)
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2, cacheNodeIds=True).fit(picked)
+
+
+def block_score(rows: DataFrame, model: GBTClassificationModel | None) -> DataFrame:
+    """Add block_score, the trees' probability of block from ``features``; 0 without a model."""
+    if model is None:
+        return rows.withColumn("block_score", F.lit(0.0))
+    model = model.setFeaturesCol("features").setProbabilityCol("probability").setRawPredictionCol("").setPredictionCol("")
+    return model.transform(rows).withColumn("block_score", vector_to_array("probability")[1])
 
 
 def filter_urls(df: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, label_col: str | None = None, sample: int = 10_000) -> DataFrame:
@@ -127,20 +138,16 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = R
     labels the score is 0 and the verdict allow.
 
     Nulls: a null URL has an empty host and path, no rule, and the trees' verdict on an empty URL.
-    Repeated URLs get the same verdict. Very long URLs are read whole. Extra columns pass through;
-    columns named like the new ones are replaced; names starting with ``_`` or ``f_`` are reserved.
+    Repeated URLs get the same verdict. Very long URLs are read whole. Extra columns pass through, whatever
+    their names; columns named like the new ones are replaced. An empty table gives no rows.
     """
     session_defaults(df.sparkSession)
-    judged = judge_rules(df, url_col, rules)
-    label = F.col(f"`{label_col}`").cast("int") if label_col else F.when(F.col("verdict") == "block", 1).when(F.col("verdict") == "allow", 0)
-    judged = judged.withColumn("_label", label).withColumn("_key", F.coalesce(F.col(f"`{url_col}`"), F.lit("")))
-    featured = lexical_features(add_suffix_statistics(judged), url_col)
-    model = train_url_model(featured, sample)
-    if model is None:
-        scored = featured.withColumn("block_score", F.lit(0.0))
-    else:
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(featured)
-        model = model.setFeaturesCol("_features").setProbabilityCol("_probability").setRawPredictionCol("").setPredictionCol("")
-        scored = model.transform(vectors).withColumn("block_score", vector_to_array("_probability")[1])
-    verdict = F.coalesce("verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).drop("_suffix", "_label", "_key", "_features", "_probability", *FEATURES)
+    host, path = parse_url(f"`{url_col}`")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
+    rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
+    rows = rows.withColumns({"rule": rule, "verdict": verdict})
+    label = F.col("row")[label_col].cast("int") if label_col else F.when(F.col("verdict") == "block", 1).when(F.col("verdict") == "allow", 0)
+    ready = featured(rows.withColumn("label", label))
+    scored = block_score(ready, train_url_model(ready, sample))
+    scored = scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")))
+    return unpacked(scored, "host", "path", "rule", "verdict", "block_score")
