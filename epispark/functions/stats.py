@@ -18,6 +18,42 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[s
     return df.groupBy(*(by or [])).agg(q.alias(out))
 
 
+def selected_quantiles(df: DataFrame, column: str, probabilities: list[float], bins: int = 4096, most: int = 100_000) -> list[float | None]:
+    """Exact quantiles of a whole column, with linear interpolation, for tables of any size.
+
+    ``percentile`` over all rows ends in one task that holds every distinct value. Here each pass counts the values in
+    ``bins`` equal bins of what is left, and keeps the bins that hold a wanted rank, until these have ``most`` distinct
+    values at most, or one. Nulls and NaN don't count; without values all quantiles are None.
+    """
+    values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    total = values.count()
+    if not total:
+        return [None] * len(probabilities)
+    found: dict[int, float] = {}
+    open_ = [(values, sorted({int(f(p * (total - 1))) for p in probabilities for f in (math.floor, math.ceil)}), 0)]
+    while open_:
+        part, ranks, below = open_.pop()
+        box = part.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.approx_count_distinct("x").alias("d")).first()
+        if box["a"] == box["b"] or box["d"] <= most // 2:
+            counted = part.groupBy("x").count().orderBy("x").collect()
+            ends, at = np.cumsum([r["count"] for r in counted]) + below, np.array([r["x"] for r in counted])
+            found |= {k: float(at[np.searchsorted(ends, k, side="right")]) for k in ranks}
+            continue
+        place = F.floor((F.col("x") - box["a"]) / ((box["b"] - box["a"]) / bins))
+        counted = sorted((r["bin"], r["count"]) for r in part.groupBy(place.alias("bin")).count().collect())
+        ends = np.cumsum([n for _, n in counted]) + below
+        inside: dict[int, list[int]] = {}
+        for k in ranks:
+            inside.setdefault(int(np.searchsorted(ends, k, side="right")), []).append(k)
+        open_ += [(part.filter(place == counted[i][0]), ks, int(ends[i]) - counted[i][1]) for i, ks in inside.items()]
+    out = []
+    for p in probabilities:
+        at = p * (total - 1)
+        low, high = found[math.floor(at)], found[math.ceil(at)]
+        out.append(low + (high - low) * (at - math.floor(at)))
+    return out
+
+
 def chi2_tail(x: float, k: float) -> float:
     """P(chi-square with k degrees of freedom > x): the regularised upper incomplete gamma function."""
     if not (x > 0 and k > 0):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions import parse, stats
 from epispark.functions.splines import NaturalSpline, lag_basis
-from epispark.operators import burden, dlnm, matched, pooling, quality
+from epispark.operators import burden, dlnm, geo, matched, pooling, quality
 from epispark.operators import panel as P
 from epispark.operators import timeseries as ts
 from epispark.sources import io
@@ -262,3 +262,86 @@ def test_model_queries_do_the_whole_job(spark):
         assert set(horizons) == {7, 14, 21, 28, 35} and len({r.mmt for r in horizons.values()}) == 1
         assert horizons[35].rr_p50 >= 1 - 1e-6 and horizons[7].err_long == pytest.approx(horizons[35].rr_p99 - 1)
     assert burden_rows
+
+
+def test_nearest_points_far_dense_and_tied(spark):
+    rnd = __import__("random").Random(4)
+    points = [(i, rnd.gauss(0, 0.001), rnd.gauss(0, 0.001)) for i in range(900)] + [(i, rnd.uniform(-50, 50), rnd.uniform(-50, 50)) for i in range(900, 1000)]
+    points += [(2000, 7.0, 7.0), (1999, 7.0, 7.0), (3000, None, 1.0), (3001, float("nan"), 1.0)]
+    queries = [(i, rnd.uniform(-60, 60), rnd.uniform(-60, 60)) for i in range(200)] + [(i, rnd.gauss(0, 0.001), rnd.gauss(0, 0.001)) for i in range(200, 400)]
+    queries += [(400, 1e7, -1e7), (401, 7.0, 7.0), (402, None, 0.0)]
+    q = spark.createDataFrame(queries, "qid long, lon double, lat double")
+    p = spark.createDataFrame(points, "pid long, lon double, lat double")
+    got = {r.qid: (r.pid, r.distance) for r in geo.nearest_join(q, p, "qid", "pid").collect()}
+    usable = [x for x in points if x[1] is not None and x[1] == x[1]]
+    assert set(got) == set(range(402))  # however far a query is, it has an answer
+    for i, x, y in queries[:402]:
+        d, best = min(((x - a) ** 2 + (y - b) ** 2, k) for k, a, b in usable)
+        assert got[i][0] == best and got[i][1] == pytest.approx(math.sqrt(d))
+    assert geo.nearest_join(q, p.limit(0), "qid", "pid").count() == 0
+    one = geo.nearest_join(q, p.filter("pid = 5"), "qid", "pid").collect()
+    assert len(one) == 402 and {r.pid for r in one} == {5}
+
+
+def test_histories_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("X;Y\n1;2\n")
+    (tmp_path / "b.csv").write_text("Y;X;Z\n4;3;5\n")
+    spark.createDataFrame([(6, 7)], "X int, W int").write.parquet(f"{tmp_path}/c.parquet")
+    paths = [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv", f"{tmp_path}/missing.csv"]
+    got = io.read_history(spark, io.existing_paths(spark, paths), [f"{tmp_path}/c.parquet"])
+    assert sorted((r.X, r.Y, r.Z, r.W) for r in got.collect()) == [("1", "2", None, None), ("3", "4", "5", None), ("6", None, None, "7")]
+
+
+def test_sinks_can_be_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(2, 1.23456789, [0.1111], (0.2222, "a")), (1, 2.0, [], None)], "k int, x double, a array<double>, s struct<y: double, z: string>")
+    io.write_json_report(df, f"{tmp_path}/j", digits=2)
+    got = {r.k: r for r in spark.read.schema(df.schema).json(f"{tmp_path}/j").collect()}
+    assert (got[2].x, got[2].a, got[2].s.y, got[2].s.z) == (1.23, [0.11], 0.22, "a") and got[1].a == [] and got[1].s is None
+    io.write_csv(df.select("k", "x"), f"{tmp_path}/c")
+    assert sorted(tuple(r) for r in io.read_covariates(spark, f"{tmp_path}/c", "k int, x double").collect()) == [(1, 2.0), (2, 1.23456789)]
+    panel = spark.range(200).selectExpr("cast(id % 20 as int) as region_code", "date_add(date'2001-01-01', cast(id as int)) as date")
+    io.write_panel(panel.repartition(7), f"{tmp_path}/p")
+    seen = {}
+    for part in sorted((tmp_path / "p").glob("part-*")):
+        rows = [tuple(r) for r in spark.read.parquet(str(part)).collect()]
+        assert rows == sorted(rows)
+        for region in {r[0] for r in rows}:
+            assert seen.setdefault(region, part) == part  # ranges: a region is in one file
+    assert len(seen) == 20
+
+
+def test_conditional_estimates_settle_or_fail(spark):
+    days = [(f"s{k % 3}", float(k % 2), float(k % 2)) for k in range(30)]  # cases only where x is 1: no finite estimate
+    df = spark.createDataFrame(days, "stratum string, n double, x double")
+    with pytest.raises((ValueError, np.linalg.LinAlgError)):
+        matched.conditional_logit(df, ["x"], steps=8)
+
+
+def test_rates_and_attributes_without_a_match(spark):
+    sums = spark.createDataFrame([(1, 10.0, 5.0), (2, 8.0, 2.0)], "region int, annual_heat_an double, annual_cold_an double")
+    got = {r.region: r for r in burden.burden_rates(sums, spark.createDataFrame([(1, 1000)], "region int, population int"), ["region"]).collect()}
+    assert (got[1].heat_rate, got[1].cold_rate, got[1].total_rate) == (1000, 500, 1500) and got[2].heat_rate is None
+    units = spark.createDataFrame([("a", "X"), ("b", "Y")], "unit string, state string")
+    out = {r.unit: r.v for r in P.attach_attributes(units, spark.createDataFrame([("X", 3)], "code string, v int"), "state", "code").collect()}
+    assert out == {"a": 3, "b": None}
+
+
+def test_burden_draws_use_exact_exposures(spark):
+    spline = NaturalSpline((0.0, 10.0), (5.0,))
+    panel = spark.createDataFrame([(4.96, 3), (5.04, 2), (9.99, 1), (None, 5)], "exposure double, deaths int")
+    coef = np.array([0.3, 0.2])[: spline.df]
+    draws = burden.monte_carlo(panel, coef, np.zeros((spline.df, spline.df)), spline, 5.0, {"p1": 1.0, "p2_5": 2.0, "p97_5": 8.0, "p99": 9.0}, draws=3).collect()
+    log_rr = (spline.basis(np.array([4.96, 5.04, 9.99])) - spline.basis(np.array([5.0]))) @ coef
+    an = np.where(log_rr > 0, 1 - np.exp(-log_rr), 0) * [3, 2, 1]
+    for r in draws:
+        assert r.heat_an == pytest.approx(an[1:].sum()) and r.cold_an == pytest.approx(an[0]) and r.extreme_heat_an == pytest.approx(an[2])
+
+
+def test_selected_quantiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(0, 1, 500), np.full(300, 0.25), 1e9, -1e9]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+    probabilities = [0.0, 0.01, 0.4, 0.5, 0.77, 1.0]
+    for most in (20, 100_000):
+        assert stats.selected_quantiles(df, "x", probabilities, bins=16, most=most) == pytest.approx(np.quantile(x, probabilities).tolist())
+    assert stats.selected_quantiles(df.limit(0), "x", [0.5]) == [None]
