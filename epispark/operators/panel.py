@@ -82,7 +82,7 @@ def densify(panel: DataFrame, region: str = "region", date: str = "date", fill:
         span = days.agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
     full = regions.join(F.broadcast(span)).select(region, F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias(date))
     if days is not None:
-        full = full.join(F.broadcast(days.select(date).distinct()), date, "left_semi")
+        full = full.join(days.select(date).distinct(), date, "left_semi")
     return full.join(panel, [region, date], "left").na.fill(0, fill)
 
 

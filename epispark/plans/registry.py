@@ -587,23 +587,24 @@ def stratum_difference(spark, sf):
     return out.select("region", *[F.round(c, 6).alias(c) for c in ("diff", "diff_se")], F.round("z", 5).alias("z"), F.round("rr_ratio", 6).alias("rr_ratio"))
 
 
-RR_BY_SQL = ", rr AS (SELECT region, CAST(year(date) - 1995 AS INTEGER) AS lags, avg(exposure) / 25 AS rr FROM p WHERE year(date) IN (1995, 1998, 2000) GROUP BY ALL) "
+HORIZON_SQL = ", rr AS (SELECT region, CAST(year(date) % 2 * 28 + 7 AS INTEGER) AS lags, avg(exposure) / 24 AS rr FROM p GROUP BY ALL) "
+RR_BY_SQL = ", rr AS (SELECT region, CAST(year(date) - 1995 AS INTEGER) AS lags, avg(exposure) / 25 AS rr FROM p GROUP BY ALL) "
 
 
-def rr_by_horizon(spark, sf) -> DataFrame:
-    p = panel(spark, sf).filter(F.year("date").isin(1995, 1998, 2000))
-    return p.groupBy("region", (F.year("date") - 1995).alias("lags")).agg((F.avg("exposure") / 25).alias("rr"))
+def rr_by(spark, sf, label, scale: float) -> DataFrame:
+    """Stand-ins for relative risks: mean exposures of all days, by region and a label of the year."""
+    return panel(spark, sf).groupBy("region", label.alias("lags")).agg((F.avg("exposure") / scale).alias("rr"))
 
 
-@query(RR_BY_SQL + "SELECT region, round(max(CASE WHEN lags = 0 THEN rr - 1 END), 6) AS err_short, round(max(CASE WHEN lags = 5 THEN rr - 1 END), 6) AS err_long, round(1 - max(CASE WHEN lags = 5 THEN rr - 1 END) / nullif(max(CASE WHEN lags = 0 THEN rr - 1 END), 0), 4) AS harvesting FROM rr GROUP BY region")
+@query(HORIZON_SQL + "SELECT region, round(max(CASE WHEN lags = 7 THEN rr - 1 END), 6) AS err_short, round(max(CASE WHEN lags = 35 THEN rr - 1 END), 6) AS err_long, round(1 - max(CASE WHEN lags = 35 THEN rr - 1 END) / nullif(max(CASE WHEN lags = 7 THEN rr - 1 END), 0), 4) AS harvesting FROM rr GROUP BY region")
 def harvesting_ratio(spark, sf):
-    h = pooling.harvesting_ratio(rr_by_horizon(spark, sf), ["region"], short=0, long=5)
+    h = pooling.harvesting_ratio(rr_by(spark, sf, F.year("date") % 2 * 28 + 7, 24), ["region"])
     return h.select("region", F.round("err_short", 6).alias("err_short"), F.round("err_long", 6).alias("err_long"), F.round("harvesting", 4).alias("harvesting"))
 
 
 @query(RR_BY_SQL + "SELECT a.region, a.lags, round(a.rr, 6) AS rr, round((a.rr - b.rr) / b.rr * 100, 5) AS pct_change FROM rr a JOIN rr b ON a.region = b.region AND b.lags = 0 WHERE a.lags <> 0")
 def model_comparison(spark, sf):
-    out = pooling.compare_models(rr_by_horizon(spark, sf), 0, ["region"], "lags")
+    out = pooling.compare_models(rr_by(spark, sf, F.year("date") - 1995, 25), 0, ["region"], "lags")
     return out.select("region", "lags", F.round("rr", 6).alias("rr"), F.round("pct_change", 5).alias("pct_change"))
 
 
@@ -777,16 +778,20 @@ def seeded_sample(spark, sf):
 # Filters, sets, labels
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 700 AND CAST(o_orderdate AS DATE) >= (SELECT min(CAST(o_orderdate AS DATE)) + 21 FROM orders)", cte=False)
+@query("SELECT o_orderkey, o_custkey AS code FROM orders WHERE o_orderkey % 50 >= 2 AND CAST(o_orderdate AS DATE) >= (SELECT min(CAST(o_orderdate AS DATE)) + 21 FROM orders)", cte=False)
 def event_filters(spark, sf):
-    o = table(spark, sf, "orders").withColumn("date", F.to_date("o_orderdate"))
-    return P.valid_events(P.with_lag_room(o, 21), ["date", "o_custkey"], "o_custkey", 700).select("o_orderkey", "o_custkey")
+    """Events whose code is missing or above the sentinel go, and those without room for their lags."""
+    invalid = F.when(F.col("o_orderkey") % 50 == 0, 999_999).when(F.col("o_orderkey") % 50 != 1, F.col("o_custkey"))
+    o = table(spark, sf, "orders").withColumns({"date": F.to_date("o_orderdate"), "code": invalid})
+    return P.valid_events(P.with_lag_room(o, 21), ["date", "code"], "code").select("o_orderkey", "code")
 
 
-@query("SELECT 'common' AS kind, k FROM (SELECT DISTINCT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) UNION ALL SELECT 'missing', k FROM (SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)", cte=False)
+@query("WITH s AS (SELECT s_nationkey AS k FROM supplier GROUP BY 1 HAVING sum(s_acctbal) > (SELECT sum(s_acctbal) / count(DISTINCT s_nationkey) FROM supplier)) SELECT 'common' AS kind, k FROM (SELECT DISTINCT c_nationkey AS k FROM customer INTERSECT SELECT k FROM s) UNION ALL SELECT 'missing', k FROM (SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT k FROM s)", cte=False)
 def key_sets(spark, sf):
+    """Nations of customers, and nations whose suppliers hold more than the nations' mean."""
     c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))
-    s = table(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
+    held = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("held"))
+    s = held.join(F.broadcast(held.agg(F.avg("held").alias("mean")))).filter("held > mean").select("k")
     return P.common_keys(c, s, "k").select(F.lit("common").alias("kind"), "k").unionByName(P.missing_keys(c, s, "k").select(F.lit("missing").alias("kind"), "k"))
 
 
