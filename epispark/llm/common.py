@@ -64,11 +64,18 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *kept: DataFrame) -> None:
-    """Delete this session's staged tables, but for those that ``kept`` read. No other DataFrame may still need them."""
+def staged_tables(spark: SparkSession) -> int:
+    """How many staged tables this session has."""
+    return len(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, *kept: DataFrame, since: int = 0) -> None:
+    """Delete this session's staged tables (after the first ``since``), but for those that ``kept`` read. No other
+    DataFrame may still need them."""
     files = {f for df in kept for f in df.inputFiles()}
-    paths, left = _STAGED.pop(spark.sparkContext.applicationId, []), []
-    for path in paths:
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    left = paths[:since]
+    for path in paths[since:]:
         if any(path.rsplit("/", 1)[1] in f for f in files):
             left.append(path)
             continue
@@ -95,13 +102,9 @@ def unused(df: DataFrame, *names: str) -> str | list[str]:
     return out if len(out) > 1 else out[0]
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """All columns of ``df`` in one, ``row``, so that an operator's own columns beside it clash with none."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-
-
 def unpacked(df: DataFrame, *new: str) -> DataFrame:
-    """The columns in ``row`` again, then those named; of equal names the new one stays."""
+    """The columns that were packed in one, ``row``, so that an operator's own beside it clash with none; then those
+    named. Of equal names the new one stays."""
     replaced = {c.lower() for c in new}
     return df.select(*[F.col("row")[f.name].alias(f.name) for f in df.schema["row"].dataType if f.name.lower() not in replaced], *new)
 
