@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.llm.bpe import default_tokenizer, round_trip
-from epispark.llm.common import documents, release, stage
+from epispark.llm.common import documents, release, stage, staged_tables
 from epispark.llm.line_dedup import dedup_lines
 from epispark.llm.mixing import mix_sources
 from epispark.llm.near_dedup import near_duplicates
@@ -80,10 +80,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows staged for the next."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), staged_tables(spark)
     for i, (_, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stage(docs)
-            release(spark, docs)
+            release(spark, docs, since=before)
     return docs
