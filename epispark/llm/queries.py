@@ -14,6 +14,7 @@ from epispark.llm.fingerprints import add_fingerprints, add_likeness, band_lexic
 from epispark.llm.line_dedup import dedup_lines
 from epispark.llm.mixing import mix_sources
 from epispark.llm.near_dedup import near_duplicates
+from epispark.llm.phrases import mine_phrases
 from epispark.llm.pii import BASE, find_pii
 from epispark.llm.quality import fold, score_quality, train_quality
 from epispark.llm.toxicity import score_toxicity, train_toxicity
@@ -97,6 +98,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(documents(spark, sf_dir).select("lang", "text"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+    SELECT lang, piece, row_number() OVER () AS p FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+words AS (
+    SELECT lang, p, generate_subscripts(w, 1) AS i, unnest(w) AS w
+    FROM (SELECT lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces)),
+windows AS (
+    SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+    FROM words WINDOW o AS (PARTITION BY p ORDER BY i)),
+every AS (
+    SELECT lang, [w1] AS w, count(*) AS f FROM windows GROUP BY ALL
+    UNION ALL SELECT lang, [w1, w2], count(*) FROM windows WHERE w2 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM windows WHERE w3 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM windows WHERE w4 IS NOT NULL GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, w, array_to_string(w, ' ') AS t, f FROM every WHERE f >= 30),
+c AS MATERIALIZED (SELECT lang, w, f AS a FROM f WHERE len(w) > 1),
+cuts AS (SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM c),
+scored AS (
+    SELECT t.lang, t.w, t.a, t.k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * t.a // (x.f + y.f) AS BIGINT) AS score
+    FROM cuts t JOIN f x ON x.lang = t.lang AND x.t = array_to_string(t.w[1:t.k], ' ') JOIN f y ON y.lang = t.lang AND y.t = array_to_string(t.w[t.k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+runs AS (SELECT lang, w, a, unnest(range(2, len(w))) AS m FROM c WHERE len(w) > 2),
+inside AS (SELECT lang, w[i:i + m - 1] AS w, max(a) AS longer FROM (SELECT lang, w, a, m, unnest(range(1, len(w) - m + 2)) AS i FROM runs) GROUP BY ALL),
+kept AS (
+    SELECT b.lang, array_to_string(b.w, ' ') AS phrase, b.a, b.l, b.r, b.score
+    FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.w = b.w WHERE i.longer IS NULL OR 100 * i.longer < 80 * b.a),
+n AS (SELECT lang, count(*) AS n FROM words GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -108,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_phrases": op11_phrases,
 }
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op11_phrases": OP11_SQL}
