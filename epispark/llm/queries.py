@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.llm.bpe import default_tokenizer, round_trip
+from epispark.llm.centroids import cluster
 from epispark.llm.common import documents, text_of
 from epispark.llm.exact_dedup import exact_dedup
 from epispark.llm.fingerprints import add_fingerprints, add_likeness, band_lexicon, with_next
@@ -138,6 +139,36 @@ QUALIFY rank <= 2000
 """
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(documents(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int) -> str:
+    """The rounds written out; whole numbers as doubles are exact here."""
+    near = "(SELECT vec_id, q, min(CAST(list_inner_product(q, q) - 2 * list_inner_product(q, p) + list_inner_product(p, p) AS BIGINT) * 8 + c) AS m FROM kept, c{i} GROUP BY vec_id, q)"
+    parts = [
+        "kept AS MATERIALIZED (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS q FROM embeddings "
+        "WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, q AS p FROM kept QUALIFY c < 8)",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"a{i} AS MATERIALIZED (SELECT m % 8 AS c, q FROM {near.format(i=i)})",
+            f"s{i} AS (SELECT c, j, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT c, generate_subscripts(q, 1) AS j, unnest(q) AS x FROM a{i}) GROUP BY c, j)",
+            f"n{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS p FROM s{i} GROUP BY c)",
+            f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.p, o.p) AS p FROM c{i} o LEFT JOIN n{i} n ON n.c = o.c)",
+        ]
+    parts.append(f"final AS MATERIALIZED (SELECT vec_id, m % 8 AS cluster, m // 8 AS distance FROM {near.format(i=rounds)})")
+    return (
+        "WITH " + ",\n".join(parts) + "\nSELECT vec_id, CAST(cluster AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, "
+        "CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string([CAST(x AS BIGINT) for x in p], ',')) AS centroid_sha256\n"
+        f"FROM final JOIN c{rounds} ON c = cluster"
+    )
+
+
+OP13_SQL = _op13_sql(10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -150,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_phrases": op11_phrases,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op11_phrases": OP11_SQL}
+ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op11_phrases": OP11_SQL, "op13_centroids": OP13_SQL}
