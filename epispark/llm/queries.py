@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from epispark.llm.bpe import default_tokenizer, round_trip
 from epispark.llm.centroids import cluster
 from epispark.llm.common import documents, text_of
+from epispark.llm.embeddings import near_embeddings
 from epispark.llm.exact_dedup import exact_dedup
 from epispark.llm.fingerprints import add_fingerprints, add_likeness, band_lexicon, with_next
 from epispark.llm.line_dedup import dedup_lines
@@ -139,6 +140,22 @@ QUALIFY rank <= 2000
 """
 
 
+def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(documents(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len([x for x in e if x IS NOT NULL AND isfinite(x)]) = len(e) AND list_inner_product(e, e) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(documents(spark, sf_dir, "embeddings"))
 
@@ -181,7 +198,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_phrases": op11_phrases,
+    "op12_embeddings": op12_embeddings,
     "op13_centroids": op13_centroids,
 }
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op11_phrases": OP11_SQL, "op13_centroids": OP13_SQL}
+ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op11_phrases": OP11_SQL, "op12_embeddings": OP12_SQL, "op13_centroids": OP13_SQL}
