@@ -185,7 +185,7 @@ def phrase_counts(docs: DataFrame, seed: int, words: DataFrame, least: int, most
     known = key_bits(words.filter(F.col("f") >= least).select("key"))
     pairs = key_bits(stage(frequent_pairs(docs, seed, known, least)))
     names = [f"w{i}" for i in range(most)]
-    windows = stage(count_windows(docs, seed, known, pairs, most))
+    windows = count_windows(docs, seed, known, pairs, most)
     summed = windows.rollup(*names).agg(F.sum("f").alias("f")).filter(F.col("w0").isNotNull() & (F.col("f") >= least))
     # a sum over padding (0) is not a phrase's; a column that is rolled up is null
     whole = summed.filter(" and ".join(f"coalesce({n} <> 0, true)" for n in names))
