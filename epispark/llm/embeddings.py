@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epispark.llm.common import join_on_key, mix64, session_defaults, stage, unused
 from epispark.llm.metric_join import by_group, components
@@ -242,25 +243,27 @@ def verify(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "kind int, a long, b long, n long")
 
 
-def unit(vector: Column) -> Column:
-    """A vector of doubles scaled to length one, without overflow; null for one that is null, zero, or holds null or non-finite components."""
-    sound = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0)
-    top = F.aggregate(vector, F.lit(0.0), lambda t, x: F.greatest(t, F.abs(x)))
-    scaled = F.transform(vector, lambda x: x / top)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda t, x: t + x * x))
-    return F.when(sound, F.transform(scaled, lambda x: x / length))
+def scaled(df: DataFrame, vector: str) -> DataFrame:
+    """An array column of doubles as bytes ``u``, scaled to length one (without overflow); null for a vector that is null, empty, zero, or holds
+    null or non-finite components."""
+    kept = [f for f in df.schema.fields if f.name != vector]
 
-
-def packed_vectors(rows: DataFrame, column: str) -> DataFrame:
-    """An array column of doubles as bytes, ``u``."""
-    kept = [f for f in rows.schema.fields if f.name != column]
+    def one(x: np.ndarray | None) -> bytes | None:
+        if x is None or not len(x):
+            return None
+        x = x.astype(np.float64)
+        top = np.abs(x).max()
+        if not (np.isfinite(x).all() and top > 0):  # nulls have become NaN
+            return None
+        x = x / top
+        return (x / np.sqrt(x @ x) + 0.0).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u = pa.array([np.asarray(x, np.float64).tobytes() for x in batch.column(column).to_numpy(zero_copy_only=False)], pa.binary())
+            u = pa.array([one(x) for x in batch.column(vector).to_numpy(zero_copy_only=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), u], [*(f.name for f in kept), "u"])
 
-    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "u binary"]))
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField("u", T.BinaryType())]))
 
 
 def near_embeddings(
@@ -287,11 +290,9 @@ def near_embeddings(
     session_defaults(df.sparkSession)
     reach = float(np.arccos(similarity))
     read = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{label_col}`").alias("label"), F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double")).alias("x"))
-    read = read.withColumn("x", F.when(F.col("label").isNotNull(), unit(F.col("x"))))
-    named = read.withColumn("node", F.when(F.col("x").isNotNull(), F.xxhash64("label", F.size("x"), "x")))
+    named = scaled(read, "x").withColumn("node", F.when(F.col("label").isNotNull() & F.col("u").isNotNull(), F.xxhash64("label", "u")))
     found = named.filter("node is not null")
-    nodes = found.groupBy("node").agg(F.first("x").alias("x"), F.xxhash64(F.first("label"), F.size(F.first("x"))).alias("kind"), F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
-    nodes = stage(packed_vectors(nodes, "x"))
+    nodes = stage(found.groupBy("node", "label", "u").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")).select("node", F.xxhash64("label", F.length("u")).alias("kind"), "u", "id", "weight"))
     width = F.sqrt(F.length("u") / 8.0)
 
     # balls: angles of up to 0.8 of the threshold's between members
