@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epispark.functions.stats import selected_quantiles
+
 
 def lookup_region(events: DataFrame, code: str, mapping: DataFrame, key: str, fallback: str | None = None) -> DataFrame:
     """Left-join a mapping by ``key``; rows that miss are looked up again by ``fallback``, a second key of the mapping.
@@ -214,4 +216,5 @@ def keep_regions(panel: DataFrame, regions: DataFrame, region: str = "region") -
 
 def median_of(statistics: DataFrame, columns: list[str]) -> DataFrame:
     """Medians across regions of per-region statistics."""
-    return statistics.agg(*[F.median(c).alias(c) for c in columns])
+    found = selected_quantiles(statistics, columns, [0.5])
+    return statistics.sparkSession.createDataFrame([tuple(q[0] for q in found)], ", ".join(f"`{c}` double" for c in columns))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epispark.functions.stats import selected_quantiles
+
 
 def _series(by: list[str], order: str) -> Window:
     return Window.partitionBy(*by).orderBy(order)
@@ -83,10 +85,12 @@ def fill_gaps(panel: DataFrame, column: str, by: list[str], order: str = "date",
 
 
 def attach_quantiles(panel: DataFrame, column: str, named: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Add the quantiles of the row's group (or of all rows) as columns: one aggregate, joined back."""
-    q = panel.groupBy(*(by or [])).agg(F.percentile(column, F.array(*[F.lit(p) for p in named.values()])).alias("_q"))
-    q = q.select(*(by or []), *[F.col("_q")[i].alias(n) for i, n in enumerate(named)])
-    return panel.join(q, by) if by else panel.join(F.broadcast(q))
+    """Add the quantiles of the row's group as columns: one aggregate, joined back. Those of all rows are selected by radix and added as literals."""
+    if not by:
+        found = selected_quantiles(panel, column, list(named.values()))
+        return panel.withColumns({n: F.lit(v).cast("double") for n, v in zip(named, found)})
+    q = panel.groupBy(*by).agg(F.percentile(column, F.array(*[F.lit(p) for p in named.values()])).alias("_q"))
+    return panel.join(q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(named)]), by)
 
 
 def extreme_flags(panel: DataFrame, column: str, centre: Column | float, low1: str = "p1", low: str = "p2_5", high: str = "p97_5", high1: str = "p99", near: float = 2.0) -> DataFrame:

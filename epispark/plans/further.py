@@ -124,7 +124,7 @@ def estimate_gate(spark, sf):
     """Estimates that are missing, not positive or too uncertain don't pass."""
     odd = F.col("nation") % 5
     s = R.studies(spark, sf).select("nation", F.when(odd == 0, F.lit(float("nan"))).when(odd == 1, -F.col("y")).otherwise(F.col("y")).alias("y"), F.sqrt("v").alias("se"))
-    middle = s.agg(F.median("se").alias("m")).first()["m"] or 0.0
+    middle = stats.selected_quantiles(s, "se", [0.5])[0] or 0.0
     return rounded(quality.valid_fits(s, ["y"], "se", middle))
 
 
@@ -215,7 +215,7 @@ def rr_curve(spark, sf):
 @query()
 def quadratic_logit(spark, sf):
     p = R.dense_panel(spark, sf)
-    middle = p.agg(F.median("exposure").alias("m")).first()["m"] or 0.0
+    middle = stats.selected_quantiles(p, "exposure", [0.5])[0] or 0.0
     fit = matched.quadratic_logit(p, "deaths", "exposure", middle, by=["region"])
     return spark.createDataFrame([(float(fit["beta"][0]), float(fit["beta"][1]), float(fit["optimum"]))], "log_or double, log_or_square double, optimum double")
 
@@ -226,7 +226,7 @@ def stratified_dlnm(spark, sf):
     p = R.dense_panel(spark, sf)
     spline = R.exposure_spline(p, (0.5,))
     fit = matched.stratified_dlnm(dlnm.cross_basis(p, "exposure", spline, 7, 3), spline, lag_df=3, by=["region"])
-    q = p.agg(F.percentile("exposure", F.array(*[F.lit(v) for v in dlnm.PERCENTILES.values()])).alias("q")).first()["q"]
+    q = stats.selected_quantiles(p, "exposure", list(dlnm.PERCENTILES.values()))
     rr, se = dlnm.cumulative_rr(fit["beta"], fit["covariance"], spline, np.array(q), q[2], 7, 3)
     rows = [(name, float(x), float(np.exp(r)), float(s), float(fit["dispersion"])) for name, x, r, s in zip(dlnm.PERCENTILES, q, rr, se)]
     return spark.createDataFrame(rows, "percentile string, at double, rr double, se double, dispersion double")

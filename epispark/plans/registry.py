@@ -646,8 +646,11 @@ def merge_increment(spark, sf):
 
 def exposure_spline(df: DataFrame, inner: tuple[float, ...] = (0.1, 0.75, 0.9)) -> NaturalSpline:
     """Knots at global quantiles, boundary at the range: a few numbers on the driver."""
-    q = df.agg(F.percentile("exposure", F.array(*[F.lit(v) for v in (0.0, *inner, 1.0)])).alias("q")).first()["q"]
-    low, *knots, high = q or [0.0, *[50.0 * v for v in inner], 50.0]
+    return spline_at(stats.selected_quantiles(df, "exposure", [0.0, *inner, 1.0]), inner)
+
+
+def spline_at(q: list[float | None], inner: tuple[float, ...]) -> NaturalSpline:
+    low, *knots, high = q if None not in q else [0.0, *[50.0 * v for v in inner], 50.0]
     return NaturalSpline((low, high), tuple(sorted(set(knots) - {low, high})) or ((low + high) / 2,))
 
 
@@ -680,7 +683,10 @@ GRID = [(lags, "main", 4) for lags in (7, 14, 21, 28)] + [(21, f"df{e}", k) for
 @query()
 def sensitivity_grid(spark, sf):
     p = panel(spark, sf)
-    splines = {"main": exposure_spline(p)} | {f"df{e}": exposure_spline(p, tuple(k / e for k in range(1, e))) for e in (3, 4, 5)}
+    knots = {"main": (0.1, 0.75, 0.9)} | {f"df{e}": tuple(k / e for k in range(1, e)) for e in (3, 4, 5)}
+    places = sorted({0.0, 1.0, *(v for k in knots.values() for v in k)})
+    at = dict(zip(places, stats.selected_quantiles(p, "exposure", places)))
+    splines = {name: spline_at([at[0.0], *[at[v] for v in k], at[1.0]], k) for name, k in knots.items()}
     return dlnm.fit_grid(p, splines, GRID).drop("coef", "vcov")
 
 
@@ -726,7 +732,7 @@ def monte_carlo_burden(spark, sf):
 
     p = panel(spark, sf)
     fits, spline = fitted_regions(spark, sf)
-    q = p.agg(F.percentile("exposure", F.array(*[F.lit(v) for v in CUTS.values()])).alias("q")).first()["q"] or [0.0] * 4
+    q = [v or 0.0 for v in stats.selected_quantiles(p, "exposure", list(CUTS.values()))]
     cuts = dict(zip(CUTS, q))
     pooled = pooled_fit(fits).first()
     if pooled is None:

@@ -337,11 +337,54 @@ def test_burden_draws_use_exact_exposures(spark):
         assert r.heat_an == pytest.approx(an[1:].sum()) and r.cold_an == pytest.approx(an[0]) and r.extreme_heat_an == pytest.approx(an[2])
 
 
+def test_nearest_points_meet_few_pairs_however_spread(spark):
+    rng = np.random.default_rng(11)
+    unit = rng.random((3000, 2))
+    spreads = [
+        np.vstack([unit, 10.0 ** np.arange(-12, 12)[:, None] * [1, 1]]),  # outliers at all scales
+        np.vstack([np.column_stack([np.zeros(2900), unit[:2900, 1]]), unit[:100] * 50]),  # most in one column
+    ]
+    q = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.random((500, 2)))], "qid int, x double, y double")
+    for points in spreads:
+        p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "p int, px double, py double")
+        placed, depth = geo.split_tree(p, 16)
+        assert placed.groupBy(f"node_{depth}").count().agg(F.max("count")).first()[0] <= 16
+        met = geo.candidates(q.select("x", "y"), placed, depth).toPandas()
+        assert len(met) <= 500 * 80  # of 500 * 3000
+        best = (np.hypot(met.x - met.px, met.y - met.py)).groupby([met.x, met.y]).min()
+        for r in q.collect():
+            assert best[(r.x, r.y)] == pytest.approx(np.hypot(points[:, 0] - r.x, points[:, 1] - r.y).min())
+
+
+def test_nearest_points_at_one_place_are_one(spark):
+    p = spark.createDataFrame([(i, 2.0, 3.0) for i in range(5, 2000)] + [(1, 9.0, 9.0), (2, float("nan"), 1.0), (3, None, 1.0), (4, float("inf"), 1.0)], "pid int, lon double, lat double")
+    q = spark.createDataFrame([(i, 0.0, 0.0) for i in range(1000)] + [(-1, 10.0, 10.0), (-1, 0.0, 0.0), (-2, None, 0.0)], "qid int, lon double, lat double")
+    got = geo.nearest_join(q, p, "qid", "pid").collect()
+    assert len(got) == 1002 and {(r.pid, round(r.distance, 6)) for r in got} == {(5, 3.605551), (1, 1.414214)}
+
+
 def test_selected_quantiles_are_exact(spark):
     rng = np.random.default_rng(3)
     x = np.r_[rng.normal(0, 1, 500), np.full(300, 0.25), 1e9, -1e9]
     df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
     probabilities = [0.0, 0.01, 0.4, 0.5, 0.77, 1.0]
-    for most in (20, 100_000):
-        assert stats.selected_quantiles(df, "x", probabilities, bins=16, most=most) == pytest.approx(np.quantile(x, probabilities).tolist())
+    for most in (0, 20, 100_000):
+        assert stats.selected_quantiles(df, "x", probabilities, most=most) == pytest.approx(np.quantile(x, probabilities).tolist())
     assert stats.selected_quantiles(df.limit(0), "x", [0.5]) == [None]
+    assert stats.quantiles(df.limit(0), "x", [0.5]).first()["q"] is None
+
+
+def test_selected_quantiles_with_infinities_and_by_columns(spark):
+    inf = float("inf")
+    values = [inf, -inf, *map(float, range(1000)), 0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308]
+    df = spark.createDataFrame([(v, int(v) if abs(v) < 1e9 else None) for v in values], "x double, k int")
+    ordered = sorted(values)
+    ranks = [0.0, 1 / 1007, 0.5, 1006 / 1007, 1.0]
+    for most in (0, 100, 100_000):  # a range that is infinite, more distinct values than fit at once
+        x, k = stats.selected_quantiles(df, ["x", "k"], ranks, most=most)
+        assert x == pytest.approx([ordered[round(r * 1007)] if r != 0.5 else (ordered[503] + ordered[504]) / 2 for r in ranks])
+        assert k == pytest.approx(np.quantile([int(v) for v in values if abs(v) < 1e9], ranks).tolist())
+    assert np.isnan(stats.selected_quantiles(spark.createDataFrame([(inf,), (-inf,)], "x double"), "x", [0.5])[0])
+    assert stats.selected_quantiles(spark.createDataFrame([(inf,), (inf,)], "x double"), "x", [0.5]) == [inf]
+    p = stats.patterns(np.array(ordered))
+    assert (p[1:] >= p[:-1]).all() and (stats.numbers(p) == ordered).all()
