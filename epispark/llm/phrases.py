@@ -1,7 +1,7 @@
 """Phrase collocations by top-order marginalisation: only the longest windows are counted, and a ROLLUP sums their prefixes.
 
 Every word opens one window: its own column and ``most`` - 1 lead columns, padded with 0 where the piece ends. Every occurrence
-of a phrase is the prefix of exactly one window, so the sums over windows that begin with it, which ROLLUP makes for all lengths
+of a phrase is the prefix of exactly one window, so the sums over windows that begin with it, which ROLLUP makes for all shorter lengths
 at once, are its exact count. Windows end early where no candidate can go on: behind a word, or a pair of neighbours, that occurs
 too seldom. Both are told by bitmaps (16 MB at most) that never lose a frequent one; beyond some 4 million frequent words or pairs
 they let more through, which costs time but changes no count.
@@ -186,10 +186,12 @@ def phrase_counts(docs: DataFrame, seed: int, words: DataFrame, least: int, most
     pairs = key_bits(stage(frequent_pairs(docs, seed, known, least)))
     names = [f"w{i}" for i in range(most)]
     windows = count_windows(docs, seed, known, pairs, most)
-    summed = windows.rollup(*names).agg(F.sum("f").alias("f")).filter(F.col("w0").isNotNull() & (F.col("f") >= least))
+    # whole windows are counted; one condition on both columns, so that both branches read the same exchange
+    longest = windows.filter(F.col("f") * (F.col(names[-1]) != 0).cast("bigint") >= least)
+    summed = windows.rollup(*names[:-1]).agg(F.sum("f").alias("f")).filter(F.col("w0").isNotNull() & (F.col("f") >= least))
     # a sum over padding (0) is not a phrase's; a column that is rolled up is null
-    whole = summed.filter(" and ".join(f"coalesce({n} <> 0, true)" for n in names))
-    return whole.select(*[F.coalesce(n, F.lit(0)).alias(n) for n in names], "f")
+    shorter = summed.filter(" and ".join(f"coalesce({n} <> 0, true)" for n in names[:-1]))
+    return longest.unionByName(shorter.select(*[F.coalesce(n, F.lit(0)).alias(n) for n in names[:-1]], F.lit(0).cast("bigint").alias(names[-1]), "f"))
 
 
 def mine_phrases(
