@@ -26,6 +26,8 @@ from epispark.llm.common import mix64, session_defaults, stage, text_of
 BLANKS, ENDS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 #: Bytes of text that are cut into words at once (a single longer text is not divided).
 CHUNK = 1 << 21
+#: Bits of the keys by which pairs of neighbours are counted.
+PLACES = 36
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)], _KIND[list(ENDS)] = 1, 2
@@ -137,16 +139,17 @@ def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def frequent_pairs(docs: DataFrame, seed: int, words: np.ndarray, least: int) -> DataFrame:
-    """(key) of neighbours that occur ``least`` times, made of words that may be frequent themselves."""
+    """(key) of neighbours that occur ``least`` times, made of words that may be frequent themselves. Pairs are counted in 2 ** ``PLACES`` places;
+    those that share one only let more through."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def work(low, starts, ends, keys, pieces, lang_of):
         known = in_bits(sent.value, keys)
         both = np.flatnonzero(known[1:] & known[:-1] & (pieces[1:] == pieces[:-1]))
-        made, many = np.unique(pair_keys(keys[both], keys[both + 1]), return_counts=True)
+        made, many = np.unique(pair_keys(keys[both], keys[both + 1]) >> np.uint64(64 - PLACES), return_counts=True)
         return {"key": made.view(np.int64), "f": many} if len(made) else None
 
-    return by_chunk(docs, seed, "key long, f long", work).groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("key")
+    return by_chunk(docs, seed, "key long, f long", work).groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select(F.shiftleft("key", 64 - PLACES).alias("key"))
 
 
 def count_windows(docs: DataFrame, seed: int, words: np.ndarray, pairs: np.ndarray, most: int) -> DataFrame:
