@@ -270,7 +270,7 @@ def near_embeddings(
     df: DataFrame,
     similarity: float = 0.93,
     trees: int = 8,
-    spill: float = 0.5,
+    spill: float = 0.75,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
