@@ -1,10 +1,10 @@
 """Phrase collocations by top-order marginalisation: only the longest windows are counted, and a ROLLUP sums their prefixes.
 
 Every word opens one window: its own column and ``most`` - 1 lead columns, padded with 0 where the piece ends. Every occurrence
-of a phrase is the prefix of exactly one window, so the sums over windows that begin with it, which ROLLUP makes for all shorter lengths
-at once, are its exact count. Windows end early where no candidate can go on: behind a word, or a pair of neighbours, that occurs
-too seldom. Both are told by bitmaps (16 MB at most) that never lose a frequent one; beyond some 4 million frequent words or pairs
-they let more through, which costs time but changes no count.
+of a phrase is the prefix of exactly one window, so the sums over windows that begin with it, which ROLLUP makes for all lengths
+at once, are its exact count. Windows end early where no candidate can go on: behind a run of one, two or three words that occurs
+too seldom. That is told by bitmaps (16 MB each at most), made of counts in hashed places, that never lose a frequent run; beyond some 4 million
+frequent runs of a length they let more through, which costs time but changes no count.
 
 In windows words are 64-bit keys. Keys are checked: if two different (language, word) of the corpus share one, all is made
 again with another seed, so counts are those of words, not of hashes.
@@ -26,7 +26,7 @@ from epispark.llm.common import mix64, session_defaults, stage, text_of
 BLANKS, ENDS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 #: Bytes of text that are cut into words at once (a single longer text is not divided).
 CHUNK = 1 << 21
-#: Bits of the keys by which pairs of neighbours are counted.
+#: Bits of the keys by which runs of words are counted.
 PLACES = 36
 
 _KIND = np.zeros(256, np.uint8)
@@ -138,42 +138,47 @@ def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def frequent_pairs(docs: DataFrame, seed: int, words: np.ndarray, least: int) -> DataFrame:
-    """(key) of neighbours that occur ``least`` times, made of words that may be frequent themselves. Pairs are counted in 2 ** ``PLACES`` places;
-    those that share one only let more through."""
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+def runs(keys: np.ndarray, pieces: np.ndarray, known: list[np.ndarray], most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For 1, 2, ... ``most`` words: where runs begin that lie in one piece and hold only shorter runs (and are themselves, where there is a
+    bitmap) that ``known`` lets through; and the keys of the runs that begin everywhere."""
+    alive, names = [in_bits(known[0], keys)], [keys]
+    for m in range(2, most + 1):
+        name, on = np.zeros_like(keys), np.zeros(len(keys), bool)
+        if len(keys) >= m:
+            name[: 1 - m] = pair_keys(names[-1][: 1 - m], keys[m - 1 :])
+            on[: 1 - m] = alive[-1][: 1 - m] & alive[-1][1 : len(keys) - m + 2] & (pieces[: 1 - m] == pieces[m - 1 :])
+            if len(known) >= m:
+                at = np.flatnonzero(on)
+                on[at] = in_bits(known[m - 1], name[at])
+        alive.append(on), names.append(name)
+    return alive, names
+
+
+def frequent_runs(docs: DataFrame, seed: int, known: list[np.ndarray], least: int) -> DataFrame:
+    """(key) of the runs, one word longer than those of the last bitmap, that occur ``least`` times. They are counted in 2 ** ``PLACES``
+    places; those that share one only let more through."""
+    sent, size = docs.sparkSession.sparkContext.broadcast(known), len(known) + 1
 
     def work(low, starts, ends, keys, pieces, lang_of):
-        known = in_bits(sent.value, keys)
-        both = np.flatnonzero(known[1:] & known[:-1] & (pieces[1:] == pieces[:-1]))
-        made, many = np.unique(pair_keys(keys[both], keys[both + 1]) >> np.uint64(64 - PLACES), return_counts=True)
+        alive, names = runs(keys, pieces, sent.value, size)
+        made, many = np.unique(names[-1][alive[-1]] >> np.uint64(64 - PLACES), return_counts=True)
         return {"key": made.view(np.int64), "f": many} if len(made) else None
 
-    return by_chunk(docs, seed, "key long, f long", work).groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select(F.shiftleft("key", 64 - PLACES).alias("key"))
+    counted = by_chunk(docs, seed, "key long, f long", work).groupBy("key").agg(F.sum("f").alias("f"))
+    return counted.filter(F.col("f") >= least).select(F.shiftleft("key", 64 - PLACES).alias("key"))
 
 
-def count_windows(docs: DataFrame, seed: int, words: np.ndarray, pairs: np.ndarray, most: int) -> DataFrame:
+def count_windows(docs: DataFrame, seed: int, known: list[np.ndarray], most: int) -> DataFrame:
     """(w0, w1, ..., f): the padded windows and how often they occur."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
     names = [f"w{i}" for i in range(most)]
 
     def work(low, starts, ends, keys, pieces, lang_of):
-        known_words, known_pairs = sent.value
-        column = np.where(in_bits(known_words, keys), keys, np.uint64(0))
-        goes_on = np.zeros(len(keys), bool)  # to the next word
-        goes_on[:-1] = (column[:-1] != 0) & (column[1:] != 0) & (pieces[1:] == pieces[:-1])
-        at = np.flatnonzero(goes_on)
-        goes_on[at] = in_bits(known_pairs, pair_keys(column[at], column[at + 1]))
-        columns, on = [column], goes_on
-        for i in range(1, most):
-            lead = np.zeros_like(column)
-            lead[:-i] = np.where(on[:-i], column[i:], np.uint64(0))
-            columns.append(lead)
-            on = on & np.r_[goes_on[i:], np.zeros(min(i, len(on)), bool)]
-        kept = np.flatnonzero(column)
+        alive, _ = runs(keys, pieces, sent.value, most)
+        kept = np.flatnonzero(alive[0])
         if not len(kept):
             return None
-        columns = [c[kept] for c in columns]
+        columns = [np.where(on[kept], keys[np.minimum(kept + i, len(keys) - 1)], np.uint64(0)) for i, on in enumerate(alive)]
         order = np.lexsort(columns[::-1])
         columns = [c[order] for c in columns]
         new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
@@ -185,16 +190,14 @@ def count_windows(docs: DataFrame, seed: int, words: np.ndarray, pairs: np.ndarr
 
 def phrase_counts(docs: DataFrame, seed: int, words: DataFrame, least: int, most: int) -> DataFrame:
     """(w0, w1, ..., f) of phrases of 1 to ``most`` words that occur ``least`` times; the columns behind a phrase are 0."""
-    known = key_bits(words.filter(F.col("f") >= least).select("key"))
-    pairs = key_bits(stage(frequent_pairs(docs, seed, known, least)))
+    known = [key_bits(words.filter(F.col("f") >= least).select("key"))]
+    while len(known) < most - 1:
+        known.append(key_bits(stage(frequent_runs(docs, seed, known, least))))
     names = [f"w{i}" for i in range(most)]
-    windows = count_windows(docs, seed, known, pairs, most)
-    # whole windows are counted; one condition on both columns, so that both branches read the same exchange
-    longest = windows.filter(F.col("f") * (F.col(names[-1]) != 0).cast("bigint") >= least)
-    summed = windows.rollup(*names[:-1]).agg(F.sum("f").alias("f")).filter(F.col("w0").isNotNull() & (F.col("f") >= least))
+    summed = count_windows(docs, seed, known, most).rollup(*names).agg(F.sum("f").alias("f")).filter(F.col("w0").isNotNull() & (F.col("f") >= least))
     # a sum over padding (0) is not a phrase's; a column that is rolled up is null
-    shorter = summed.filter(" and ".join(f"coalesce({n} <> 0, true)" for n in names[:-1]))
-    return longest.unionByName(shorter.select(*[F.coalesce(n, F.lit(0)).alias(n) for n in names[:-1]], F.lit(0).cast("bigint").alias(names[-1]), "f"))
+    whole = summed.filter(" and ".join(f"coalesce({n} <> 0, true)" for n in names))
+    return whole.select(*[F.coalesce(n, F.lit(0)).alias(n) for n in names], "f")
 
 
 def mine_phrases(
