@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epispark.functions.splines import NaturalSpline
-from epispark.functions.stats import grid
+from epispark.functions.stats import grid, is_finite
 from epispark.operators.dlnm import predict_rr
 
 
@@ -43,6 +43,36 @@ def nearest_value(x: Column, start: float, step: float, values: list[float]) ->
     return F.when(x.isNotNull(), F.get(table, F.least(F.greatest(at, F.lit(0)), F.lit(len(values) - 1)).cast("int")))
 
 
+def curve_lookup(df: DataFrame, x: str, curves: DataFrame, by: list[str], at: str = "at", value: str = "rr", how: str = "linear", out: str = "rr", parts: int = 32) -> DataFrame:
+    """Look ``x`` up in its group's own curve (rows ``by``, ``at``, ``value``), whose knots may be anywhere: an as-of join.
+
+    Rows and knots are sorted together, so a row sees the last knot at or before it, which carries its successor along; ``linear`` joins the
+    two by a line, ``nearest`` takes the nearer one (ties to the lower). Beyond its ends a curve is constant. Knots at one place are averaged. A
+    group's rows are dealt to ``parts`` parts and its knots, which are few, go to each, so a group may hold any share of the rows. Null for
+    a null or NaN ``x``, and for groups without a curve; knots without a finite place or a value don't count.
+    """
+    if how not in ("linear", "nearest"):
+        raise ValueError(f"linear or nearest, not {how}")
+    names = [f.name for f in df.schema.fields if f.name != out]
+    order = Window.partitionBy(*by).orderBy("_at")
+    knots = curves.select(*by, F.col(at).cast("double").alias("_at"), F.col(value).cast("double").alias("_v")).filter(is_finite(F.col("_at")) & F.col("_v").isNotNull())
+    knots = knots.groupBy(*by, "_at").agg(F.avg("_v").alias("_v")).withColumns({"_next": F.lead("_at").over(order), "_w": F.lead("_v").over(order), "_first": F.row_number().over(order) == 1})
+    # what lies before the first knot meets one that is infinitely far to the left
+    knots = knots.select(*by, F.explode(F.array(
+        F.struct(F.lit(True).alias("keep"), F.col("_at").alias("x"), F.struct("_at", "_v", "_next", "_w").alias("k")),
+        F.struct(F.col("_first").alias("keep"), F.lit(float("-inf")).alias("x"), F.struct(F.lit(float("-inf")).alias("_at"), F.col("_v"), F.col("_at").alias("_next"), F.col("_v").alias("_w")).alias("k")),
+    )).alias("_e")).filter("_e.keep")
+    knots = knots.select(*by, "_e.x", "_e.k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), F.lit(None).cast(df.select(*names).schema).alias("_row"))
+    rows = df.select(*by, F.col(x).cast("double").alias("x"), F.lit(None).cast(knots.schema["k"].dataType).alias("k"), F.pmod(F.xxhash64(x, F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("_part"), F.struct(*names).alias("_row"))
+    place = Window.partitionBy(*by, "_part").orderBy(F.asc_nulls_first("x"), F.col("k").isNull())
+    met = knots.unionByName(rows).withColumn("k", F.last("k", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0))).filter("_row is not null")
+    here, ahead, left = F.col("x") - F.col("k._at"), F.col("k._next") - F.col("x"), F.col("k._v")
+    line = left + (F.col("k._w") - left) * here / (F.col("k._next") - F.col("k._at"))
+    found = F.when(F.col("k._next").isNull() | (F.col("k._at") == float("-inf")), left)
+    found = found.otherwise(line) if how == "linear" else found.when(here <= ahead, left).otherwise(F.col("k._w"))
+    return met.select(*[F.col("_row")[n].alias(n) for n in names], F.when(F.col("x").isNotNull() & ~F.isnan("x"), found).alias(out))
+
+
 def interpolate_table(df: DataFrame, x: str, table: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Interpolation in a table with whole-number keys (a life table): exact, else linear, clamped at the ends.
 
@@ -114,6 +144,8 @@ def monte_carlo(
     summed = panel.groupBy((F.col(exposure) if digits is None else F.round(exposure, digits)).alias("x")).agg(F.sum(deaths).cast("double").alias("n")).filter("x is not null")
     normal = np.random.default_rng(seed).standard_normal((draws, len(coef)))
     values, vectors = np.linalg.eigh((vcov + vcov.T) / 2)
+    if values.min() < -1e-9 * max(values.max(), 0):
+        raise ValueError("the covariance is not positive semidefinite")
     drawn = coef + normal @ (vectors * np.sqrt(np.maximum(values, 0))).T
     names = ["heat_an", "cold_an", "extreme_heat_an", "extreme_cold_an", "heat_p99_an", "cold_p1_an"]
 
@@ -132,6 +164,22 @@ def monte_carlo(
     return out.withColumn("total_an", F.col("heat_an") + F.col("cold_an"))
 
 
+#: The burden's metrics, and whether each is a share of heat and cold together.
+METRICS = ("heat_an", "cold_an", "extreme_heat_an", "extreme_cold_an", "heat_p99_an", "cold_p1_an", "total_an")
+
+
+def interval_metrics(draws: DataFrame, total_deaths: float, years: float, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Intervals of each metric as a sum, per year, and as a percentage of all deaths: metric, measure (total, annual, af_pct), mean, median,
+    ci_lo, ci_hi. ``years`` and ``total_deaths`` are those of the panel that was drawn; without them (0) the measure is null."""
+    scaled = {"total": 1.0, "annual": 1 / years if years else None, "af_pct": 100 / total_deaths if total_deaths else None}
+    cells = [F.struct(F.lit(m).alias("metric"), F.lit(k).alias("measure"), (F.col(m) * F.lit(v).cast("double")).alias("value")) for m in metrics for k, v in scaled.items()]
+    long = draws.select(F.explode(F.array(*cells)).alias("_m")).select("_m.*")
+    # a draw is a row: a thousand of them, whatever the panel's size
+    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975)))
+    out = long.groupBy("metric", "measure").agg(F.avg("value").alias("mean"), q.alias("_q"))
+    return out.select("metric", "measure", "mean", *[F.col("_q")[i].alias(n) for i, n in enumerate(("median", "ci_lo", "ci_hi"))])
+
+
 def interval_summary(draws: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, mean, median, ci_lo, ci_hi) over the draws."""
     long = draws.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")).select("_m.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epispark.functions.splines import NaturalSpline
-from epispark.functions.stats import chi2_p, is_finite, normal_p
+from epispark.functions.stats import chi2_p, chi2_tail, is_finite, normal_p
 from epispark.operators.dlnm import predict_rr
 
 
@@ -50,42 +50,42 @@ def heterogeneity(pooled: DataFrame) -> DataFrame:
     return pooled.withColumn("q_p", chi2_p(F.col("q").cast("double"), F.col("df").cast("double")))
 
 
-def reml(y: np.ndarray, v: np.ndarray, x: np.ndarray | None = None, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coefficients, covariance, tau2) of a univariate random-effects (meta-)regression by Fisher scoring."""
+def reml(y: np.ndarray, v: np.ndarray, x: np.ndarray | None = None, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float, bool]:
+    """(coefficients, covariance, tau2, settled) of a univariate random-effects (meta-)regression by Fisher scoring."""
     x = np.ones((len(y), 1)) if x is None else x
-    tau2 = max(0.0, float(np.var(y) - v.mean()))
+    tau2, settled = max(0.0, float(np.var(y) - v.mean())), False
     for _ in range(steps):
         w = 1 / (v + tau2)
         p = np.diag(w) - (x * w[:, None]) @ np.linalg.solve(x.T @ (x * w[:, None]), (x * w[:, None]).T)
-        step = (y @ p @ p @ y - np.trace(p)) / np.trace(p @ p)
-        new = max(0.0, tau2 + step)
-        if abs(new - tau2) < 1e-12 * (1 + tau2):
-            tau2 = new
-            break
+        new = max(0.0, tau2 + (y @ p @ p @ y - np.trace(p)) / np.trace(p @ p))
+        settled = abs(new - tau2) < 1e-9 * (tau2 + v.mean())
         tau2 = new
+        if settled:
+            break
     w = 1 / (v + tau2)
     cov = np.linalg.inv(x.T @ (x * w[:, None]))
-    return cov @ (x.T @ (w * y)), cov, float(tau2)
+    return cov @ (x.T @ (w * y)), cov, float(tau2), settled
 
 
-def likelihood_tau2(y: np.ndarray, v: np.ndarray, steps: int = 200) -> float:
-    """tau2 of the random-effects model by maximum likelihood, from its fixed-point equation."""
+def likelihood_tau2(y: np.ndarray, v: np.ndarray, steps: int = 5000) -> tuple[float, bool]:
+    """(tau2, settled) of the random-effects model by maximum likelihood, from its fixed-point equation."""
     tau2 = max(0.0, float(np.var(y) - v.mean()))
     for _ in range(steps):
         w = 1 / (v + tau2)
         mean = (w * y).sum() / w.sum()
         new = max(0.0, float((w * w * ((y - mean) ** 2 - v)).sum() / (w * w).sum()))
-        if abs(new - tau2) < 1e-12 * (1 + tau2):
-            return new
+        if abs(new - tau2) < 1e-10 * (tau2 + v.mean()):
+            return new, True
         tau2 = new
-    return tau2
+    return tau2, False
 
 
 def pool_random(studies: DataFrame, by: list[str], estimate: str = "y", variance: str = "v", min_studies: int = 6, largest: float = 100.0) -> DataFrame:
     """Univariate random effects by restricted maximum likelihood, each group of ``by`` (one row a region) in one task.
 
     Only estimates that ``valid_estimates`` lets through count. Falls back to maximum likelihood where the restricted steps
-    don't give a finite result; groups with fewer than ``min_studies`` have the method ``too few``. Returns
+    don't settle; groups with fewer than ``min_studies`` have the method ``too few``, those where neither settles ``not settled`` and no
+    estimates. Returns
     n_studies, method, y, se, tau2, rr, rr_lo, rr_hi (of a log relative risk).
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in studies.select(*by).schema.fields) + ", n_studies int, method string, y double, se double, tau2 double"
@@ -97,12 +97,15 @@ def pool_random(studies: DataFrame, by: list[str], estimate: str = "y", variance
         y, v = pdf[estimate].to_numpy(float), pdf[variance].to_numpy(float)
         method = "reml"
         try:
-            b, cov, tau2 = reml(y, v)
-            ok = np.isfinite([b[0], cov[0, 0], tau2]).all()
+            b, cov, tau2, ok = reml(y, v)
+            ok = ok and np.isfinite([b[0], cov[0, 0], tau2]).all()
         except np.linalg.LinAlgError:
             ok = False
         if not ok:
-            method, tau2 = "ml", likelihood_tau2(y, v)
+            method = "ml"
+            tau2, ok = likelihood_tau2(y, v)
+            if not ok:
+                return pd.DataFrame([base | {"method": "not settled", "y": None, "se": None, "tau2": None}])
             w = 1 / (v + tau2)
             b, cov = np.array([(w * y).sum() / w.sum()]), np.array([[1 / w.sum()]])
         return pd.DataFrame([base | {"method": method, "y": float(b[0]), "se": float(np.sqrt(cov[0, 0])), "tau2": float(tau2)}])
@@ -112,62 +115,111 @@ def pool_random(studies: DataFrame, by: list[str], estimate: str = "y", variance
     return out.withColumns({"rr": F.exp("y"), "rr_lo": bound(-1.96), "rr_hi": bound(1.96)})
 
 
-def multivariate_reml(y: np.ndarray, s: np.ndarray, steps: int = 500, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-    """(mean, its covariance, between-study matrix, method) by expectation-maximisation on the restricted likelihood.
-
-    Falls back to maximum likelihood, then to a zero matrix, if the restricted steps don't stay finite.
+def restricted_likelihood(y: np.ndarray, s: np.ndarray, psi: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log-likelihood, its gradient by psi, mean, the mean's covariance, weights) of a multivariate random-effects model, restricted."""
+    factor = np.linalg.cholesky(s + psi)
+    half = np.linalg.inv(factor)
+    w = np.einsum("ikj,ikl->ijl", half, half)
+    total = w.sum(axis=0)
+    root = np.linalg.inv(np.linalg.cholesky(total))
+    cov = root.T @ root
+    mean = cov @ np.einsum("ijk,ik->j", w, y)
+    r = y - mean
+    wr = np.einsum("ijk,ik->ij", w, r)
+    value = -np.log(np.einsum("ijj->ij", factor)).sum() - 0.5 * (r * wr).sum() + np.log(np.diag(root)).sum()
+    gradient = 0.5 * (wr.T @ wr - total + np.einsum("ijk,kl,ilm->jm", w, cov, w))
+    return float(value), (gradient + gradient.T) / 2, mean, cov, w
+
+
+def multivariate_reml(y: np.ndarray, s: np.ndarray, steps: int = 5000, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(mean, its covariance, between-study matrix psi, settled) by quasi-Newton steps (BFGS) on the Cholesky factor of psi.
+
+    psi = L L' stays positive semidefinite wherever L goes, so optima of lower rank are reached as others are. It has settled when no element
+    of the restricted likelihood's gradient by L is above ``tolerance`` a study. Estimates are scaled by their mean variances first, and
+    covariances come from Cholesky factors, so they are symmetric and positive.
     """
     n, p = y.shape
-    for method in ("reml", "ml"):
-        psi = np.cov(y.T).reshape(p, p) / 2 + 1e-8 * np.eye(p) if n > 1 else np.zeros((p, p))
-        for _ in range(steps):
-            w = np.linalg.inv(s + psi)
-            cov = np.linalg.inv(w.sum(axis=0))
-            mean = cov @ np.einsum("ijk,ik->j", w, y)
-            r = y - mean
-            pw = np.einsum("jk,ikl->ijl", psi, w)
-            u = np.einsum("ijk,ik->ij", pw, r)
-            left = psi - np.einsum("ijk,kl->ijl", pw, psi)
-            if method == "reml":
-                left = left + np.einsum("ijk,kl,iml->ijm", pw, cov, pw)
-            new = (np.einsum("ij,ik->jk", u, u) + left.sum(axis=0)) / n
-            change = np.abs(new - psi).max()
-            psi = (new + new.T) / 2
-            if change < tolerance * (1 + np.abs(psi).max()):
+    unit = np.sqrt(np.einsum("ijj->j", s) / n)
+    y, s = y / unit, s / np.outer(unit, unit)
+    spread = np.cov(y.T).reshape(p, p) if n > 1 else np.zeros((p, p))
+    low = np.tril_indices(p)
+
+    def at(entries: np.ndarray) -> tuple[float, np.ndarray, tuple, np.ndarray]:
+        factor = np.zeros((p, p))
+        factor[low] = entries
+        psi = factor @ factor.T
+        try:
+            value, gradient, mean, cov, _ = restricted_likelihood(y, s, psi)
+        except np.linalg.LinAlgError:
+            return np.inf, np.zeros(len(entries)), (), psi
+        return -value, -(2 * gradient @ factor)[low], (mean, cov), psi
+
+    x = np.linalg.cholesky(spread / 2 + 0.01 * np.eye(p))[low]
+    value, g, found, psi = at(x)
+    inverse, settled = np.eye(len(x)) / max(np.abs(g).max(), 1.0), False
+    for _ in range(steps):
+        settled = bool(np.abs(g).max() < tolerance * n)
+        if settled:
+            break
+        move = -inverse @ g
+        if move @ g >= 0:
+            inverse = np.eye(len(x)) / max(np.abs(g).max(), 1.0)
+            move = -inverse @ g
+        step, low_step, high_step = 1.0, 0.0, np.inf
+        for _ in range(40):  # bisection to a step that falls enough and flattens (weak Wolfe conditions)
+            trial = at(x + step * move)
+            if not trial[0] <= value + 1e-4 * step * (move @ g) + 1e-13 * abs(value):
+                high_step = step
+            elif trial[1] @ move < 0.9 * (move @ g):
+                low_step = step
+            else:
                 break
-        if np.isfinite(psi).all() and np.linalg.eigvalsh(psi).min() > -1e-8:
+            step = (low_step + high_step) / 2 if np.isfinite(high_step) else 2 * low_step
+        if not np.isfinite(trial[0]):
             break
-    else:
-        psi, method = np.zeros((p, p)), "fixed"
-    w = np.linalg.inv(s + psi)
-    cov = np.linalg.inv(w.sum(axis=0))
-    return cov @ np.einsum("ijk,ik->j", w, y), cov, psi, method
+        dx, dg = step * move, trial[1] - g
+        x, (value, g, found, psi) = x + dx, trial
+        if (curve := dx @ dg) > 1e-14:
+            hg = inverse @ dg
+            inverse = inverse + (1 + dg @ hg / curve) * np.outer(dx, dx) / curve - (np.outer(hg, dx) + np.outer(dx, hg)) / curve
+    mean, cov = found
+    return mean * unit, cov * np.outer(unit, unit), psi * np.outer(unit, unit), settled
 
 
 def pool_multivariate(fits: DataFrame, by: list[str], coef: str = "coef", vcov: str = "vcov", min_studies: int = 10) -> DataFrame:
     """Pool coefficient vectors by restricted maximum likelihood, each group of ``by`` in one task.
 
-    A group holds one row a region (thousands at most). Returns n_studies, method, coef, vcov, psi (flattened by
-    columns), q, df, i2 and h2; groups with fewer than ``min_studies`` have the method ``too few``.
+    A group holds one row a region (thousands at most). Returns n_studies, method, coef, vcov, psi (flattened by columns), the trace and the mean of
+    psi's diagonal (tau2_trace, tau2_mean), q, df, q_p, i2 and h2. The method is ``reml``, or ``too few`` for groups with fewer than
+    ``min_studies``, or ``not settled``; both of these have no estimates (the heterogeneity about the fixed-effect mean needs none of the steps, and
+    stays).
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fits.select(*by).schema.fields) + (", " if by else "") + "n_studies int, method string, coef array<double>, vcov array<double>, psi array<double>, q double, df int, i2 double, h2 double"
+    names = ["coef", "vcov", "psi"]
+    numbers = ["tau2_trace", "tau2_mean", "q", "q_p", "i2", "h2"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fits.select(*by).schema.fields) + (", " if by else "") + ", ".join(["n_studies int, method string", *(f"{n} array<double>" for n in names), *(f"{n} double" for n in numbers), "df int"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = {k: pdf[k].iloc[0] for k in by} | {"n_studies": len(pdf)}
-        empty = {c: None for c in ("coef", "vcov", "psi", "q", "df", "i2", "h2")}
+        base = {k: pdf[k].iloc[0] for k in by} | {"n_studies": len(pdf)} | dict.fromkeys([*names, *numbers, "df"])
         if len(pdf) < max(2, min_studies):
-            return pd.DataFrame([base | empty | {"method": "too few"}])
+            return pd.DataFrame([base | {"method": "too few"}])
         y = np.stack(pdf[coef].to_numpy())
         p = y.shape[1]
         s = np.stack([np.asarray(v).reshape(p, p, order="F") for v in pdf[vcov]])
-        s = s + 1e-6 * np.einsum("ijj->i", s)[:, None, None] / p * np.eye(p)
-        mean, cov, psi, method = multivariate_reml(y, s)
+        s = (s + s.transpose(0, 2, 1)) / 2 + 1e-6 * np.einsum("ijj->i", s)[:, None, None] / p * np.eye(p)
         w = np.linalg.inv(s)
         fixed = np.linalg.solve(w.sum(axis=0), np.einsum("ijk,ik->j", w, y))
         r = y - fixed
         q = float(np.einsum("ij,ijk,ik->", r, w, r))
         df = (len(y) - 1) * p
-        return pd.DataFrame([base | {"method": method, "coef": mean.tolist(), "vcov": cov.ravel(order="F").tolist(), "psi": psi.ravel(order="F").tolist(), "q": q, "df": df, "i2": max(0.0, (q - df) / q * 100), "h2": q / df}])
+        base |= {"q": q, "df": df, "q_p": chi2_tail(q, df), "i2": max(0.0, (q - df) / q * 100) if q > 0 else 0.0, "h2": q / df}
+        try:
+            mean, cov, psi, settled = multivariate_reml(y, s)
+        except np.linalg.LinAlgError:
+            settled = False
+        if not settled:
+            return pd.DataFrame([base | {"method": "not settled"}])
+        found = {"coef": mean.tolist(), "vcov": cov.ravel(order="F").tolist(), "psi": psi.ravel(order="F").tolist(), "tau2_trace": float(np.trace(psi)), "tau2_mean": float(np.trace(psi) / p)}
+        return pd.DataFrame([base | found | {"method": "reml"}])
 
     ready = fits.select(*by, coef, vcov).withColumn("_all", F.lit(1))
     return ready.groupBy(*(by or ["_all"])).applyInPandas(run, schema)
@@ -176,17 +228,20 @@ def pool_multivariate(fits: DataFrame, by: list[str], coef: str = "coef", vcov:
 def meta_regression(studies: DataFrame, by: list[str], moderator: str, estimate: str = "y", variance: str = "v", min_studies: int = 10) -> DataFrame:
     """Random-effects regression on one (z-scored) moderator per group: slope, intercept, their errors, z and p.
 
-    Unpivot moderators and effects into ``by`` to fit them all in one job. Groups are one row a region.
+    Unpivot moderators and effects into ``by`` to fit them all in one job. Groups are one row a region. status is success, skip (fewer than
+    ``min_studies``, or a constant moderator) or not settled; only success has estimates.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in studies.select(*by).schema.fields) + ", n_studies int, intercept double, intercept_se double, slope double, slope_se double, tau2 double"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in studies.select(*by).schema.fields) + ", n_studies int, status string, intercept double, intercept_se double, slope double, slope_se double, tau2 double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base = {k: pdf[k].iloc[0] for k in by}
         pdf = pdf.dropna()
-        out = dict.fromkeys(("intercept", "intercept_se", "slope", "slope_se", "tau2"))
+        out = dict.fromkeys(("intercept", "intercept_se", "slope", "slope_se", "tau2")) | {"status": "skip"}
         if len(pdf) >= max(3, min_studies) and pdf[moderator].std() > 0:
-            b, cov, tau2 = reml(pdf[estimate].to_numpy(float), pdf[variance].to_numpy(float), np.column_stack([np.ones(len(pdf)), pdf[moderator].to_numpy(float)]))
-            out = {"intercept": b[0], "intercept_se": np.sqrt(cov[0, 0]), "slope": b[1], "slope_se": np.sqrt(cov[1, 1]), "tau2": tau2}
+            b, cov, tau2, settled = reml(pdf[estimate].to_numpy(float), pdf[variance].to_numpy(float), np.column_stack([np.ones(len(pdf)), pdf[moderator].to_numpy(float)]))
+            out["status"] = "success" if settled else "not settled"
+            if settled:
+                out |= {"intercept": b[0], "intercept_se": np.sqrt(cov[0, 0]), "slope": b[1], "slope_se": np.sqrt(cov[1, 1]), "tau2": tau2}
         return pd.DataFrame([base | {"n_studies": len(pdf)} | out])
 
     fitted = studies.select(*by, moderator, estimate, variance).groupBy(*by).applyInPandas(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epispark.functions import parse, stats
-from epispark.operators import burden, dlnm, excess, matched, pooling, quality
+from epispark.operators import additive, burden, dlnm, excess, matched, pooling, quality
 from epispark.operators import panel as P
 from epispark.operators import timeseries as ts
 from epispark.plans import registry as R
@@ -195,7 +195,7 @@ def stratum_difference_p(spark, sf):
 
 def pooled_at(spark, sf) -> tuple[DataFrame, object, DataFrame]:
     """The pooled fit, its spline, and the medians over regions of the percentiles."""
-    fits, spline = R.fitted_regions(spark, sf)
+    fits, spline, _ = R.fitted_nations(spark, sf)
     return R.pooled_fit(fits), spline, P.median_of(fits.filter("status = 'success'"), list(dlnm.PERCENTILES))
 
 
@@ -205,6 +205,55 @@ def pooled_percentiles(spark, sf):
     return pooling.pooled_percentiles(pooled, spline, medians, list(dlnm.PERCENTILES), F.lit(sum(spline.boundary) / 2))
 
 
+CURVE_SQL = """, k AS (SELECT region, avg(exposure) AS pos, 1 + stddev_samp(exposure) / 100 AS rr FROM p GROUP BY region, year(date), quarter(date)),
+n AS (SELECT region, pos, rr, lead(pos) OVER w AS pos2, lead(rr) OVER w AS rr2, row_number() OVER w AS i FROM k WHERE rr IS NOT NULL WINDOW w AS (PARTITION BY region ORDER BY pos)),
+m AS (SELECT p.region, p.date, p.exposure AS x, n.* EXCLUDE (region) FROM p JOIN n ON p.region = n.region AND (p.exposure >= n.pos OR n.i = 1) AND (n.pos2 IS NULL OR p.exposure < n.pos2)) """
+
+
+def curves(spark, sf) -> DataFrame:
+    """A curve for each region, with a knot a quarter, wherever its mean exposure is."""
+    k = panel(spark, sf).groupBy("region", F.year("date"), F.quarter("date")).agg(F.avg("exposure").alias("at"), (1 + F.stddev_samp("exposure") / 100).alias("rr"))
+    return k.select("region", "at", "rr")
+
+
+@query(CURVE_SQL + "SELECT region, date, round(CASE WHEN x < pos OR pos2 IS NULL THEN rr ELSE rr + (rr2 - rr) * (x - pos) / (pos2 - pos) END, 6) AS rr FROM m")
+def rr_by_region(spark, sf):
+    """Each region's days on the region's own curve, with uneven knots."""
+    return rounded(burden.curve_lookup(panel(spark, sf), "exposure", curves(spark, sf), ["region"]).select("region", "date", "rr"))
+
+
+@query(CURVE_SQL + "SELECT region, date, round(CASE WHEN x < pos OR pos2 IS NULL OR x - pos <= pos2 - x THEN rr ELSE rr2 END, 6) AS rr FROM m")
+def rr_by_region_nearest(spark, sf):
+    return rounded(burden.curve_lookup(panel(spark, sf), "exposure", curves(spark, sf), ["region"], how="nearest").select("region", "date", "rr"))
+
+
+@query()
+def pooled_heterogeneity(spark, sf):
+    """How the nations' curves differ: multivariate Q and its p-value, between-study variances."""
+    fits, _, _ = R.fitted_nations(spark, sf)
+    pooled = pooling.pool_multivariate(fits.filter("status = 'success'"), [])
+    return pooled.select("n_studies", "method", "q", "df", "q_p", "i2", "h2", "tau2_trace", "tau2_mean")
+
+
+@query()
+def penalised_baseline(spark, sf):
+    """The national series against a smooth baseline: cyclic season, trend, weekdays, penalties chosen by the data."""
+    series = P.national_series(R.dense_panel(spark, sf), "date", ["deaths"], "exposure")
+    expected, _ = additive.penalised_baseline(series)
+    return excess.excess(expected).select("date", "deaths", "expected", "excess", "excess_pct")
+
+
+@query()
+def long_series_fit(spark, sf):
+    """Each region's series, and all of them as one long series, by sums over rows: exposure spline, yearly wave, weekdays."""
+    p = R.dense_panel(spark, sf)
+    spline = R.exposure_spline(p)
+    turn = F.dayofyear("date") * (2 * np.pi / 365.25)
+    x = F.array(F.lit(1.0), *spline.columns(F.col("exposure")), F.sin(turn), F.cos(turn), *[(F.weekday("date") == k).cast("double") for k in range(1, 7)])
+    levels = p.select(F.explode(F.array(F.lit("all"), F.col("region").cast("string"))).alias("level"), "deaths", x.alias("x"))
+    return additive.fit_long(levels, ("level",)).drop("vcov")
+
+
 @query()
 def rr_curve(spark, sf):
     """The pooled curve on a grid of a tenth."""

@@ -660,8 +660,25 @@ def fitted_regions(spark, sf) -> tuple[DataFrame, NaturalSpline]:
     return dlnm.fit_regions(dlnm.cross_basis(p, "exposure", spline), spline), spline
 
 
+def nation_panel(spark, sf) -> DataFrame:
+    """Nations as regions: their days without events count, days without an exposure don't."""
+    daily = P.count_events(records(spark, sf).drop("region").withColumnRenamed("nation", "region"), ["region", "date"])
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("date"), "l_quantity")
+    supplier = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("region"))
+    exposed = lines.join(supplier, "s_suppkey").groupBy("region", "date").agg(F.avg("l_quantity").alias("exposure"))
+    return P.join_panels(P.densify(daily, fill=["deaths"]), exposed)
+
+
+def fitted_nations(spark, sf) -> tuple[DataFrame, NaturalSpline, DataFrame]:
+    """(fits, spline, panel) of nations."""
+    p = nation_panel(spark, sf)
+    spline = exposure_spline(p)
+    return dlnm.fit_models(p, {"main": dlnm.Model(spline)}).drop("model"), spline, p
+
+
 def pooled_fit(fits: DataFrame) -> DataFrame:
-    return pooling.pool_multivariate(fits.filter("status = 'success'"), [], min_studies=3).filter("coef is not null")
+    """The pool of at least ten settled fits; empty where there are fewer, or where it doesn't settle."""
+    return pooling.pool_multivariate(fits.filter("status = 'success'"), []).filter("coef is not null")
 
 
 @query()
@@ -671,7 +688,7 @@ def dlnm_region_fit(spark, sf):
 
 @query()
 def dlnm_pooled_curve(spark, sf):
-    fits, spline = fitted_regions(spark, sf)
+    fits, spline, _ = fitted_nations(spark, sf)
     low, high = spline.boundary
     return dlnm.predict_rr(pooled_fit(fits), spline, stats.grid(low, (high - low) / 99, 100), F.lit((low + high) / 2)).select("at", "rr", "rr_lo", "rr_hi")
 
@@ -716,22 +733,15 @@ def adjusted_models(spark, sf):
     e = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.avg("l_discount").alias("pm25"), F.avg("l_tax").alias("flu"))
     p = p.join(e, "date", "left")
     spline = exposure_spline(p)
-    based = dlnm.cross_basis(p, "exposure", spline)
-    models = {"main": {}, "pm25": {"splined": ("pm25",)}, "flu": {"extra": ("flu",)}}
-    out = None
-    for name, options in models.items():
-        part = dlnm.fit_regions(based, spline, **options).select(F.lit(name).alias("model"), "region", "status", "rr_p99", "rr_p1")
-        out = part if out is None else out.unionByName(part)
-    return out
+    models = {"main": dlnm.Model(spline), "pm25": dlnm.Model(spline, splined=("pm25",)), "flu": dlnm.Model(spline, extra=("flu",))}
+    return dlnm.fit_models(p, models).select("model", "region", "status", "rr_p99", "rr_p1")
 
 
-@query()
-def monte_carlo_burden(spark, sf):
-    """Burden of the pooled curve against its own minimum; without a pooled curve there are no days to burden."""
+def burden_draws(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(draws, panel): burden of the pooled curve against its own minimum; without a pooled curve there are no days to burden."""
     import numpy as np
 
-    p = panel(spark, sf)
-    fits, spline = fitted_regions(spark, sf)
+    fits, spline, p = fitted_nations(spark, sf)
     q = [v or 0.0 for v in stats.selected_quantiles(p, "exposure", list(CUTS.values()))]
     cuts = dict(zip(CUTS, q))
     pooled = pooled_fit(fits).first()
@@ -742,8 +752,20 @@ def monte_carlo_burden(spark, sf):
         vcov = np.array(pooled["vcov"]).reshape(len(coef), len(coef))
         centre, _ = dlnm.minimum_risk(coef, vcov, spline, cuts["p1"], cuts["p99"], 21, 4)
         coef, vcov = dlnm.reduce_over_lags(coef, vcov, spline.df, 21, 4)
-    draws = burden.monte_carlo(p, coef, vcov, spline, centre, cuts)
-    return burden.interval_summary(draws, ["heat_an", "cold_an", "extreme_heat_an", "extreme_cold_an", "heat_p99_an", "cold_p1_an", "total_an"])
+    return burden.monte_carlo(p, coef, vcov, spline, centre, cuts), p
+
+
+@query()
+def monte_carlo_burden(spark, sf):
+    return burden.interval_summary(burden_draws(spark, sf)[0], list(burden.METRICS))
+
+
+@query()
+def burden_intervals(spark, sf):
+    """The seven metrics as sums, yearly means and percentages of all deaths, with their intervals."""
+    draws, p = burden_draws(spark, sf)
+    about = p.agg(F.sum("deaths").alias("n"), F.count_distinct("date").alias("days")).first()
+    return burden.interval_metrics(draws, float(about["n"] or 0), about["days"] / 365.25)
 
 
 @query()

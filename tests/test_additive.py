@@ -87,7 +87,7 @@ def test_long_fit_equals_the_fit_of_all_rows(spark):
     assert df.filter("key = 'hot'").select(F.spark_partition_id()).distinct().count() == 8  # one key over several tasks
     got = {r["key"]: r for r in additive.fit_long(df, ("key",)).collect()}
     for key, at in (("hot", slice(100, 900)), ("small", slice(0, 100))):
-        beta, cov, dispersion, _ = fit_quasi_poisson(x[at], y[at].astype(float))
+        beta, cov, dispersion, _, _ = fit_quasi_poisson(x[at], y[at].astype(float))
         r = got[key]
         assert r["status"] == "success" and r["n_rows"] == len(y[at]) and r["n_deaths"] == y[at].sum()
         assert np.allclose(r["coef"], beta, atol=1e-7) and np.allclose(r["vcov"], cov.ravel(), rtol=1e-5, atol=1e-10) and r["dispersion"] == pytest.approx(dispersion, rel=1e-6)

@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from epispark.functions.splines import NaturalSpline, lag_basis
@@ -125,6 +126,15 @@ def test_grid_strata_and_horizons(spark, run, frame, main_spline):
         assert rr[7] == 1 or rows["harvesting"].iloc[0] == pytest.approx(1 - (rr[35] - 1) / (rr[7] - 1))
 
     strata = run("stratum_fits")
+    fitted = strata[strata["status"] == "success"]
+    assert len(fitted), strata[["status", "reason"]]
+    found = fitted.iloc[0]
+    p3 = records(spark, SF).withColumnRenamed("o_orderstatus", "stratum").groupBy("region", "stratum", "date").count().join(R.exposure(spark, SF), ["region", "date"])
+    curve = R.exposure_spline(p3)
+    mine = p3.filter((F.col("region") == int(found["region"])) & (F.col("stratum") == found["stratum"])).toPandas().rename(columns={"count": "deaths"}).sort_values("date")
+    beta, _, x, p = reference(mine, curve)
+    d = curve.basis(np.array([np.quantile(x, 0.95)])) - curve.basis(np.array([found["mmt"]]))
+    assert math.log(found["rr_p95"]) == pytest.approx((d @ (beta[:p].reshape(curve.df, 4) @ lag_basis(21, 4).basis(np.arange(22)).sum(axis=0)))[0], rel=1e-2, abs=5e-3)
     assert {"F", "O", "P"} == set(strata["stratum"]) and len(strata) == 15 and (strata.loc[strata["status"] == "skip", "n_rows"].notna()).all()
 
 
@@ -141,29 +151,37 @@ def test_extra_terms(spark, run, frame, main_spline):
             wave[k:end] = 1
         k = max(end, k + 1)
     from epispark.operators import timeseries as ts
-    from pyspark.sql import functions as F
 
     p = ts.attach_quantiles(panel(spark, SF), "exposure", {"p95": 0.95})
     p = ts.runs(p, F.col("exposure") > F.col("p95"), ["region"], min_length=3).withColumn("heatwave", F.col("in_run").cast("double"))
     fits = dlnm.fit_regions(dlnm.cross_basis(p, "exposure", main_spline), main_spline, extra=("heatwave",)).toPandas().set_index("region")
-    if wave.any() and not np.isnan(fits.loc[1, "extra_log_rr"]):
-        beta, cov, _, n = reference(rows, main_spline, extra=wave)
-        assert fits.loc[1, "extra_log_rr"] == pytest.approx(beta[n], rel=1e-2, abs=1e-3)
-        assert fits.loc[1, "extra_se"] == pytest.approx(math.sqrt(cov[n, n]), rel=2e-2)
+    beta, cov, _, n = reference(rows, main_spline, extra=wave)
+    assert fits.loc[1, "extra_log_rr"] == pytest.approx(beta[n], rel=1e-4) and fits.loc[1, "extra_se"] == pytest.approx(math.sqrt(cov[n, n]), rel=1e-4)
     ok = fits[fits["extra_se"].between(1e-9, 10)]
     pooled = run("heatwave_effect")
-    if len(ok):
-        y, v = ok["extra_log_rr"].to_numpy(float), ok["extra_se"].to_numpy(float) ** 2
-        fixed = (y / v).sum() / (1 / v).sum()
-        assert pooled["fixed"].iloc[0] == pytest.approx(fixed, rel=1e-6) and pooled["k"].iloc[0] == len(ok)
-        assert pooled["rr"].iloc[0] == pytest.approx(math.exp(pooled["random"].iloc[0]))
+    y, v = ok["extra_log_rr"].to_numpy(float), ok["extra_se"].to_numpy(float) ** 2
+    assert pooled["fixed"].iloc[0] == pytest.approx((y / v).sum() / (1 / v).sum(), rel=1e-6) and pooled["k"].iloc[0] == len(ok) > 0
+    assert pooled["rr"].iloc[0] == pytest.approx(math.exp(pooled["random"].iloc[0]))
     models = run("adjusted_models")
     main = run("dlnm_region_fit").set_index("region")
     for r in models[models["model"] == "main"].itertuples():
         assert r.rr_p99 == pytest.approx(main.loc[r.region, "rr_p99"], rel=1e-6)
     assert set(models["model"]) == {"main", "pm25", "flu"} and len(models) == 15
-    changed = models.pivot(index="region", columns="model", values="rr_p99").dropna()
-    assert len(changed) and not np.allclose(changed["main"], changed["flu"], rtol=1e-9)
+    daily = R.table(spark, SF, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.avg("l_discount").alias("pm25"), F.avg("l_tax").alias("flu")).toPandas()
+    rows = rows.merge(daily, on="date", how="left").sort_values("date")
+    ok = np.arange(len(rows)) >= 21  # the rows that the model uses
+    v = rows["pm25"].to_numpy(float)
+    q = np.quantile(v[ok], [0, 1 / 3, 2 / 3, 1])
+    theirs = {"flu": rows["flu"].to_numpy(float), "pm25": NaturalSpline((q[0], q[3]), (q[1], q[2])).basis(v)}
+    s = lag_basis(21, 4).basis(np.arange(22)).sum(axis=0)
+    for name, more in theirs.items():
+        beta, _, x, p = reference(rows, main_spline, extra=more)
+        theta = beta[:p].reshape(main_spline.df, 4) @ s
+        places = np.linspace(*np.quantile(x, [0.01, 0.99]), 100)
+        mmt = places[np.argmin(main_spline.basis(places) @ theta)]
+        d = main_spline.basis(np.quantile(x, [0.01, 0.99])) - main_spline.basis(np.array([mmt]))
+        got = models[(models["model"] == name) & (models["region"] == 1)].iloc[0]
+        assert np.allclose(np.log([got["rr_p1"], got["rr_p99"]]), d @ theta, rtol=1e-4, atol=1e-6)
 
 
 def restricted(y, v, x, tau2):
@@ -195,7 +213,7 @@ def test_univariate_reml(spark, run):
     y = rng.normal(0.3, np.sqrt(v + 0.04))
     likelihood = lambda t: -0.5 * (np.log(v + t).sum() + ((y - ((y / (v + t)).sum() / (1 / (v + t)).sum())) ** 2 / (v + t)).sum())
     grid = np.linspace(0, 0.2, 20001)
-    assert pooling.likelihood_tau2(y, v) == pytest.approx(grid[np.argmax([likelihood(t) for t in grid])], abs=2e-5)
+    assert pooling.likelihood_tau2(y, v)[0] == pytest.approx(grid[np.argmax([likelihood(t) for t in grid])], abs=2e-5)
     few = spark.createDataFrame([("a", 0.1, 0.01)], "g string, y double, v double")
     assert pooling.pool_random(few, ["g"]).first()["method"] == "too few"
 
@@ -217,7 +235,7 @@ def test_multivariate_reml_is_a_maximum():
     rng = np.random.default_rng(7)
     s = np.stack([np.diag(rng.uniform(0.02, 0.06, 2)) for _ in range(25)])
     y = rng.multivariate_normal([0.5, -0.2], [[0.09, 0.03], [0.03, 0.05]], 25) + np.stack([rng.multivariate_normal([0, 0], a) for a in s])
-    mean, cov, psi, method = pooling.multivariate_reml(y, s, steps=5000, tolerance=1e-12)
+    mean, cov, psi, settled = pooling.multivariate_reml(y, s)
 
     def value(p):
         w = np.linalg.inv(s + p)
@@ -225,7 +243,7 @@ def test_multivariate_reml_is_a_maximum():
         m = np.linalg.solve(a, np.einsum("ijk,ik->j", w, y))
         return -0.5 * (np.linalg.slogdet(s + p)[1].sum() + np.linalg.slogdet(a)[1] + np.einsum("ij,ijk,ik->", y - m, w, y - m))
 
-    assert method == "reml" and np.trace(psi) > 0
+    assert settled and np.trace(psi) > 0
     best = value(psi)
     for _ in range(200):
         d = rng.normal(0, 0.004, (2, 2))
@@ -233,13 +251,53 @@ def test_multivariate_reml_is_a_maximum():
         if np.linalg.eigvalsh(trial).min() > 0:
             assert value(trial) <= best + 1e-6
     assert np.allclose(np.linalg.inv(np.linalg.inv(s + psi).sum(axis=0)), cov)
+    assert not pooling.multivariate_reml(y, s, steps=1)[3]
+    # the gradient, by differences
+    p0 = np.array([[0.05, 0.01], [0.01, 0.08]])
+    gradient = pooling.restricted_likelihood(y, s, p0)[1]
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        e = np.zeros((2, 2))
+        e[i, j] = e[j, i] = 1e-6
+        assert (value(p0 + e) - value(p0 - e)) / 2e-6 == pytest.approx((gradient * e).sum() / 1e-6, rel=1e-5)
+
+
+def test_multivariate_reml_at_the_edges():
+    rng = np.random.default_rng(8)
+    v = rng.uniform(0.5, 2, 30) * 1e-6  # estimates of any scale
+    y = rng.normal(3e-3, 1e-3, 30) + rng.normal(0, np.sqrt(v))
+    b, cov, tau2, settled = pooling.reml(y, v)
+    mean, c, psi, also = pooling.multivariate_reml(y[:, None], v[:, None, None])
+    assert settled and also and psi[0, 0] == pytest.approx(tau2, rel=1e-4) and mean[0] == pytest.approx(b[0], rel=1e-6) and c[0, 0] == pytest.approx(cov[0, 0], rel=1e-4)
+    # no heterogeneity, or more coefficients than studies: an optimum of low rank, a positive covariance all the same
+    for n, p, spread in ((20, 3, 0.0), (6, 8, 0.5)):
+        a = rng.normal(size=(n, p, p))
+        s = np.einsum("ijk,ilk->ijl", a, a) / p + 0.1 * np.eye(p)
+        y = np.stack([rng.multivariate_normal(np.zeros(p), m) for m in s]) * (1 - spread) + spread * rng.normal(size=(n, 1))
+        mean, cov, psi, settled = pooling.multivariate_reml(y, s)
+        assert settled and np.array_equal(cov, cov.T) and np.linalg.eigvalsh(cov).min() > 0 and np.linalg.eigvalsh(psi).min() > -1e-9
 
 
 def test_pooled_curve_percentiles_and_burden(spark, run, frame, main_spline):
-    fits, spline = R.fitted_regions(spark, SF)
+    fits, spline, p = R.fitted_nations(spark, SF)
+    region = fits.toPandas()
+    region, frame = region[region["status"] == "success"], p.toPandas()
+    assert len(region) >= 10  # the gate
+    n = len(region["coef"].iloc[0])
+    y = np.stack(region["coef"])
+    s = np.stack([np.array(v).reshape(n, n) for v in region["vcov"]])
+    s = s + 1e-6 * np.einsum("ijj->i", s)[:, None, None] / n * np.eye(n)
     pooled = R.pooled_fit(fits).first()
-    coef = np.array(pooled["coef"])
-    vcov = np.array(pooled["vcov"]).reshape(len(coef), -1)
+    psi, coef, vcov = np.array(pooled["psi"]).reshape(n, n), np.array(pooled["coef"]), np.array(pooled["vcov"]).reshape(n, n)
+    w = np.linalg.inv(s + psi)
+    assert pooled["method"] == "reml" and np.allclose(np.linalg.solve(w.sum(axis=0), np.einsum("ijk,ik->j", w, y)), coef, rtol=1e-5, atol=1e-7)
+    assert np.allclose(np.linalg.inv(w.sum(axis=0)), vcov, rtol=1e-4) and np.linalg.eigvalsh(vcov).min() > 0
+    het = run("pooled_heterogeneity").iloc[0]
+    w = np.linalg.inv(s)
+    r = y - np.linalg.solve(w.sum(axis=0), np.einsum("ijk,ik->j", w, y))
+    q = np.einsum("ij,ijk,ik->", r, w, r)
+    assert het["q"] == pytest.approx(q, rel=1e-5) and het["df"] == (len(y) - 1) * n and het["tau2_trace"] == pytest.approx(np.trace(psi)) and het["tau2_mean"] == pytest.approx(np.trace(psi) / n)
+    z = ((het["q"] / het["df"]) ** (1 / 3) - 1 + 2 / (9 * het["df"])) / math.sqrt(2 / (9 * het["df"]))  # Wilson and Hilferty
+    assert het["q_p"] == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, abs=2e-3)
     middle = sum(spline.boundary) / 2
     for name, at in (("dlnm_pooled_curve", None), ("rr_curve", None), ("pooled_percentiles", None)):
         got = run(name)
@@ -247,7 +305,6 @@ def test_pooled_curve_percentiles_and_burden(spark, run, frame, main_spline):
         assert np.allclose(np.log(got["rr"]), log_rr, atol=1e-6) and np.allclose(np.log(got["rr_hi"]), log_rr + 1.96 * se, atol=1e-6)
     assert len(run("dlnm_pooled_curve")) == 100 and np.allclose(np.diff(run("rr_curve")["at"]), 0.1)
     rows = run("pooled_percentiles").set_index("percentile")
-    region = run("dlnm_region_fit")
     for k in dlnm.PERCENTILES:
         assert rows.loc[k, "at"] == pytest.approx(np.median(region[k]))
     log_rr, se = dlnm.cumulative_rr(coef, vcov, spline, rows["at"].to_numpy(), middle, 21, 4)
@@ -266,6 +323,13 @@ def test_pooled_curve_percentiles_and_burden(spark, run, frame, main_spline):
         total.append((np.where(log_rr > 0, 1 - np.exp(-log_rr), 0) * n)[x != centre].sum())
     got = run("monte_carlo_burden").set_index("metric").loc["total_an"]
     assert got["mean"] == pytest.approx(np.mean(total), abs=4 * np.std(total) * math.sqrt(1 / 400 + 1 / 1000))
+    wide = run("burden_intervals").set_index(["metric", "measure"])
+    assert len(wide) == 21
+    for k in ("mean", "median", "ci_lo", "ci_hi"):
+        for metric in ("total_an", "cold_p1_an"):
+            sums = run("monte_carlo_burden").set_index("metric").loc[metric, k]
+            assert wide.loc[(metric, "total"), k] == pytest.approx(sums) and wide.loc[(metric, "af_pct"), k] == pytest.approx(sums / n.sum() * 100)
+            assert wide.loc[(metric, "annual"), k] == pytest.approx(sums / frame["date"].nunique() * 365.25)
     assert got["ci_hi"] - got["ci_lo"] == pytest.approx(np.subtract(*np.quantile(total, [0.975, 0.025])), rel=0.2)
 
 
@@ -320,6 +384,25 @@ def test_conditional_models(spark, run):
     assert np.allclose(np.log(strata["rr"]), d @ theta, atol=1e-5)
 
 
+def test_penalised_baseline_and_long_series(spark, run, frame):
+    e, flat = run("penalised_baseline").sort_values("date"), run("excess_baseline").sort_values("date")
+    assert e["expected"].sum() == pytest.approx(e["deaths"].sum(), rel=1e-6) and (e["date"].to_numpy() == flat["date"].to_numpy()).all()
+    for k in range(7):  # weekdays are not penalised
+        assert abs(e["excess"][[d.weekday() == k for d in e["date"]]].sum()) < 1e-3 * e["deaths"].sum()
+    assert 0 < e["expected"].std() < 2 * max(flat["expected"].std(), 1)
+
+    fits = run("long_series_fit").set_index("level")
+    assert set(fits.index) == {"all", "0", "1", "2", "3", "4"} and (fits["status"] == "success").all()
+    p = dense_panel(spark, SF).toPandas()
+    spline = R.exposure_spline(dense_panel(spark, SF))
+    for level, rows in (("all", p), ("3", p[p["region"] == 3])):
+        turn = np.array([d.timetuple().tm_yday for d in rows["date"]]) * 2 * math.pi / 365.25
+        day = np.array([d.weekday() for d in rows["date"]])
+        x = np.column_stack([np.ones(len(rows)), spline.basis(rows["exposure"].to_numpy(float)), np.sin(turn), np.cos(turn), *[(day == k).astype(float) for k in range(1, 7)]])
+        beta, _ = poisson(x, rows["deaths"].to_numpy(float))
+        assert fits.loc[level, "n_rows"] == len(rows) and np.allclose(x @ np.array(fits.loc[level, "coef"]), x @ beta, atol=1e-5)
+
+
 def test_excess_baseline(spark, run):
     e = run("excess_baseline").sort_values("date")
     assert e["expected"].sum() == pytest.approx(e["deaths"].sum(), rel=1e-6)

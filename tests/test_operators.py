@@ -106,7 +106,7 @@ def test_poisson_fit_balances_and_recovers():
     rng = np.random.default_rng(42)
     x = np.column_stack([np.ones(1500), rng.normal(size=1500), rng.normal(size=1500)])
     y = rng.poisson(np.exp(x @ np.array([1.0, 0.3, -0.2]))).astype(float)
-    beta, cov, dispersion, kept = dlnm.fit_quasi_poisson(np.column_stack([x, x[:, 1] * 2]), y)
+    beta, cov, dispersion, kept, settled = dlnm.fit_quasi_poisson(np.column_stack([x, x[:, 1] * 2]), y)
     assert list(kept) == [0, 1, 2] and np.allclose(beta, [1.0, 0.3, -0.2], atol=0.08)
     assert abs((y - np.exp(x @ beta)).sum()) < 1e-4 and 0.8 < dispersion < 1.2
 
@@ -356,6 +356,31 @@ def test_nearest_points_meet_few_pairs_however_spread(spark):
             assert best[(r.x, r.y)] == pytest.approx(np.hypot(points[:, 0] - r.x, points[:, 1] - r.y).min())
 
 
+def test_curves_by_group(spark):
+    rng = np.random.default_rng(12)
+    knots = {"a": np.sort(rng.normal(0, 5, 40)), "b": np.array([1.0, 2.0, 10.0]), "one": np.array([3.0])}
+    values = {k: rng.normal(1, 0.2, len(v)) for k, v in knots.items()}
+    curves = [(k, float(x), float(y)) for k in knots for x, y in zip(knots[k], values[k])] + [("b", 2.0, float(values["b"][1])), ("b", None, 9.0), ("b", float("nan"), 9.0), ("b", 3.0, None)]
+    curves = spark.createDataFrame(curves, "g string, at double, rr double")
+    rows = [(i, ["a", "a", "a", "b", "one", "none", None][i % 7], float(x), "clash") for i, x in enumerate(rng.normal(0, 8, 700))]
+    rows += [(900, "a", None, "x"), (901, "a", float("nan"), "x"), (902, "b", 1.0, "x"), (903, "b", 10.0, "x"), (904, "b", 6.0, "x"), (905, "b", float("inf"), "x"), (906, "b", float("-inf"), "x")]
+    df = spark.createDataFrame(rows + rows[:3], "i int, g string, x double, rr string")
+    linear = burden.curve_lookup(df, "x", curves, ["g"])
+    assert linear.columns == ["i", "g", "x", "rr"] and linear.count() == len(rows) + 3
+    got = {r.i: r.rr for r in linear.collect()}
+    near = {r.i: r.rr for r in burden.curve_lookup(df, "x", curves, ["g"], how="nearest").collect()}
+    for i, g, x, _ in rows:
+        if g not in knots or x is None or x != x:
+            assert got[i] is None and near[i] is None
+        else:
+            assert got[i] == pytest.approx(np.interp(x, knots[g], values[g]), abs=1e-12)
+            away = np.abs(knots[g] - min(max(x, -1e9), 1e9))
+            assert near[i] == values[g][away.argmin()]
+    assert near[904] == values["b"][1]  # a tie: the lower knot
+    with pytest.raises(ValueError):
+        burden.curve_lookup(df, "x", curves, ["g"], how="cubic")
+
+
 def test_nearest_points_at_one_place_are_one(spark):
     p = spark.createDataFrame([(i, 2.0, 3.0) for i in range(5, 2000)] + [(1, 9.0, 9.0), (2, float("nan"), 1.0), (3, None, 1.0), (4, float("inf"), 1.0)], "pid int, lon double, lat double")
     q = spark.createDataFrame([(i, 0.0, 0.0) for i in range(1000)] + [(-1, 10.0, 10.0), (-1, 0.0, 0.0), (-2, None, 0.0)], "qid int, lon double, lat double")
