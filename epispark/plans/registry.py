@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from epispark.functions import parse, stats
 from epispark.functions.splines import NaturalSpline
 from epispark.operators import burden, dlnm, excess, geo, matched, pooling, quality
 from epispark.operators import panel as P
+from epispark.operators.lineage import cut
 from epispark.operators import timeseries as ts
 from epispark.plans.surrogates import CTE, deaths, dense_panel, exposure, panel, records, table
 from epispark.sources import io
@@ -641,6 +643,17 @@ def merge_increment(spark, sf):
     return io.merge_increment(old, new, ["year", "region"], ["deaths"], {"n": "deaths"}, "source").drop("source")
 
 
+@query("""SELECT CAST(year(date) AS INTEGER) AS year, region, CAST(sum(deaths) AS BIGINT) AS deaths FROM d GROUP BY ALL""")
+def upsert_increment(spark, sf):
+    """A dataset by source and year takes a wrong increment, then the right one, twice; it is kept beside the checkpoints."""
+    daily = cut(deaths(spark, sf).select(F.year("date").alias("year"), "region", "deaths", F.when(F.year("date") < 1999, "a").otherwise("b").alias("source")))
+    path = f"{spark.sparkContext.getCheckpointDir()}/upsert-{uuid.uuid4().hex}"
+    new = daily.filter("source = 'b'").withColumnRenamed("deaths", "n")
+    for part in (daily.withColumn("deaths", F.when(F.col("source") == "b", F.col("deaths") * 2).otherwise(F.col("deaths"))), new, new):
+        io.upsert(part, path, ["year", "region"], ["deaths"], {"n": "deaths"})
+    return io.read_upserted(spark, path, ["year", "region"], ["deaths"])
+
+
 # Models (no SQL: fitted by iteration)
 
 

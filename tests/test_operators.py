@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pytest
@@ -214,6 +215,59 @@ def test_event_csv_dialects(spark, tmp_path):
     assert years == {2020, 2021}
 
 
+def test_heads_bound_what_is_read(spark, tmp_path):
+    import gzip
+
+    big = tmp_path / "DO22OPEN.csv"
+    with open(big, "w") as f:
+        f.write("DTOBITO;SEXO\n")
+        for _ in range(200_000):
+            f.write("2022-05-01;Masculino\n")
+    (tmp_path / "DO23OPEN.csv.gz").write_bytes(gzip.compress(b"SEXO,DTOBITO\r\n2,05012023\r\n"))
+    (tmp_path / "DO24OPEN.csv").write_text("")
+    (tmp_path / "_hidden.csv").write_text("a;b;c\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "DO25OPEN.csv").write_bytes("SEXO;DTOBITO;MUNICÍPIO\n1;01012025;São\n".encode("latin-1"))
+    files = io.list_files(spark, str(tmp_path))
+    assert [f.rsplit("/", 1)[1] for f in files] == ["DO22OPEN.csv", "DO23OPEN.csv.gz", "DO24OPEN.csv", "DO25OPEN.csv"]
+    heads = io.read_heads(spark, files)
+    assert [len(heads[f]) for f in files] == [io.HEAD, 26, 0, 38] and os.path.getsize(big) > 4_000_000
+    stats = spark._jvm.org.apache.hadoop.fs.FileSystem.getStatistics("file", spark._jvm.org.apache.hadoop.fs.Path(files[0]).getFileSystem(spark._jsc.hadoopConfiguration()).getClass())
+    before = stats.getBytesRead()
+    kinds = {r.path.rsplit("/", 1)[1]: (r.separator, r.date_format, r.sex_format) for r in io.detect_dialects(spark, str(tmp_path)).collect()}
+    assert stats.getBytesRead() - before <= 4 * io.HEAD
+    assert kinds == {"DO22OPEN.csv": (";", "iso", "text"), "DO23OPEN.csv.gz": (",", "ddmmyyyy", "numeric"), "DO24OPEN.csv": (",", "ddmmyyyy", "numeric"), "DO25OPEN.csv": (";", "ddmmyyyy", "numeric")}
+    got = io.read_event_csv(spark, files, ["DTOBITO", "SEXO", "MUNICÍPIO"]).groupBy("source_file", "DTOBITO", "SEXO", "MUNICÍPIO").count().collect()
+    assert {tuple(r) for r in got} == {("DO22OPEN.csv", "2022-05-01", "Masculino", None, 200_000), ("DO23OPEN.csv.gz", "05012023", "2", None, 1), ("DO25OPEN.csv", "01012025", "1", "São", 1)}
+    assert io.read_event_csv(spark, str(tmp_path / "DO24*")).count() == 0
+
+
+def test_upsert_touches_only_what_changed(spark, tmp_path):
+    path, schema = f"{tmp_path}/d", "source string, year int, region int, n int"
+    first = spark.createDataFrame([("01", 2000, r, 1) for r in range(5)] * 2 + [("b", 2000, 1, 7), ("b", 2001, 1, 8), (None, 2001, 1, 5), ("b", None, 1, 6)], schema)
+    apply = lambda df: {(r.source, r.year): r.changed for r in io.upsert(df, path, ["year", "region"], ["n"]).collect()}
+    total = lambda: {(r.year, r.region): r.n for r in io.read_upserted(spark, path, ["year", "region"], ["n"]).collect()}
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet") and "_manifest" not in d}
+    assert set(apply(first).values()) == {True} and len(apply(first)) == 5
+    want = {(2000, r): 2 + 7 * (r == 1) for r in range(5)} | {(2001, 1): 13, (None, 1): 6}
+    assert total() == want
+    before = files()
+    assert set(apply(first).values()) == {False} and files() == before and total() == want  # twice is once
+    second = spark.createDataFrame([("b", 2001, 1, 9), ("b", 2001, 2, 1), ("c", 2002, 1, 4), ("b", 2000, 1, 7)], schema)
+    assert apply(second) == {("b", 2001): True, ("c", 2002): True, ("b", 2000): False}
+    after = files()
+    gone = {f for f in before if f not in after}
+    assert gone and all("source=b" in f and "year=2001" in f for f in gone) and all(after[f] == t for f, t in before.items() if f in after)
+    want |= {(2001, 1): 14, (2001, 2): 1, (2002, 1): 4}
+    assert total() == want
+    # data without its entry in the manifest, as an attempt that died leaves it, is written again
+    newest = max((os.path.join(d, f) for d, _, names in os.walk(f"{path}/_manifest") for f in names if f.endswith(".parquet")), key=lambda f: os.stat(f).st_mtime_ns)
+    os.remove(newest)
+    assert apply(second)[("b", 2001)] and total() == want
+    renamed = io.upsert(second.withColumnRenamed("n", "cases"), path, ["year", "region"], ["n"], {"cases": "n"})
+    assert not renamed.filter("changed").count() and io.upsert(first.limit(0), path, ["year", "region"], ["n"]).count() == 0 and total() == want
+
+
 def test_sinks_and_optional_sources(spark, tmp_path):
     df = spark.createDataFrame([("b", 2, 0.123456789), ("a", 1, 1.0)], "region_code string, date int, v double")
     io.write_panel(df, str(tmp_path / "p"))
@@ -244,12 +298,13 @@ def test_model_queries_do_the_whole_job(spark):
 
     rng = np.random.default_rng(5)
     rows = []
-    for region in ("a", "b", "c", "short"):
+    for region in (*"abcdefghijk", "short"):
         for i in range(120 if region == "short" else 800):
             t = 25 + 8 * np.sin(i / 58) + rng.normal(0, 3)
             rows.append((region, dt.date(2000, 1, 1) + dt.timedelta(i), float(rng.poisson(60 * np.exp(0.002 * (t - 24) ** 2))), float(t)))
     df = spark.createDataFrame(rows, "region string, date date, deaths double, exposure double").cache()
-    with mock.patch.object(registry, "panel", lambda spark, sf: df):
+    few = df.filter("region in ('a', 'b', 'c', 'short')")
+    with mock.patch.object(registry, "panel", lambda spark, sf: few), mock.patch.object(registry, "nation_panel", lambda spark, sf: df):
         grid = registry.sensitivity_grid(spark, "").collect()
         fits = registry.harvesting_fits(spark, "").collect()
         burden_rows = registry.monte_carlo_burden(spark, "").collect()
