@@ -92,7 +92,7 @@ def summed(rows: DataFrame, keys: tuple[str, ...], columns: list[str], y: str, d
 
 def settled_fit(rows: DataFrame, keys: tuple[str, ...], columns: list[str], y: str, design: Callable, p: int, solve: Callable[[tuple, Sums], np.ndarray], steps: int = 50, tolerance: float = 1e-9) -> dict[tuple, tuple[np.ndarray, Sums, str, int]]:
     """(coefficients, sums there, status, steps) of each key: Newton steps with halving. Status is ``success`` when the deviance
-    has settled, ``not settled`` after ``steps`` steps, ``error`` where the sums are not finite."""
+    has settled, ``not settled`` after ``steps`` steps, ``error`` where the sums are not finite. The rows are read once a step: persist them."""
     now = summed(rows, keys, columns, y, design, p, None)
     betas: dict[tuple, np.ndarray] = {k: solve(k, s) for k, s in now.items()}
     before: dict[tuple, tuple[np.ndarray, Sums]] = {}
@@ -136,10 +136,16 @@ def fit_long(rows: DataFrame, keys: tuple[str, ...] = (), x: str = "x", y: str =
     Columns: status (success, not settled or error), n_rows, n_deaths, n_steps, dispersion, coef, vcov (flattened by columns).
     Rows with a null in ``x`` or ``y`` don't count. Collinear columns share what they can't tell apart.
     """
-    spark = rows.sparkSession
-    ready = rows.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.forall(x, lambda v: v.isNotNull()))
+    ready = rows.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.forall(x, lambda v: v.isNotNull())).persist()
+    try:
+        return _fit_long(ready, keys, x, y, steps)
+    finally:
+        ready.unpersist()
+
+
+def _fit_long(ready: DataFrame, keys: tuple[str, ...], x: str, y: str, steps: int) -> DataFrame:
     width = ready.select(F.max(F.size(x)).alias("p"), F.count_distinct(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("k") if keys else F.lit(1).alias("k")).first()
-    schema = T.StructType([*[f for k in keys for f in rows.schema.fields if f.name == k], *T.StructType.fromDDL("status string, n_rows bigint, n_deaths double, n_steps int, dispersion double, coef array<double>, vcov array<double>").fields])
+    schema = T.StructType([*[f for k in keys for f in ready.schema.fields if f.name == k], *T.StructType.fromDDL("status string, n_rows bigint, n_deaths double, n_steps int, dispersion double, coef array<double>, vcov array<double>").fields])
     p = width["p"] or 0
     if width["k"] * p * p * 8 > LARGEST:
         raise ValueError("too many keys for sums on the driver: fit them with dlnm.fit_regions")
@@ -149,7 +155,7 @@ def fit_long(rows: DataFrame, keys: tuple[str, ...] = (), x: str = "x", y: str =
         dispersion = s.pearson / max(s.n - rank, 1)
         cov = dispersion * np.linalg.pinv(s.gram, rcond=1e-12, hermitian=True)
         out.append((*k, status, int(s.n), s.total, took, dispersion, beta.tolist(), cov.ravel(order="F").tolist()))
-    return spark.createDataFrame(out, schema)
+    return ready.sparkSession.createDataFrame(out, schema)
 
 
 # A penalised baseline: cyclic season, smooth trend, weekdays
@@ -234,20 +240,11 @@ def smoothing(s: Sums, penalties: list[tuple[np.ndarray, int]], start: np.ndarra
     return log, beta, edf, scale, bool(moved < tolerance)
 
 
-def penalised_baseline(series: DataFrame, deaths: str = "deaths", date: str = "date", season: int = 10, trend: int | None = None, steps: int = 60, out: str = "expected") -> tuple[DataFrame, dict]:
-    """Add the expected count of a smooth baseline without exposure; and what was fitted.
-
-    Quasi-Poisson regression on a cyclic cubic spline of the day of the year (``season`` functions), a cubic spline of time (``trend``
-    functions; by default two a year, ten at least), and weekdays. Second differences of both are penalised; the weights of the penalties
-    are chosen by restricted maximum likelihood at every Newton step, from the same sums. Returned are status (success or not settled), edf,
-    scale, the penalties' weights, deviance_explained, coef. The intercept is not penalised, so observed and expected sums agree.
-    Rows without a count are predicted, not fitted. A series without any counts gets null.
-    """
-    ready = series.withColumns({"_day": F.datediff(date, F.lit("1970-01-01").cast("date")).cast("double"), "_doy": F.dayofyear(date).cast("double")})
-    fitted = ready.filter(F.col(deaths).isNotNull() & F.col("_day").isNotNull())
-    span = fitted.agg(F.min("_day").alias("a"), F.max("_day").alias("b"), F.count_distinct(F.year(date)).alias("years"), F.sum(deaths).alias("total"), F.avg(deaths).cast("double").alias("mean")).first()
+def _fit_baseline(fitted: DataFrame, deaths: str, season: int, trend: int | None, steps: int) -> tuple[Smooth, np.ndarray, dict] | None:
+    """The model, its coefficients and what was fitted, from rows (_day, _doy, counts); None without events."""
+    span = fitted.agg(F.min("_day").alias("a"), F.max("_day").alias("b"), F.count_distinct(F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.col("_day").cast("int")))).alias("years"), F.sum(deaths).alias("total"), F.avg(deaths).cast("double").alias("mean")).first()
     if not span["total"]:
-        return series.withColumn(out, F.lit(None).cast("double")), {"status": "no events"}
+        return None
     model = Smooth(int(span["a"]), int(span["b"]), season, trend or max(10, 2 * span["years"]))
     penalties, chosen = model.penalties(), {}
 
@@ -267,6 +264,27 @@ def penalised_baseline(series: DataFrame, deaths: str = "deaths", date: str = "d
         last, betas = beta, {(): beta}
     null = fitted.agg(F.sum(2 * (F.when(F.col(deaths) > 0, F.col(deaths) * F.log(F.col(deaths) / span["mean"])).otherwise(0.0) - (F.col(deaths) - span["mean"]))).alias("d")).first()["d"]
     about = {"status": status, "n_steps": step + 1, "edf": chosen["edf"], "scale": chosen["scale"], "weights": np.exp(chosen["log"]).tolist(), "deviance_explained": 1 - s.deviance / null if null else 0.0, "coef": beta.tolist()}
+    return model, beta, about
+
+
+def penalised_baseline(series: DataFrame, deaths: str = "deaths", date: str = "date", season: int = 10, trend: int | None = None, steps: int = 60, out: str = "expected") -> tuple[DataFrame, dict]:
+    """Add the expected count of a smooth baseline without exposure; and what was fitted.
+
+    Quasi-Poisson regression on a cyclic cubic spline of the day of the year (``season`` functions), a cubic spline of time (``trend``
+    functions; by default two a year, ten at least), and weekdays. Second differences of both are penalised; the weights of the penalties
+    are chosen by restricted maximum likelihood at every Newton step, from the same sums. Returned are status (success or not settled), edf,
+    scale, the penalties' weights, deviance_explained, coef. The intercept is not penalised, so observed and expected sums agree.
+    Rows without a count are predicted, not fitted. A series without any counts gets null.
+    """
+    ready = series.withColumns({"_day": F.datediff(date, F.lit("1970-01-01").cast("date")).cast("double"), "_doy": F.dayofyear(date).cast("double")})
+    fitted = ready.filter(F.col(deaths).isNotNull() & F.col("_day").isNotNull()).select("_day", "_doy", deaths).persist()
+    try:
+        found = _fit_baseline(fitted, deaths, season, trend, steps)
+    finally:
+        fitted.unpersist()
+    if found is None:
+        return series.withColumn(out, F.lit(None).cast("double")), {"status": "no events"}
+    model, beta, about = found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -239,8 +239,8 @@ def pooled_heterogeneity(spark, sf):
 def penalised_baseline(spark, sf):
     """The national series against a smooth baseline: cyclic season, trend, weekdays, penalties chosen by the data."""
     series = P.national_series(R.dense_panel(spark, sf), "date", ["deaths"], "exposure")
-    expected, _ = additive.penalised_baseline(series)
-    return excess.excess(expected).select("date", "deaths", "expected", "excess", "excess_pct")
+    expected, about = additive.penalised_baseline(series)
+    return excess.excess(expected).select("date", "deaths", "expected", "excess", "excess_pct", F.lit(about["status"]).alias("status"))
 
 
 @query()

@@ -386,7 +386,7 @@ def test_conditional_models(spark, run):
 
 def test_penalised_baseline_and_long_series(spark, run, frame):
     e, flat = run("penalised_baseline").sort_values("date"), run("excess_baseline").sort_values("date")
-    assert e["expected"].sum() == pytest.approx(e["deaths"].sum(), rel=1e-6) and (e["date"].to_numpy() == flat["date"].to_numpy()).all()
+    assert set(e["status"]) == {"success"} and e["expected"].sum() == pytest.approx(e["deaths"].sum(), rel=1e-6) and (e["date"].to_numpy() == flat["date"].to_numpy()).all()
     for k in range(7):  # weekdays are not penalised
         assert abs(e["excess"][[d.weekday() == k for d in e["date"]]].sum()) < 1e-3 * e["deaths"].sum()
     assert 0 < e["expected"].std() < 2 * max(flat["expected"].std(), 1)
