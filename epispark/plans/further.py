@@ -206,7 +206,7 @@ def pooled_percentiles(spark, sf):
 
 
 CURVE_SQL = """, k AS (SELECT region, avg(exposure) AS pos, 1 + stddev_samp(exposure) / 100 AS rr FROM p GROUP BY region, year(date), quarter(date)),
-n AS (SELECT region, pos, rr, lead(pos) OVER w AS pos2, lead(rr) OVER w AS rr2, row_number() OVER w AS i FROM k WHERE rr IS NOT NULL WINDOW w AS (PARTITION BY region ORDER BY pos)),
+n AS (SELECT region, pos, rr, lead(pos) OVER w AS pos2, lead(rr) OVER w AS rr2, row_number() OVER w AS i FROM (SELECT region, pos, avg(rr) AS rr FROM k WHERE rr IS NOT NULL GROUP BY region, pos) WINDOW w AS (PARTITION BY region ORDER BY pos)),
 m AS (SELECT p.region, p.date, p.exposure AS x, n.* EXCLUDE (region) FROM p JOIN n ON p.region = n.region AND (p.exposure >= n.pos OR n.i = 1) AND (n.pos2 IS NULL OR p.exposure < n.pos2)) """
 
 
