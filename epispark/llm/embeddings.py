@@ -5,7 +5,7 @@
    members of a ball link. A dense group of near copies costs some balls, not all its pairs.
 3. Forest: many trees split the balls' centres by random directions at random quantiles near the median. Centres close to a split go to both
    sides. Groups too large for a task are split in rounds, by thresholds from samples of them; the rest of a tree grows in a task.
-   A group that splits don't shrink is dealt to pairs of blocks of its members.
+   A group so dense that splits don't shrink it, or only by sending most members to both sides, is dealt to pairs of blocks of its members.
 4. Leaves: centres are compared within leaves. By the triangle inequality two balls link wholly, or not at all, or are open. A pair that
    shares several leaves counts in the first of them, so no pairs are sent to be made distinct, only sums, and the edges of a spanning forest.
 5. Open pairs of balls are verified member by member. Components are joined over balls.
@@ -28,8 +28,8 @@ from epispark.llm.metric_join import by_group, components
 
 #: Members that a task's group has at most, members that a leaf has at most, and members of a block of a group that splits don't shrink.
 GROUP, LEAF, BLOCK = 2048, 256, 1024
-#: A split shrinks its group if no side keeps more than this share.
-SHRUNK = 0.9
+#: A split is worth it if no side keeps more than this share of its group, and if both sides together hold at most so many times its members.
+SHRUNK, GROWN = 0.9, 1.35
 #: Vectors of a large group from which thresholds are taken (about), and the depth to which they split it in a round.
 SAMPLE, DEPTH = 1024, 5
 #: Radians by which bounds on angles give way to rounding.
@@ -48,7 +48,8 @@ def vectors(column: list[bytes]) -> np.ndarray:
 
 
 def thresholds(margin: float, target: int):
-    """Work for ``by_group``: from a group's sample the thresholds of its splits, in the order of a heap."""
+    """Work for ``by_group``: from a group's sample the thresholds of its splits, in the order of a heap; NaN where a split's overlap is too large,
+    so that the part stays whole (it is dense: comparing it as it is costs less)."""
 
     def work(c: dict) -> dict:
         out: dict = {"path": [], "splits": []}
@@ -61,7 +62,10 @@ def thresholds(margin: float, target: int):
                 d = direction(path, at, u.shape[1])
                 x = u[own] @ d[:-1]
                 cut[at] = np.quantile(x, d[-1]) if len(own) else 0.0
-                parts[2 * at + 1], parts[2 * at + 2] = own[x < cut[at] + margin], own[x >= cut[at] - margin]
+                low, high = own[x < cut[at] + margin], own[x >= cut[at] - margin]
+                if len(low) + len(high) > GROWN * len(own):
+                    cut[at], low, high = np.nan, own, own[:0]
+                parts[2 * at + 1], parts[2 * at + 2] = low, high
             out["path"].append(path), out["splits"].append(cut.tobytes())
         return {"path": pa.array(out["path"], pa.int64()), "splits": pa.array(out["splits"], pa.binary())}
 
@@ -83,7 +87,7 @@ def descend(rows: DataFrame, margin: float) -> DataFrame:
                     x = np.empty(len(inner))
                     for k in np.unique(at).tolist():
                         x[at == k] = u[inner[at == k]] @ direction(p, k, u.shape[1])[:-1]
-                    low, high = np.flatnonzero(x < cut[at] + margin), np.flatnonzero(x >= cut[at] - margin)
+                    low, high = np.flatnonzero(np.isnan(cut[at]) | (x < cut[at] + margin)), np.flatnonzero(x >= cut[at] - margin)
                     inner, at = np.concatenate([inner[low], inner[high]]), np.concatenate([2 * at[low] + 1, 2 * at[high] + 2])
                 rows.append(own[inner])
                 with np.errstate(over="ignore"):
@@ -131,7 +135,7 @@ def leaves_of(margin: float):
                     x = u[own] @ d[:-1]
                     cut = np.quantile(x, d[-1])
                     sides = [own[x < cut + margin], own[x >= cut - margin]]
-                if sides and max(map(len, sides)) <= SHRUNK * len(own):
+                if sides and max(map(len, sides)) <= SHRUNK * len(own) and sum(map(len, sides)) <= GROWN * len(own):
                     with np.errstate(over="ignore"):
                         names = mix64(np.uint64(path & 0xFFFFFFFFFFFFFFFF) * np.uint64(2) + np.arange(3, 5, dtype=np.uint64)).view(np.int64)
                     open_ += list(zip(names.tolist(), sides))
