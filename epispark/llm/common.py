@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes handed to Python at once: documents can be long, so batches are small.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+#: Rows that Python hands back at once, so that neither side holds a task's output whole.
+OUT_ROWS = 16_384
 
 _SHIPPED: set[str] = set()
 _STAGED: dict[str, list[str]] = {}
@@ -114,6 +117,27 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with output of ``OUT_ROWS`` rows a batch at most, and with the task's memory given back at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            for at in range(0, out.num_rows, OUT_ROWS):
+                yield out.slice(at, OUT_ROWS)
+        out = None
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def map_text(
     df: DataFrame,
     text_columns: list[str],
@@ -139,7 +163,7 @@ def map_text(
             columns = [batch.column(f.name) for f in kept] + made
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept + fields])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def rows_of_text(
@@ -169,7 +193,7 @@ def rows_of_text(
         if finish and (out := function(*[None] * len(columns))) is not None:
             yield batch_of(out)
 
-    return picked.mapInArrow(run, schema)
+    return map_batches(picked, run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

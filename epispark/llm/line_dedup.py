@@ -14,6 +14,7 @@ are found at any length; the edits that short lines may have are scaled to their
 from __future__ import annotations
 
 import sys
+from array import array
 from functools import reduce
 
 import numpy as np
@@ -172,16 +173,15 @@ def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int, m
 
     def make():
         seen: set[int] = set()
-        keys: list[int] = []
-        counts: list[int] = []
-        nodes: list[int] = []
+        keys, counts, nodes = array("Q"), array("q"), array("q")
 
         def flush():
             out = None
             if keys:
-                region = np.array(keys, dtype=np.uint64).view(np.int64)
-                out = local_stars(region, np.repeat(np.array(nodes, np.int64), counts))
-            seen.clear(), keys.clear(), counts.clear(), nodes.clear()
+                out = local_stars(np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(nodes, np.int64), np.array(counts, np.int64)))
+            seen.clear()
+            for held in (keys, counts, nodes):
+                del held[:]
             return out
 
         def run(texts):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import stage
+from epispark.llm.common import map_batches, stage
 
 #: Regions of more members than CELLS fall apart into cells. Up to LEAF members are joined where they are.
 CELLS, LEAF = 128, 1024
@@ -87,7 +87,7 @@ def stars(emitted: DataFrame) -> DataFrame:
                 nothing = {f.name: pa.nulls(len(region), batch.schema.field(f.name).type) for f in extra}
                 yield pa.RecordBatch.from_pydict({"region": region, "pivot": pivot, "node": node} | nothing)
 
-    return dealt.mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in ("region", "pivot", "node")] + extra))
+    return map_batches(dealt, run, T.StructType([T.StructField(c, T.LongType()) for c in ("region", "pivot", "node")] + extra))
 
 
 def local_stars(region: np.ndarray, node: np.ndarray) -> dict[str, np.ndarray]:
@@ -104,31 +104,52 @@ def local_stars(region: np.ndarray, node: np.ndarray) -> dict[str, np.ndarray]:
     return {"region": region, "node": node, "pivot": pa.array(lead, pa.int64(), mask=start)}
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) of every node of the edges (a, b) but the roots: the smallest node of what the edges connect."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])  # roots hang on smaller ones
+        while not np.array_equal(up := root[root], root):
+            root = up
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[child]], nodes[child]
+
+
 def local_forest(edges: DataFrame) -> DataFrame:
-    """The edges (a, b) of each partition replaced by stars around the smallest node of what it connects.
+    """The edges (a, b) of each partition replaced by stars around the smallest node of what they connect.
 
-    A narrow step: a task holds its partition's nodes, and sends on one edge a node at most.
+    A narrow step in bounded memory: a task holds 2 * ``EDGES`` edges at most. When it has so many, it makes them
+    stars; if those are still over half as many, it sends them on and begins anew, so that one partition's stars
+    can then still touch each other. A partition of up to ``EDGES`` edges ends as whole stars.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
 
-        def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = parent.setdefault(up, up)
-                x = up
-            return x
+        def shrunk() -> tuple[np.ndarray, np.ndarray]:
+            return forest(*(np.concatenate(x) for x in zip(*held)))
 
         for batch in batches:
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = root(x), root(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        nodes = [x for x in parent if root(x) != x]
-        if nodes:
-            yield pa.RecordBatch.from_pydict({"a": pa.array([root(x) for x in nodes], pa.int64()), "b": pa.array(nodes, pa.int64())})
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            count += batch.num_rows
+            if count >= 2 * EDGES:
+                held = [shrunk()]
+                count = len(held[0][0])
+                if count > EDGES:
+                    yield pa.RecordBatch.from_pydict(dict(zip("ab", held[0])))
+                    held, count = [], 0
+        if count:
+            yield pa.RecordBatch.from_pydict(dict(zip("ab", shrunk())))
 
-    return edges.mapInArrow(run, "a long, b long")
+    return map_batches(edges, run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,7 +224,7 @@ def sketch_pairs(pairs: DataFrame, points: DataFrame, reach: Callable[[np.ndarra
             even = pa.array([len(x) == len(y) for x, y in zip(left, right)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a, b, pa.array(apart.astype(np.int32)), pa.array(apart <= reach(total)), even], ["a", "b", "apart", "near", "even"])
 
-    return both.mapInArrow(run, "a long, b long, apart int, near boolean, even boolean")
+    return map_batches(both, run, "a long, b long, apart int, near boolean, even boolean")
 
 
 def by_group(rows: DataFrame, keys: list[str], within: list[str], work: Callable[[dict], dict | None], schema: str) -> DataFrame:
@@ -249,7 +270,7 @@ def by_group(rows: DataFrame, keys: list[str], within: list[str], work: Callable
             table = pa.Table.from_batches(held).combine_chunks()
             yield from done(table, starts(table))
 
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)
 
 
 def nearest_edges(region: np.ndarray, left: np.ndarray, right: np.ndarray, apart: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:

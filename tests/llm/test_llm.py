@@ -492,6 +492,36 @@ def test_components_of_paths_and_stars(spark):
     assert len({got[i] for i in range(31)}) == 1 and len({got[i] for i in range(100, 130)}) == 1 and got[0] != got[100] and 200 not in got
 
 
+def _union(edges):
+    parent = {}
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {x: root(x) for x in parent}
+
+
+def test_forest_equals_union_find(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shapes = [rng.integers(-50, 50, (60, 2)), rng.integers(-(1 << 62), 1 << 62, (9, 2)), np.stack([np.arange(500), np.arange(1, 501)], 1)[::-1], np.array([[7, 7]]), np.array([[9, k] for k in range(9)])]
+    for edges in shapes:
+        root, node = metric_join.forest(edges[:, 0], edges[:, 1])
+        want = _union(edges.tolist())
+        assert dict(zip(node.tolist(), root.tolist())) == {x: r for x, r in want.items() if x != r}
+    # a partition with more edges than a task holds sends stars on early, and loses no connection
+    monkeypatch.setattr(metric_join, "EDGES", 20)
+    edges = rng.integers(0, 300, (400, 2)).tolist()
+    stars = metric_join.local_forest(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()
+    want = _union(edges)
+    got = _union([(r.a, r.b) for r in stars])
+    assert {x: got.get(x, x) for x in want} == want and len(stars) <= len(edges)
+    found = {r.node: r.root for r in metric_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({(found.get(x, x), r) for x, r in want.items()}) == len(set(want.values()))
+
+
 def test_bit_filter_has_no_false_negatives(spark):
     bits = bit_filter(spark.range(5000).select((F.col("id") * 7919).alias("k")), "k").view(np.uint64)
     assert all(may_hold(bits, k) for k in range(0, 5000 * 7919, 7919))
