@@ -1,8 +1,10 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
 Parsing, rules and features are DataFrame expressions. The trees are Spark ML's and learn from
-labelled URLs, which the caller gives or which the rules label; at most ``sample`` of them, chosen by a
-hash of the URL. Suffix statistics (how often a host suffix occurs, and how often it is blocked
+labelled URLs; at most ``sample`` of them, chosen by a hash of the URL. Where the caller has no labels, a URL that
+has a rule is labelled by it, and any other by its host: block if one of the host's words is among ``terms``, else
+allow. Labels by rules alone would follow from the suffix, and trees could only repeat it. The terms are no feature: trees
+see what such hosts look like, and carry that over to hosts with other words. Suffix statistics (how often a host suffix occurs, and how often it is blocked
 among the labelled) are counted over all rows; for a labelled URL the share blocked is counted in the other
 folds only (its own label, or that of a repeat of it, is not in its features).
 """
@@ -37,6 +39,9 @@ class Rule:
 #: The rules of the contract.
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
+#: Words by which hosts of common unwanted kinds (gambling, adult, pharmacy, tracking) name themselves.
+TERMS = ("ads", "adult", "bet", "bets", "betting", "casino", "dating", "gambling", "pharmacy", "pills", "poker", "porn", "spam", "tracker", "viagra", "xxx")
+
 
 def parse_url(url: str | Column) -> tuple[Column, Column]:
     """(host, path) of a URL; both empty for null or where ``://`` is missing."""
@@ -66,6 +71,14 @@ def judge_rules(df: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = R
     return out.withColumns({"rule": rule, "verdict": verdict})
 
 
+def weak_label(verdict: Column, host: Column, terms: tuple[str, ...] = TERMS) -> Column:
+    """1 (block) or 0 by the rule's verdict; without one by the words of the host, or null if there are no ``terms``."""
+    ruled = F.when(verdict == "block", 1).when(verdict == "allow", 0)
+    if not terms:
+        return ruled
+    return ruled.otherwise(F.arrays_overlap(F.split(host, "[^a-z0-9]+"), F.array(*map(F.lit, terms))).cast("int"))
+
+
 def suffix_of(host: Column) -> Column:
     """The last two labels of a host (all of it, if it has fewer)."""
     return F.regexp_extract(host, r"[^.]*\.?[^.]*$", 0)
@@ -88,6 +101,8 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
         "params": F.size(F.filter(F.split(query, "&"), lambda x: x != "")),
         "query_length": F.length(query),
         "hyphens": F.length(F.regexp_replace(url, "[^-_]", "")),
+        "host_hyphens": F.length(F.regexp_replace(host, "[^-]", "")),
+        "host_digits": F.length(F.regexp_replace(host, "[^0-9]", "")),
         "fragment": url.contains("#"),
         "https": url.startswith("https://"),
         "extension": path.rlike(r"\.[A-Za-z0-9]{1,5}$"),
@@ -130,11 +145,11 @@ def block_score(rows: DataFrame, model: GBTClassificationModel | None) -> DataFr
     return model.transform(rows).withColumn("block_score", vector_to_array("probability")[1])
 
 
-def filter_urls(df: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, label_col: str | None = None, sample: int = 10_000) -> DataFrame:
+def filter_urls(df: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, label_col: str | None = None, sample: int = 10_000, terms: tuple[str, ...] = TERMS) -> DataFrame:
     """Add host, path, rule, verdict and block_score (the trees' probability).
 
     The verdict is the rule's, else block where the trees give at least one half. The trees learn
-    from ``label_col`` (1: block, null: unlabelled), or from the rows that have a rule. Without both
+    from ``label_col`` (1: block, null: unlabelled), or from ``weak_label``, which ``terms`` serve. Without both
     labels the score is 0 and the verdict allow.
 
     Nulls: a null URL has an empty host and path, no rule, and the trees' verdict on an empty URL.
@@ -146,7 +161,7 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = R
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
-    label = F.col("row")[label_col].cast("int") if label_col else F.when(F.col("verdict") == "block", 1).when(F.col("verdict") == "allow", 0)
+    label = F.col("row")[label_col].cast("int") if label_col else weak_label(F.col("verdict"), F.col("host"), terms)
     ready = featured(rows.withColumn("label", label))
     scored = block_score(ready, train_url_model(ready, sample))
     scored = scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")))

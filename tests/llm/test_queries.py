@@ -154,6 +154,32 @@ def test_op4_equals_rules_and_the_score(spark, corpus):
         assert r.verdict == (best[0] if best else "block" if r.block_score >= 0.5 else "allow")
 
 
+def test_url_trees_know_hosts_by_shape_not_by_suffix(spark):
+    rnd = random.Random(11)
+    name = lambda: "".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(4, 9)))
+    shapes = {"casino": lambda w: f"{w}-{name()}", "pills": lambda w: f"{name()}-{w}", "poker": lambda w: f"{w}-{name()}{rnd.randint(1, 99)}"}
+    made = []
+    for i in range(900):
+        word = rnd.choice([*shapes]) if i % 10 == 0 else None
+        host = shapes[word](word) if word else name()
+        made.append((i, f"https://www.{host}.example.{rnd.choice(['com', 'org', 'net'])}/{rnd.choice(['de', 'en', 'fr', 'es'])}/{rnd.randint(1, 999)}"))
+    pages = spark.createDataFrame(made, "page_id long, url string")
+    named = lambda r, terms: bool(set(re.split("[^a-z0-9]+", r.host)) & set(terms))
+    rows = [r for r in urls.filter_urls(pages).filter("rule is null").collect() if not named(r, urls.TERMS)]
+    for suffix in ("example.com", "example.org"):  # rules block nearly all labelled URLs of the one, and allow those of the other
+        clean = [r.verdict == "allow" for r in rows if r.host.endswith(suffix)]
+        assert len(clean) > 50 and sum(clean) > 0.95 * len(clean)
+    # whole hosts held out: those with one of the words, and every fifth of the others
+    host = urls.parse_url("url")[0]
+    word = lambda *terms: urls.weak_label(F.lit(None).cast("string"), host, terms) == 1
+    out = word("poker") | (~word("casino", "pills") & (F.pmod(F.xxhash64(host), F.lit(5)) == 0))
+    held = [(r.block_score, named(r, ["poker"])) for r in urls.filter_urls(pages.withColumn("y", F.when(~out, word("casino", "pills").cast("int"))), rules=(), label_col="y").filter("y is null").collect()]
+    bad, good = ([s for s, y in held if y == flag] for flag in (True, False))
+    assert bad and good and sum((b > g) + (b == g) / 2 for b in bad for g in good) > 0.9 * len(bad) * len(good)
+    # without terms only rules label
+    assert urls.filter_urls(pages, terms=()).count() == 900
+
+
 def test_url_labels_do_not_leak_and_trees_rank_held_out_urls(spark):
     rows = [(f"u{k}", "h.test", "", k % 2) for k in range(40)] + [("free", "h.test", "", None), ("other", "lone.test", "", 1)]
     df = spark.createDataFrame(rows, "url string, host string, path string, label int")
