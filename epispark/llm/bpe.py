@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,11 @@ from pyspark.sql import types as T
 
 from epispark.llm.common import map_text
 
-_NEVER = 1 << 60
-#: Words of up to this many characters are kept in a task's memory, this many at a time.
-_CACHED_CHARS, _CACHED_WORDS = 48, 300_000
+_NEVER, _DEAD = 1 << 60, -2
+#: Words of up to this many characters are kept in a task's memory, this many at a time, and so many arcs.
+_CACHED_CHARS, _CACHED_WORDS, _CACHED_ARCS = 48, 400_000, 300_000
+#: Characters looked up at first where a token is sought.
+_FIRST = 4
 #: Below this code point Python's and the tokenizer's character tables agree.
 _PLAIN = "԰"
 
@@ -53,39 +55,48 @@ class Automaton:
         for token, i in vocab.items():
             self.labels[i] = token
         self.cut: dict[int, dict[int, int]] = {}
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
+        # chains as links: what a token was made of, and when (-1: a base symbol; _DEAD: no path has it)
+        none = array("i", [_DEAD]) * len(self.labels)
+        self.first, self.last, self.time = none[:], none[:], array("q", [_NEVER]) * len(self.labels)
         made = {u + v for u, v in merges}
         for token, i in vocab.items():
             if token not in made:
-                self.right[i] = self.left[i] = [(i, _NEVER)]
+                self.first[i] = self.last[i] = -1
         for time, (u, v) in enumerate(merges):
             self._gadget(vocab[u], vocab[v], vocab[u + v], time)
-        self.longest = max(map(len, vocab), default=0)
+        # live tokens that end a word, by what stands before the suffix, and the others; ``starts``: each string that
+        # one of these begins with -> the longest of them that it begins with; ``shorter``: the same for a token less its end
+        self.finals = {token[: len(token) - len(end)]: i for token, i in vocab.items() if self.last[i] != _DEAD and token.endswith(end)}
+        inner = {token: i for token, i in vocab.items() if self.last[i] != _DEAD and not (end and token.endswith(end))}
         self.starts: dict[str, int] = {}
-        for token, i in vocab.items():
-            if i in self.right:
-                for k in range(1, len(token)):
-                    self.starts.setdefault(token[:k], -1)
-        self.starts.update((token, i) for token, i in vocab.items() if i in self.right)
+        self.shorter, self.size = array("i", [-1]) * len(self.labels), array("i", map(len, self.labels))
+        for token in sorted(inner, key=len):
+            best = -1
+            for k in range(1, len(token)):
+                best = self.starts.setdefault(token[:k], best)
+            self.starts[token] = inner[token]
+            self.shorter[inner[token]] = best
         self.known: dict[int, bool] = {}
 
     def _gadget(self, u: int, v: int, w: int, time: int) -> None:
-        if u not in self.right or v not in self.right or w in self.right or not self._arc(u, v):
+        if _DEAD in (self.last[u], self.last[v]) or self.last[w] != _DEAD or not self._arc(u, v):
             return  # no path takes u and then v (any more): the merge can't apply
         self.cut.setdefault(u, {})[v] = time
-        self.right[w] = [(w, _NEVER)] + [(a, min(t, time)) for a, t in self.right[v]]
-        self.left[w] = [(w, _NEVER)] + [(a, min(t, time)) for a, t in self.left[u]]
+        self.first[w], self.last[w], self.time[w] = u, v, time
 
     def _arc(self, state: int, token: int) -> bool:
         """Is there an arc ``token`` out of the state after ``state``?"""
-        for a, a_until in self.right[state]:
+        a, a_until = state, _NEVER
+        while a >= 0:
             cuts = self.cut.get(a)
             if cuts:
-                for b, b_until in self.left[token]:
+                b, b_until = token, _NEVER
+                while b >= 0:
                     time = cuts.get(b, _NEVER)
                     if time < a_until and time <= b_until and time != _NEVER:
                         return False
+                    b, b_until = self.first[b], min(b_until, self.time[b])
+            a, a_until = self.last[a], min(a_until, self.time[a])
         return True
 
     def arc(self, state: int, token: int) -> bool:
@@ -93,7 +104,7 @@ class Automaton:
         key = state << 32 | token
         found = self.known.get(key)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > _CACHED_ARCS:
                 self.known.clear()
             found = self.known[key] = self._arc(state, token)
         return found
@@ -107,44 +118,65 @@ class Automaton:
         n = len(word)
         if not n:
             return []
-        end, starts, arc = self.end, self.starts, self.arc
-        whole = starts.get(word + end, -1)
-        if whole >= 0:
+        whole = self.finals.get(word)
+        if whole is not None:
             return [whole]
+        finals, starts, known, arc = self.finals.get, self.starts.get, self.known.get, self.arc
+        shorter, size = self.shorter, self.size
         path: list[int] = []
-        at = 0
-        options: list[list[tuple[int, int]]] = []
+        at, state = 0, -1
         while True:
-            found = []
-            for j in range(at + 1, n):
-                token = starts.get(word[at:j])
-                if token is None:
-                    break
-                if token >= 0:
-                    found.append((token, j))
+            token = finals(word[at:])
+            if token is not None and (state < 0 or arc(state, token)):
+                path.append(token)
+                return path
+            # the longest string that goes on here: most have a few characters
+            j = min(at + _FIRST, n - 1)
+            token = starts(word[at:j])
+            if token is not None:
+                while j < n - 1 and (longer := starts(word[at : j + 1])) is not None:
+                    token, j = longer, j + 1
             else:
-                token = starts.get(word[at:] + end, -1)
-                if token >= 0:
-                    found.append((token, n))
-            options.append(found)
+                while token is None and j - at > 1:
+                    j -= 1
+                    token = starts(word[at:j])
+                if token is None:
+                    token = -1
             while True:
-                if not options:
-                    raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
-                found = options[-1]
-                state = path[-1] if path else -1
-                while found:
-                    token, at = found.pop()
-                    if state < 0 or arc(state, token):
+                while token >= 0 and state >= 0:
+                    live = known(state << 32 | token)
+                    if live if live is not None else arc(state, token):
                         break
-                else:
-                    options.pop()
-                    if path:
-                        path.pop()
-                    continue
-                break
+                    token = shorter[token]
+                if token >= 0:
+                    break
+                if not path:
+                    raise ValueError(f"no path for {word!r}: a symbol is not in the vocabulary")
+                token = path.pop()
+                at -= size[token]
+                token, state = shorter[token], path[-1] if path else -1
             path.append(token)
-            if at == n:
-                return path
+            at += size[token]
+            state = token
+
+
+class Recent(dict):
+    """What ``make`` returns by word, kept for the words asked for last: ``most`` of them, or down to half as many."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.half, self.older = make, most // 2, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= _CACHED_CHARS:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Tokenizer:
@@ -165,7 +197,7 @@ class Tokenizer:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.symbols = byte_symbols()
         self.library = None
-        self.cache: dict[str, bytes] = {}
+        self.chunk_ids, self.word_ids = Recent(self._chunk, _CACHED_WORDS // 4), Recent(self._word, _CACHED_WORDS)
 
     def _split(self, chunk: str) -> list[str]:
         """The pre-split words of a run without white space, as byte symbols."""
@@ -181,17 +213,10 @@ class Tokenizer:
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def _chunk(self, chunk: str) -> bytes:
-        found = self.cache.get(chunk)
-        if found is None:
-            ids = array("i")
-            for w in self._split(chunk):
-                ids.extend(self.automaton.encode(w))
-            found = ids.tobytes()
-            if len(chunk) <= _CACHED_CHARS:
-                if len(self.cache) >= _CACHED_WORDS:
-                    self.cache.clear()
-                self.cache[chunk] = found
-        return found
+        return b"".join(map(self.word_ids.__getitem__, self._split(chunk)))
+
+    def _word(self, word: str) -> bytes:
+        return array("i", self.automaton.encode(word)).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers."""
@@ -202,7 +227,7 @@ class Tokenizer:
                 out.append(np.array([self.special[part]], dtype=np.int32).tobytes())
             else:
                 chunks = regex.split(r"\s+", part) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
-                out += map(self._chunk, chunks)
+                out += map(self.chunk_ids.__getitem__, chunks)
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -235,9 +260,9 @@ def _id_lists(tokenizer: Tokenizer, texts: list[str]) -> pa.Array:
 
 
 def _texts(tokenizer: Tokenizer, lists: pa.Array) -> pa.Array:
-    ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
     ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)).tolist()
-    return pa.array([tokenizer.decode(ids[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
+    return pa.array([tokenizer.decode(ids[a:b].tolist()) for a, b in zip([0, *ends], ends)], pa.string())
 
 
 def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:

@@ -53,6 +53,21 @@ def test_bpe_equals_library(spark):
     assert bpe.round_trip(empty(spark), path).count() == 0
 
 
+def test_words_are_encoded_once_and_kept_in_bounded_memory(monkeypatch):
+    text = bpe.read_tokenizer(bpe.default_tokenizer())
+    words = [f"{a}{b}{c}" for a in ("Qu", "th", "zor") for b in ("ble", "xi", "ou") for c in ("ntsh", "ing", "qq")]
+    line = " ".join(x for w in words for x in (w, w.upper(), w + ".", f"({w},"))
+    tokenizer, calls = bpe.Tokenizer(text), []
+    encode = tokenizer.automaton.encode
+    monkeypatch.setattr(tokenizer.automaton, "encode", lambda w: calls.append(w) or encode(w))
+    whole = tokenizer.encode_bytes(line)
+    assert len(calls) == len(set(calls)) == len({w.lower() for w in words}) + len({".", "(", ","})
+    monkeypatch.setattr(bpe, "_CACHED_WORDS", 8)
+    small = bpe.Tokenizer(text)
+    assert small.encode_bytes(line + " " + line) == whole + whole
+    assert max(len(x) + len(x.older) for x in (small.chunk_ids, small.word_ids)) <= 8
+
+
 def test_automaton_equals_merging_by_hand():
     merges = [("a", "b"), ("a", "a"), ("ab", "c"), ("aa", "b"), ("b", "c"), ("aa", "abc")]
     base = ["a", "b", "c", "a</w>", "b</w>", "c</w>"]
