@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -27,36 +28,56 @@ MISSING = "(none)"
 ONE_TASK = 200_000
 
 
-def fit_topics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = 12, features: int = 1024, sample: int = 5000, seed: int = 5) -> PipelineModel | None:
-    """Clusters of texts by their hashed, idf-weighted words: k-means fitted on about ``sample`` rows, chosen by
-    a hash of the id. None where texts are too few or too alike to be told apart."""
-    rows = df.select(text_of(text_col).alias("text"), F.col(f"`{id_col}`").alias("id"))
-    share = sample / max(1, df.count())
-    picked = rows.filter(unit_hash(F.col("id"), seed + 1) < share) if share < 1 else rows
-    picked = stage(picked.filter(F.col("text").rlike(r"\S")))
-    words = picked.select(_words(F.col("text")).alias("words"))
-    if words.isEmpty():
-        return None
-    vectors = Pipeline(stages=[HashingTF(numFeatures=features, inputCol="words", outputCol="counts"), IDF(inputCol="counts", outputCol="weights"), Normalizer(inputCol="weights", outputCol="unit")]).fit(words)
-    units = vectors.transform(words).select("unit")
-    topics = min(topics, units.select(F.xxhash64(vector_to_array("unit")).alias("h")).distinct().limit(topics).count())
-    if topics < 2:
-        return None
-    clusters = KMeans(k=topics, maxIter=8, seed=seed, featuresCol="unit", predictionCol="topic").fit(units)
-    return PipelineModel(stages=[*vectors.stages, clusters])
+def fit_topics(df: DataFrame, text_col: str = "text", topics: int = 12, features: int = 1024, seed: int = 5) -> PipelineModel | None:
+    """Clusters of texts by their hashed, idf-weighted words: document counts and k-means, both of every row that
+    has words. None where texts are too few or too alike to be told apart."""
+    return fit_clusters(stage(with_counts(df.select(text_of(text_col).alias("text")), F.col("text"), features).drop("text")), topics, features, seed)
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
+def with_counts(df: DataFrame, text: Column, features: int = 1024) -> DataFrame:
+    """Add ``counts``, how often the text's words fall on each hashed feature, and ``n_words``, how many there are."""
+    counted = HashingTF(numFeatures=features, inputCol="words", outputCol="counts").transform(df.withColumn("words", _words(text)))
+    return counted.withColumn("n_words", F.size("words").cast("bigint")).drop("words")
+
+
+def fit_clusters(counted: DataFrame, topics: int = 12, features: int = 1024, seed: int = 5) -> PipelineModel | None:
+    """The model of ``fit_topics`` from all rows of ``with_counts``, which are staged: each step reads them.
+
+    The weighted vectors are kept on the executors' disks while k-means goes over them, not in their memory.
+    """
+    filled = counted.filter("n_words > 0").select("counts")
+    if filled.isEmpty():
+        return None
+    vectors = Pipeline(stages=[IDF(inputCol="counts", outputCol="weights"), Normalizer(inputCol="weights", outputCol="unit")]).fit(filled)
+    units = vectors.transform(filled).select("unit").persist(StorageLevel.DISK_ONLY)
+    differing = lambda rows: rows.select(F.xxhash64(vector_to_array("unit")).alias("h")).distinct().limit(topics).count()
+    try:
+        if differing(units.limit(1000)) < topics:  # else there are enough, whatever the other rows hold
+            topics = differing(units)
+        if topics < 2:
+            return None
+        clusters = KMeans(k=topics, maxIter=8, seed=seed, featuresCol="unit", predictionCol="topic").fit(units)
+    finally:
+        units.unpersist()
+    return PipelineModel(stages=[HashingTF(numFeatures=features, inputCol="words", outputCol="counts"), *vectors.stages, clusters])
+
+
 def with_topic(df: DataFrame, model: PipelineModel | None, text: Column) -> DataFrame:
     """Add ``topic``: the cluster of the text's words, or ``blank``. ``df`` has none of the model's columns."""
+    return topic_of_counts(with_counts(df, text, model.stages[0].getNumFeatures() if model else 1), model)
+
+
+def topic_of_counts(counted: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """``with_topic`` from the columns of ``with_counts``, which it takes away."""
     if model is None:
-        return df.withColumn("topic", F.when(text.rlike(r"\S"), "topic 0").otherwise("blank"))
-    out = model.transform(df.withColumn("words", _words(text)))
-    topic = F.when(F.size("words") == 0, "blank").otherwise(F.concat(F.lit("topic "), F.col("topic").cast("string")))
-    return out.withColumn("topic", topic).drop("words", "counts", "weights", "unit")
+        return counted.withColumn("topic", F.when(F.col("n_words") > 0, "topic 0").otherwise("blank")).drop("counts", "n_words")
+    out = PipelineModel(stages=model.stages[1:]).transform(counted)
+    topic = F.when(F.col("n_words") > 0, F.concat(F.lit("topic "), F.col("topic").cast("string"))).otherwise("blank")
+    return out.withColumn("topic", topic).drop("counts", "n_words", "weights", "unit")
 
 
 def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -184,14 +205,17 @@ def mix_sources(
     text = text_of(text_col)
     given = {f"d{i}": c for i, c in enumerate((dimensions or {"source": F.col("source"), "lang": F.col("lang")}).values())}
     named = dict(zip(dimensions or ("source", "lang"), given))
+    counted = tokens is None and dimensions is None  # the topics' words are the tokens
     if tokens is None:
-        tokens = F.regexp_count(text, F.lit(r"\S+"))
+        tokens = F.lit(0) if counted else F.regexp_count(text, F.lit(r"\S+"))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     keyed = df.select(row.alias("row"), *[F.coalesce(c.cast("string"), F.lit(MISSING)).alias(d) for d, c in given.items()], tokens.cast("bigint").alias("tokens"))
     if dimensions is None:
         named["topic"] = "topic"
-        # written once: rows are read twice, and their words would be clustered twice
-        keyed = stage(with_topic(keyed, fit_topics(df, id_col, text_col), F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))))
+        # words are counted once, for all that reads the rows
+        keyed = with_counts(keyed, F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")))
+        keyed = stage(keyed.withColumn("tokens", F.col("n_words")) if counted else keyed)
+        keyed = topic_of_counts(keyed, fit_clusters(keyed))
     dims = list(named.values())
     cells = stage(keyed.groupBy(*dims).agg(F.sum("tokens").alias("tokens")))
     aims = {named[d]: t.select(F.col(d).alias(named[d]), "target") for d, t in (targets or {}).items()}

@@ -89,6 +89,16 @@ def test_tokens_are_words_and_topics_follow_content(spark):
     assert all(len(t) == 1 for t in topics.values()) and len(set.union(*topics.values())) == 3 and out[-1].topic == "blank"
 
 
+def test_topics_are_fitted_on_every_row(spark):
+    kinds = [[f"{k}{i}" for i in range(6)] for k in "abc"]
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(kinds[i % 2]) for _ in range(6)) for i in range(5992)] + [" ".join(rnd.choice(kinds[2]) for _ in range(6)) for _ in range(8)] + [" ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    _, idf, _, clusters = mixing.fit_topics(df, topics=4).stages
+    assert idf.numDocs == 6000  # blank texts aside
+    assert sum(clusters.summary.clusterSizes) == 6000
+
+
 def test_targets_that_do_not_fit_are_an_error(spark):
     df = spark.createDataFrame([(1, "w", "a", "x"), (2, "w", "b", "y")], "doc_id long, text string, source string, lang string")
     share = lambda c, p: spark.createDataFrame([(k, v) for k, v in p.items()], f"{c} string, target double")
