@@ -5,7 +5,13 @@ index keys (length, segment number, content), and a longer or equally long line
 its substrings that could be such a segment, in windows around the segment's place. Lines that share a
 key are a region of ``metric_join``, on sketches of their character pairs, of which an edit changes four at most;
 candidates are verified by a bit-parallel edit distance in a band of 2 * threshold + 1 diagonals. Keys are made
-only of what each task has once.
+only of what each task has once. One join serves all lengths: a line has the keys for each number of edits that it may have.
+
+Many lines may share a segment without being near: copies of a passage that differ in words here and there. Lines of
+such large regions are cut into more segments, of which a near pair shares all but ``threshold``: a finer key is all
+segments but that many, with the shifts that so many edits leave them. Groups of 6, 12, 24 and then 48 segments follow
+each other, each for lines whose groups are still large. A line has a number of keys for each that doesn't depend on how
+many lines there are. What is then still large (only lines that differ in two 48ths of their length) goes to pairs of blocks.
 
 Of a group of (nearly) equal lines one stays: the one whose first document has the smallest id. Equal lines
 are found at any length; the edits that short lines may have are scaled to their length. Blank lines always stay.
@@ -15,7 +21,9 @@ from __future__ import annotations
 
 import sys
 from array import array
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations, pairwise, product
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import bit_filter, join_on_key, map_text, may_hold, mix64, rows_of_text, session_defaults, stage, unused
-from epispark.llm.metric_join import components, connect, local_stars, parity, stars
+from epispark.llm.common import bit_filter, join_on_key, map_batches, map_text, may_hold, mix64, rows_of_text, session_defaults, stage, unused
+from epispark.llm.metric_join import connect, local_stars, parity, stars
 
 _PENDING = 1_000_000
 
@@ -67,16 +75,16 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def line_keys(line: str, threshold: int) -> set[int]:
-    """The index keys of a line and the keys with which it probes for shorter or equally long ones.
+@lru_cache(4096)
+def key_plan(n: int, threshold: int) -> list[tuple[int, int, int]]:
+    """(start, end, seed) of the index keys of a line of this length and of the keys with which it probes for shorter
+    or equally long ones.
 
     A probe for segment i, which starts at p in a line shorter by d, looks from p - i to p + i and from
     p + d - (threshold - i) to p + d + (threshold - i): what is left or right of the segment can't take
     more edits than there are segments on that side (multi-match-aware windows).
     """
-    n = len(line)
-    out = set()
-    key = xxhash.xxh3_64_intdigest
+    out = []
     for shorter in range(threshold + 1):
         length = n - shorter
         if length <= threshold:
@@ -84,8 +92,65 @@ def line_keys(line: str, threshold: int) -> set[int]:
         for i, (a, b) in enumerate(segments(length, threshold)):
             low = max(0, a - i, a + shorter - (threshold - i))
             high = min(n - (b - a), a + i, a + shorter + (threshold - i))
-            for start in range(low, high + 1):
-                out.add(key(line[start : start + b - a].encode("utf-8", "surrogatepass"), seed=length * 16 + i))
+            out += [(start, start + b - a, length * 16 + i) for start in range(low, high + 1)]
+    return out
+
+
+def line_keys(line: str, threshold: int) -> set[int]:
+    """The keys of a line's segments and probes."""
+    key = xxhash.xxh3_64_intdigest
+    if line.isascii():  # bytes are characters
+        coded = line.encode()
+        return {key(coded[a:b], seed=seed) for a, b, seed in key_plan(len(line), threshold)}
+    return {key(line[a:b].encode("utf-8", "surrogatepass"), seed=seed) for a, b, seed in key_plan(len(line), threshold)}
+
+
+@lru_cache(64)
+def finer_plan(n: int, threshold: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (a row for each key) and seeds of the finer keys of a line of n characters.
+
+    A line y of ``length`` characters is cut into ``parts`` segments. Of an alignment with a line x at most ``threshold`` edits
+    longer, some ``threshold`` segments hold all edits (an insertion counts to the segment that goes on behind it, or to the last). The
+    stretches between them are in both lines, shifted in x by the edits before: shifts change by as many as there are
+    edits, and end at the difference of the lengths.
+    """
+    starts, ends, seeds = [], [], []
+    for shorter in range(threshold + 1):
+        length = n - shorter
+        if length <= threshold:
+            break
+        count = min(parts, length)
+        cuts = segments(length, count - 1)
+        shifts = [s for s in product(range(-threshold, threshold + 1), repeat=threshold) if s[-1] == shorter and abs(s[0]) + sum(abs(y - x) for x, y in pairwise(s)) <= threshold]
+        for left_out in combinations(range(count), threshold):
+            for moved in shifts:
+                a = [0] + [cuts[i][1] + s for i, s in zip(left_out, moved)]
+                b = [cuts[i][0] + s for i, s in zip(left_out, (0, *moved))] + [n]
+                if all(x <= y for x, y in zip(a, b)) and all(x <= y for x, y in zip(b, a[1:])):
+                    starts.append(a)
+                    ends.append(b)
+                    seeds.append(hash((length, parts, left_out)) & 0xFFFFFFFFFFFFFFFF)
+    shape = (len(starts), threshold + 1)
+    return np.array(starts, np.int64).reshape(shape), np.array(ends, np.int64).reshape(shape), np.array(seeds, np.uint64)
+
+
+#: The base of a line's polynomial hash modulo 2**64, and how many segments the finer keys of each depth are made of.
+_BASE, FINER = 0x9E3779B97F4A7C15, (6, 12, 24, 48)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+
+
+def finer_keys(line: str, threshold: int, parts: int) -> np.ndarray:
+    """Keys of all segments but ``threshold`` (see ``finer_plan``). Lines that share one by chance are told apart later."""
+    starts, ends, seeds = finer_plan(len(line), threshold, parts)
+    codes = mix64(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
+    head = np.r_[np.uint64(0), np.cumsum(codes * _powers(_BASE, len(codes) - 1))]
+    back = _powers(pow(_BASE, -1, 1 << 64), len(codes))  # divides a stretch's hash by its place
+    out = mix64(seeds)
+    for k in range(starts.shape[1]):
+        out = mix64(out ^ mix64((head[ends[:, k]] - head[starts[:, k]]) * back[starts[:, k]]) + np.uint64(k))
     return out
 
 
@@ -166,45 +231,55 @@ def line_rows(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
     return rows_of_text(rows, ["id", "t"], "id long, line long, check long", make)
 
 
-def line_regions(df: DataFrame, text_col: str, threshold: int, min_chars: int, max_chars: int | None = None) -> DataFrame:
-    """Rows (region, node, pivot): the keys of every distinct line of a task, merged there."""
-    most = sys.maxsize if max_chars is None else max_chars
-    rows = df.select(F.col(f"`{text_col}`").alias("t"))
+def keyed_regions(rows: DataFrame, column: str, takes: Callable[[str], bool], keys_of: Callable[[str], list[int]]) -> DataFrame:
+    """Starred regions (region, pivot, node) of the distinct lines in a column of texts that ``takes`` lets in, by the
+    lines' keys, merged in each task."""
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys, counts, nodes = array("Q"), array("q"), array("q")
 
-        def flush():
-            out = None
-            if keys:
-                out = local_stars(np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(nodes, np.int64), np.array(counts, np.int64)))
+        def merged() -> pa.RecordBatch:
+            out = local_stars(np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(nodes, np.int64), np.array(counts, np.int64)))
             seen.clear()
             for held in (keys, counts, nodes):
                 del held[:]
-            return out
+            return pa.RecordBatch.from_pydict(out)
 
-        def run(texts):
-            for t in texts or ():
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
                 for x in (t or "").split("\n"):
-                    if min_chars <= len(x) <= most and not x.isspace() and (h := line_hash(x)) not in seen:
+                    if takes(x) and (h := line_hash(x)) not in seen:
                         seen.add(h)
-                        found = line_keys(x, threshold)
+                        found = keys_of(x)
                         keys.extend(found)
                         counts.append(len(found))
                         nodes.append(h)
-            return flush() if texts is None or len(keys) > _PENDING else None
+                        if len(keys) > _PENDING:
+                            yield merged()
+        if keys:
+            yield merged()
 
-        return run
+    return stage(stars(map_batches(rows.select(F.col(f"`{column}`")), run, "region long, node long, pivot long")))
 
-    return rows_of_text(rows, ["t"], "region long, node long, pivot long", make, finish=True)
 
+def near_lines(df: DataFrame, text_col: str, levels: list[tuple[int, int, int | None]]) -> DataFrame:
+    """(node, root, check): hashes of the distinct lines that have another one within the edits of a level (``edit_levels``), by
+    component."""
+    shortest = levels[0][1]
+    threshold = max(k for k, _, _ in levels)
 
-def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_chars: int = 40, max_chars: int | None = None) -> DataFrame:
-    """(node, root, check): hashes of the distinct lines of ``min_chars`` to ``max_chars`` characters that have
-    another one within ``threshold`` edits, by component."""
-    most = sys.maxsize if max_chars is None else max_chars
-    starred = stage(stars(line_regions(df, text_col, threshold, min_chars, max_chars)))
+    def edits(chars: int) -> int:
+        """What a pair may have whose shorter line has so many characters."""
+        return max((k for k, low, _ in levels if low <= chars), default=0)
+
+    def levels_of(line: str) -> list[int]:
+        return [k for k, low, high in levels if low <= len(line) <= (high or sys.maxsize)]
+
+    def takes(line: str) -> bool:
+        return len(line) >= shortest and not line.isspace()
+
+    starred = keyed_regions(df, text_col, takes, lambda line: [x for k in levels_of(line) for x in line_keys(line, k)])
     nodes = stage(starred.select(F.explode(F.array("pivot", "node")).alias("node")).distinct())
     shared = df.sparkSession.sparkContext.broadcast(bit_filter(nodes, "node"))
 
@@ -216,7 +291,7 @@ def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_ch
             kept = {}
             for t in texts:
                 for x in (t or "").split("\n"):
-                    if min_chars <= len(x) <= most:
+                    if len(x) >= shortest:
                         h, c = line_digest(x)
                         if h not in kept and may_hold(bits, h):
                             kept[h] = (c, x)
@@ -235,11 +310,23 @@ def near_lines(df: DataFrame, text_col: str = "text", threshold: int = 2, min_ch
         both = pairs.join(lines.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(lines.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
         def make():
-            return lambda left, right: [pa.array([edit_distance(x, y, threshold) for x, y in zip(left, right)], pa.int64())]
+            def run(left, right):
+                most = [edits(min(len(x), len(y))) for x, y in zip(left, right)]
+                return [pa.array([edit_distance(x, y, k) <= k for x, y, k in zip(left, right, most)], pa.bool_())]
+
+            return run
+
+        return map_text(both, ["sa", "sb"], [T.StructField("near", T.BooleanType())], make, drop=("sa", "sb")).filter("near").select("a", "b")
+
+    def finer(crowd: DataFrame, depth: int) -> DataFrame | None:
+        """Lines of large regions by all but a few of more segments, for each number of edits that they may have."""
+        if depth > len(FINER):
+            return None
+        parts = FINER[depth - 1]
 
-        return map_text(both, ["sa", "sb"], [T.StructField("edits", T.LongType())], make, drop=("sa", "sb")).filter(F.col("edits") <= threshold).select("a", "b")
+        return keyed_regions(lines.join(crowd, "node", "left_semi"), "s", takes, lambda line: [x for k in levels_of(line) for x in finer_keys(line, k, parts).tolist()])
 
-    roots = connect(starred, lines.select("node", "n", "sk"), lambda total: np.full_like(total, PER_EDIT * threshold), verify)
+    roots = connect(starred, lines.select("node", "n", "sk"), lambda total: np.full_like(total, PER_EDIT * threshold), verify, finer)
     return roots.join(lines.select("node", "check"), "node")
 
 
@@ -262,13 +349,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     session_defaults(df.sparkSession)
     levels = edit_levels(threshold, near_chars) if min_chars is None else [(threshold, min_chars, None)]
     shortest = 1 if min_chars is None else max(min_chars, 1)
-    held = line_rows(df.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, shortest)
+    held = stage(line_rows(df.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, shortest))
     first = held.groupBy("line", "check").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("texts"))
-    found = [near_lines(df, text_col, *level) for level in levels]
-    roots = found[0]
-    if len(found) > 1:  # a line can be in the groups of two levels
-        every = reduce(DataFrame.unionByName, found)
-        roots = components(every.select(F.col("root").alias("a"), F.col("node").alias("b"))).join(every.select("node", "check").dropDuplicates(["node"]), "node")
+    roots = near_lines(df, text_col, levels)
     grouped = roots.withColumnRenamed("node", "line").join(first, ["line", "check"]).select("line", "check", "root", F.struct("first", "line").alias("rank"))
     best = grouped.groupBy("root").agg(F.min("rank").alias("best"))
     losers = grouped.join(best, "root").filter(F.col("rank") > F.col("best")).select("line", "check", F.lit(True).alias("loses"))

@@ -13,10 +13,12 @@ Each region is joined exactly, but only as far as needed to know which nodes are
 2. Links join nodes to components. A region whose members are all in one component is settled.
 3. A large open region chooses several pivots and falls apart into Voronoi cells: a member goes to its
    nearest pivot's cell and, as a boundary member, to each cell whose pivot is at most two thresholds
-   farther away. Cells are regions again, and fall apart in turn. Regions that cells would not make
+   farther away. Cells are regions again, and fall apart in turn. Where the caller knows ``finer`` regions, the
+   members of large open regions get those instead, with new stars. Regions that cells would not make
    smaller, or that have few members outside their largest component, are dealt to pairs of blocks of members.
 4. Small regions, cells and pairs of blocks are joined where they are: members are sorted by their distance
-   to the pivot, and by the triangle inequality only those in a window of one threshold are compared.
+   to the pivot, and by the triangle inequality only those in a window of one threshold are compared (all of
+   a region that tasks gave several pivots, whose distances don't compare).
    Pairs in different components whose sketches are near are candidates. A region sends on the nearest few of each
    component, and of these the nearest few of each component are verified. What is left of candidates after
    components have grown goes into the next round, which sends eight times as many, until none are left.
@@ -32,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,8 +209,8 @@ def bits_apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def sketch_pairs(pairs: DataFrame, points: DataFrame, reach: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(a, b, apart, near, even) of pairs (a, b): the bits their sketches differ by, whether that is within reach, and
-    whether the sketches are equally long."""
+    """(a, b, na, nb, wa, wb, apart, near, even) of pairs (a, b): sizes, words of the sketches, the bits these differ by,
+    whether that is within reach, and whether they are equally long."""
     side = lambda n: points.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("sk").alias(f"s{n}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
@@ -216,15 +218,15 @@ def sketch_pairs(pairs: DataFrame, points: DataFrame, reach: Callable[[np.ndarra
         for batch in batches:
             a, b, total = batch.column("a"), batch.column("b"), batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             left, right = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-            words = np.array([min(len(x), len(y)) // 8 for x, y in zip(left, right)], np.int64)
+            wa, wb = (np.array([len(x) // 8 for x in side], np.int32) for side in (left, right))
+            words = np.minimum(wa, wb)
             apart = np.zeros(len(words), np.int64)
             for w in np.unique(words).tolist():
                 at = np.flatnonzero(words == w)
                 apart[at] = bits_apart(folded([left[i] for i in at], w), folded([right[i] for i in at], w))
-            even = pa.array([len(x) == len(y) for x, y in zip(left, right)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(apart.astype(np.int32)), pa.array(apart <= reach(total)), even], ["a", "b", "apart", "near", "even"])
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "na": batch.column("na"), "nb": batch.column("nb"), "wa": wa, "wb": wb, "apart": apart.astype(np.int32), "near": apart <= reach(total), "even": wa == wb})
 
-    return map_batches(both, run, "a long, b long, apart int, near boolean, even boolean")
+    return map_batches(both, run, T.StructType([both.schema[c] for c in ("a", "b", "na", "nb")]).add("wa", T.IntegerType()).add("wb", T.IntegerType()).add("apart", T.IntegerType()).add("near", T.BooleanType()).add("even", T.BooleanType()))
 
 
 def by_group(rows: DataFrame, keys: list[str], within: list[str], work: Callable[[dict], dict | None], schema: str) -> DataFrame:
@@ -303,7 +305,7 @@ def candidates(reach: Callable[[np.ndarray], np.ndarray], many: int) -> Callable
         size = np.array([len(x) for x in c["sk"]]) // 8
         words = np.minimum.reduceat(size, start)[group]
         even = np.minimum.reduceat(c["even"].astype(np.int8), start)[group] > 0
-        window = np.where(even, reach(2 * c["high"]), np.iinfo(np.int64).max)
+        window = np.where(even, reach(2 * c["high"]).astype(np.int64), np.iinfo(np.int64).max)
         across = c["bi"] != c["bj"]
         found = []
         for w in np.unique(words).tolist():
@@ -417,34 +419,36 @@ def deal_blocks(placed: DataFrame) -> DataFrame:
     return out.select("region", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"), "block", "node", "root", "n", "dp", "even", "high")
 
 
-def connect(starred: DataFrame, points: DataFrame, reach: Callable[[np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connect(
+    starred: DataFrame,
+    points: DataFrame,
+    reach: Callable[[np.ndarray], np.ndarray],
+    verify: Callable[[DataFrame], DataFrame],
+    finer: Callable[[DataFrame, int], DataFrame | None] | None = None,
+) -> DataFrame:
     """(node, root) of the nodes in ``starred`` (region, pivot, node) that have links.
 
     ``points`` holds (node, n, sk): each node's size and sketch. ``reach`` takes the sum of two nodes' sizes and
     returns the bits that the sketches of nodes within the threshold differ by at most. ``verify`` returns
-    those of its pairs (a, b) that are within the threshold.
+    those of its pairs (a, b) that are within the threshold. ``finer`` takes nodes and a depth, from 1 on, and returns
+    the nodes' starred regions of that depth, such that any two nodes within the threshold share one, or None.
     """
     points = stage(points)
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    measured = stage(sketch_pairs(starred.select(*ordered("pivot", "node")).distinct(), points, reach))
-    near = measured.filter("near")
-    # first each node's nearest pivot, then the pairs that are still apart
-    nearest = near.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "apart").groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x"))
-    tested = stage(nearest.select("x.a", "x.b").distinct())
-    links = stage(verify(tested))
-    roots = components(links)
-    left = apart_pairs(near.join(tested, ["a", "b"], "left_anti").select("a", "b"), roots)
-    left = stage(left.select("a", "b"))
-    tested, links = tested.unionByName(left), links.unionByName(stage(verify(left)))
-    roots = components(links)
-
-    # what stars don't settle: regions of three members and more; the pivot has been compared and leaves
-    sizes = starred.groupBy("region").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    once = stage(sizes.filter("c > 1").groupBy("c", "x", "y").agg(F.min("region").alias("region")).select("region"))
-    members = starred.join(once, "region").select("region", "node", *ordered("pivot", "node")).join(measured.select("a", "b", F.col("apart").alias("dp"), "even"), ["a", "b"])
-    members = members.join(points.select("node", "n", F.floor(F.length("sk") / 8).cast("int").alias("words")), "node").select("region", "node", "n", "words", "dp", "even", F.lit(False).alias("whole"))
-    members = split_regions(stage(members), roots, points, reach)
-    many = 2
+    tested, links, roots, measured = star_links(starred, points, reach, verify)
+    members, depth, done = region_members(starred, measured), 1, None
+    while finer is not None:
+        placed = open_regions(members, roots)
+        large = (F.col("size") > CELLS) & (F.col("rest") > CELLS // 2)
+        crowd = stage(placed.filter(large).select("node").distinct())
+        starred = None if crowd.isEmpty() else finer(crowd, depth)
+        small = (placed if starred is None else placed.filter(~large)).select(*members.columns)
+        done = small if done is None else done.unionByName(small)
+        if starred is None:
+            break
+        tested, links, roots, measured = star_links(starred, points, reach, verify, (tested, links, roots))
+        members, depth = region_members(starred, measured), depth + 1
+    members = split_regions(members, roots, points, reach) if finer is None else done
+    many = 2 if finer is None else CELLS  # finer regions are small
     while True:
         placed = open_regions(members, roots)
         if placed.isEmpty():
@@ -466,8 +470,51 @@ def connect(starred: DataFrame, points: DataFrame, reach: Callable[[np.ndarray],
         many *= 8
 
 
+def ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def star_links(
+    starred: DataFrame, points: DataFrame, reach: Callable[[np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], before: tuple[DataFrame, ...] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Compare members with their pivots: the pairs (a, b) tested, those that link, (node, root), and all pairs' distances.
+    ``before`` holds the first three of earlier stars, whose pairs, and those within a component, are not tested again."""
+    measured = stage(sketch_pairs(starred.select(*ordered("pivot", "node")).distinct(), points, reach))
+    near = measured.filter("near").select("a", "b", "apart")
+    if before:
+        near = stage(apart_pairs(near.join(before[0], ["a", "b"], "left_anti"), before[2]))
+    # first each node's nearest pivot, then the pairs that are still apart
+    nearest = near.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "apart").groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x"))
+    tested = stage(nearest.select("x.a", "x.b").distinct())
+    links = stage(verify(tested))
+    if before:
+        links = before[1].unionByName(links)
+    roots = components(links)
+    left = stage(apart_pairs(near.join(tested, ["a", "b"], "left_anti"), roots).select("a", "b"))
+    tested = tested.unionByName(left)
+    if not left.isEmpty():
+        links = links.unionByName(stage(verify(left)))
+        roots = components(links)
+    return before[0].unionByName(tested) if before else tested, links, roots, measured
+
+
+def region_members(starred: DataFrame, measured: DataFrame) -> DataFrame:
+    """Members (region, node, n, words, dp, even, whole) of what stars don't settle: regions of three nodes and more.
+
+    The pivot has been compared and leaves. Tasks may have sent a node several times, and with pivots of their own: it is
+    one member, and where a region has several pivots dp has no common origin (not ``even``).
+    """
+    held = starred.groupBy("region", "node").agg(F.min("pivot").alias("pivot"), F.max("pivot").alias("_last"))
+    sizes = held.groupBy("region").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), (F.min("pivot") == F.max("_last")).alias("one"))
+    once = stage(sizes.filter("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("region", "one")).alias("r")).select("r.*"))
+    placed = held.join(once, "region").select("region", "node", "one", *ordered("pivot", "node"))
+    own = lambda x: F.when(F.col("node") == F.col("a"), F.col(f"{x}a")).otherwise(F.col(f"{x}b"))
+    fields = [own("n").alias("n"), own("w").alias("words"), F.col("apart").alias("dp"), (F.col("even") & F.col("one")).alias("even"), F.lit(False).alias("whole")]
+    return stage(placed.join(measured, ["a", "b"]).select("region", "node", *fields))
+
+
 def apart_pairs(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose nodes have different roots."""
+    """Those of the pairs (a, b, ...) whose nodes have different roots."""
     side = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
     both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)

@@ -638,3 +638,56 @@ def test_pipeline_stages(spark):
             want = _jaccard_components([before[k] for k in keys], 5, 4, 5)
             assert sorted(ids) == [k for j, k in enumerate(keys) if want[j][1] == j]
     assert {"n_tokens", "ids"} <= set(docs.columns) and docs.filter("n_tokens > 0").count() == docs.count()
+
+
+def test_tasks_with_pivots_of_their_own_lose_no_pair(spark):
+    """A region's tasks may have several pivots, and send a node twice: distances to different pivots are no window, sketches
+    of different lengths neither, and two regions with the same nodes are told apart from two with different ones."""
+    at = {0: 0, 1: 400, 2: 100, 3: 105, 4: 3000, 5: 2000, 6: 2005, 7: 2010, 8: 2500, 9: 2600}
+    points = _line_space(spark, list(at.values()), 4096)
+    star = [(1, 0, 1), (1, 0, 2), (1, 1, 3)]  # 2 is 100 from its pivot, 3 is 295 from its own
+    star += [(2, 8, 5), (2, 9, 5), (2, 8, 6)] + [(3, 8, 6), (3, 8, 7), (3, 9, 7)]  # one node twice: hashes of copies cancel out
+    starred = spark.createDataFrame(star, "region long, pivot long, node long")
+    roots = metric_join.connect(starred, points, lambda total: np.full(len(total), 12, np.int32), lambda pairs: pairs)
+    assert {(r.node, r.root) for r in roots.collect()} == {(2, 2), (3, 2), (5, 5), (6, 5), (7, 5)}
+    code = np.random.default_rng(7).integers(0, 2**64, 16, dtype=np.uint64)
+    uneven = [(0, 0, (~code).tobytes()), (1, 0, code.tobytes()), (2, 0, (code[:8] ^ code[8:]).tobytes())]
+    points = spark.createDataFrame(uneven, "node long, n int, sk binary")
+    starred = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 0, 3)], "region long, pivot long, node long")
+    points = points.unionByName(spark.createDataFrame([(3, 0, (code ^ np.uint64(1)).tobytes())], "node long, n int, sk binary"))
+    roots = metric_join.connect(starred, points, lambda total: np.full_like(total, 12), lambda pairs: pairs.filter("a > 0"))
+    assert {r.node for r in roots.collect()} >= {1, 2, 3}
+
+
+def test_finer_keys_are_shared_by_near_lines():
+    rnd = random.Random(8)
+    for _ in range(600):
+        most, parts = rnd.choice((1, 2)), rnd.choice(line_dedup.FINER)
+        a = "".join(rnd.choice("abcd é中") for _ in range(rnd.randint(most + 1, 80)))
+        b = _edited(rnd, a, rnd.randint(0, most), "abcdx ")
+        if len(b) > most:
+            assert set(line_dedup.finer_keys(a, most, parts).tolist()) & set(line_dedup.finer_keys(b, most, parts).tolist()), (a, b)
+
+
+def test_a_large_group_of_copies_with_other_words(spark, monkeypatch):
+    """Lines that share segments but differ in words: all links are found, and what is joined grows with the lines."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(40)]
+
+    def copy():
+        out = list(words)
+        for i in rnd.sample(range(40), 3):
+            out[i] = "".join(rnd.choice("stuvwxyz") for _ in range(len(out[i])))
+        return " ".join(out)
+
+    dealt, real = [], metric_join.deal_blocks
+    monkeypatch.setattr(metric_join, "deal_blocks", lambda placed: dealt.append(placed.count()) or real(placed))
+    rows = {}
+    for size in (300, 1200):
+        lines = [copy() for _ in range(size)]
+        near = [_edited(rnd, x, 2, "xyz") for x in lines[:50]]
+        dealt.clear()
+        got = line_dedup.dedup_lines(frame(spark, lines + near)).collect()
+        rows[size] = sum(dealt)
+        assert sum(r.n_dropped for r in got) == 50 and {r.doc_id for r in got if r.n_dropped} == set(range(size, size + 50))
+    assert rows[1200] <= 6 * max(rows[300], 1500)
