@@ -8,7 +8,7 @@ candidates are verified by a bit-parallel edit distance in a band of 2 * thresho
 only of what each task has once. One join serves all lengths: a line has the keys for each number of edits that it may have.
 
 Many lines may share a segment without being near: copies of a passage that differ in words here and there. Lines of
-such large regions are cut into more segments, of which a near pair shares all but ``threshold``: a finer key is all
+regions too large for one task are cut into more segments, of which a near pair shares all but ``threshold``: a finer key is all
 segments but that many, with the shifts that so many edits leave them. Groups of 6, 12, 24 and then 48 segments follow
 each other, each for lines whose groups are still large. A line has a number of keys for each that doesn't depend on how
 many lines there are. What is then still large (only lines that differ in two 48ths of their length) goes to pairs of blocks.

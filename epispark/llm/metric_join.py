@@ -14,7 +14,7 @@ Each region is joined exactly, but only as far as needed to know which nodes are
 3. A large open region chooses several pivots and falls apart into Voronoi cells: a member goes to its
    nearest pivot's cell and, as a boundary member, to each cell whose pivot is at most two thresholds
    farther away. Cells are regions again, and fall apart in turn. Where the caller knows ``finer`` regions, the
-   members of large open regions get those instead, with new stars. Regions that cells would not make
+   members of open regions of more than LEAF get those instead, with new stars. Regions that cells would not make
    smaller, or that have few members outside their largest component, are dealt to pairs of blocks of members.
 4. Small regions, cells and pairs of blocks are joined where they are: members are sorted by their distance
    to the pivot, and by the triangle inequality only those in a window of one threshold are compared (all of
@@ -364,7 +364,7 @@ def voronoi(reach: Callable[[np.ndarray], np.ndarray]) -> Callable[[dict], dict
 def open_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (region, node, n, words, dp, even, whole) of regions that are not settled, with their roots and the region's
     size, members outside its largest component, that component, least sketch and largest set."""
-    placed = members.join(roots, "node", "left").select(*members.columns, F.coalesce("root", "node").alias("root"))
+    placed = stage(members.join(roots, "node", "left").select(*members.columns, F.coalesce("root", "node").alias("root")))
     parts = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("c"), F.min("words").alias("w"), F.max("n").alias("h"))
     found = parts.groupBy("region").agg(F.sum("c").alias("size"), F.max("c").alias("top"), F.max_by("root", F.struct("c", "root")).alias("major"), F.min("w").alias("low"), F.max("h").alias("high"))
     found = found.filter("top < size").select("region", "size", (F.col("size") - F.col("top")).alias("rest"), "major", "low", "high")
@@ -438,7 +438,7 @@ def connect(
     members, depth, done = region_members(starred, measured), 1, None
     while finer is not None:
         placed = open_regions(members, roots)
-        large = (F.col("size") > CELLS) & (F.col("rest") > CELLS // 2)
+        large = (F.col("size") > LEAF) & (F.col("rest") > LEAF // 2)
         crowd = stage(placed.filter(large).select("node").distinct())
         starred = None if crowd.isEmpty() else finer(crowd, depth)
         small = (placed if starred is None else placed.filter(~large)).select(*members.columns)
@@ -448,7 +448,7 @@ def connect(
         tested, links, roots, measured = star_links(starred, points, reach, verify, (tested, links, roots))
         members, depth = region_members(starred, measured), depth + 1
     members = split_regions(members, roots, points, reach) if finer is None else done
-    many = 2 if finer is None else CELLS  # finer regions are small
+    many = 2 if finer is None else LEAF  # what finer regions leave has few candidates
     while True:
         placed = open_regions(members, roots)
         if placed.isEmpty():
