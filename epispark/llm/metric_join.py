@@ -455,7 +455,8 @@ def connect(
             return roots
         dealt = deal_blocks(placed).join(points.select("node", "sk"), "node")
         found = by_group(dealt, ["region", "bi", "bj"], ["dp", "node"], candidates(reach, many), "a long, b long, ra long, rb long, apart int, more boolean")
-        found = stage(found.groupBy("a", "b", "ra", "rb", "apart").agg(F.max("more").alias("more")))
+        # groups whose sketches are folded differently measure a pair differently; the longest sketches say the most
+        found = stage(found.groupBy("a", "b", "ra", "rb").agg(F.max("apart").alias("apart"), F.max("more").alias("more")))
         best = Window.partitionBy("r").orderBy("apart", "a", "b")
         ranked = found.select(F.explode(F.array("ra", "rb")).alias("r"), "a", "b", "apart").withColumn("_k", F.row_number().over(best))
         kept = stage(ranked.filter(F.col("_k") <= many).select("a", "b").distinct())

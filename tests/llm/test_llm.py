@@ -691,3 +691,22 @@ def test_a_large_group_of_copies_with_other_words(spark, monkeypatch):
         rows[size] = sum(dealt)
         assert sum(r.n_dropped for r in got) == 50 and {r.doc_id for r in got if r.n_dropped} == set(range(size, size + 50))
     assert rows[1200] <= 6 * max(rows[300], 1500)
+
+
+def test_pairs_measured_on_sketches_of_two_lengths_end(spark):
+    """A pair that shares two regions, one of them with a shorter sketch, has two distances there, but is one candidate: where
+    it is no link the join must end all the same."""
+    rng = np.random.default_rng(11)
+    far, code, other = (rng.integers(0, 2**64, 16, dtype=np.uint64) for _ in range(3))
+    near = code.copy()
+    near[[0, 8]] ^= np.uint64(1)  # two bits apart, none when folded
+    sketches = [far, code, near, rng.integers(0, 2**64, 8, dtype=np.uint64), other]
+    points = spark.createDataFrame([(i, 0, x.tobytes()) for i, x in enumerate(sketches)], "node long, n int, sk binary")
+    starred = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 0, 4), (2, 0, 1), (2, 0, 2), (2, 0, 3)], "region long, pivot long, node long")
+    asked = []
+
+    def verify(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.limit(0)
+
+    assert metric_join.connect(starred, points, lambda total: np.full_like(total, 12), verify).isEmpty() and asked == [(1, 2)]
