@@ -87,6 +87,17 @@ def release(spark: SparkSession, *kept: DataFrame, since: int = 0) -> None:
     _STAGED[spark.sparkContext.applicationId] = left
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete the staged tables that these DataFrames read. No other DataFrame may still need them."""
+    for df in staged:
+        spark, files = df.sparkSession, df.inputFiles()
+        paths = _STAGED.get(spark.sparkContext.applicationId, [])
+        for path in [p for p in paths if any(p.rsplit("/", 1)[1] in f for f in files)]:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            paths.remove(path)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     session_defaults(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -1,14 +1,18 @@
 """Phrases, near-duplicate embeddings and centroids against brute force and DuckDB, with edge cases."""
 
+import contextlib
 import hashlib
 import math
+import os
 import random
 import re
+import threading
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from epispark.llm import centroids, embeddings, phrases, queries
@@ -204,6 +208,62 @@ def test_embeddings_recall_near_the_threshold(spark, monkeypatch):
     assert (alone["n_links"] == 0).all() and alone["kept"].all()
 
 
+def test_embeddings_in_parts_and_beside_the_threshold(spark, monkeypatch):
+    """Many parts and slices; pairs, also of members of balls, that 16 bits can't tell from the threshold."""
+    for name, value in (("GROUP", 48), ("BLOCK", 16), ("PART", 1), ("ROWS", 100)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(8)
+    rows, made = vectors(), []
+    for k in range(80):
+        a = rng.normal(size=16)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=16)
+        b -= b @ a * a
+        b /= np.linalg.norm(b)
+        cosine = 0.93 + (1 - 2 * (k % 2)) * 10.0 ** -(5 + k % 8)
+        made += [(a, k % 3), (cosine * a + np.sqrt(1 - cosine**2) * b, k % 3)]
+        if k % 4 < 2:  # with a ball around it
+            made += [(a + rng.normal(0, 0.01, 16), k % 3) for _ in range(3)]
+    cloud = rng.normal(size=16)
+    made += [(cloud + rng.normal(0, 0.02, 16), 5) for _ in range(150)]
+    rows += [(1000 + i, v.tolist(), lab) for i, (v, lab) in enumerate(made)]
+    assert plain(embeddings.near_embeddings(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()) == plain(linked(rows))
+
+
+def test_embeddings_need_little_disk(spark, monkeypatch, tmp_path):
+    """A deep forest has dozens of copies of each vector, which must not lie on disk at once: staged tables and shuffle files stay under 4 x input."""
+    for name, value in (("GROUP", 64), ("LEAF", 16), ("ROWS", 1000)):
+        monkeypatch.setattr(embeddings, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    many, width = 6000, 64
+    pq.write_table(pa.table({"vec_id": np.arange(many), "embedding": list(rng.normal(size=(many, width))), "label": np.arange(many) % 3}), f"{tmp_path}/embeddings.parquet")
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    folders = [spark.sparkContext.getCheckpointDir().removeprefix("file:"), *spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def used():
+        total = 0
+        for folder in folders:
+            for d, _, names in os.walk(folder):
+                for n in names:
+                    with contextlib.suppress(OSError):
+                        total += os.path.getsize(f"{d}/{n}")
+        return total
+
+    begun, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.1):
+            most[0] = max(most[0], used() - begun)
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        assert embeddings.near_embeddings(df).count() == many
+    finally:
+        over.set(), thread.join()
+    assert 0 < most[0] < 4 * many * width * 8
+
+
 def test_embeddings_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert embeddings.near_embeddings(empty).count() == 0
